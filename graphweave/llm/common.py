@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
     for batch in batches:
         values = batch.column(column)
         start, held = 0, 0
-        for k, size in enumerate(pa.compute.binary_length(values).fill_null(0).to_pylist()):
+        for k, size in enumerate(pc.binary_length(values).fill_null(0).to_pylist()):
             held += size
             if held >= most:
                 yield batch.slice(start, k + 1 - start)
@@ -63,8 +64,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.groupBy("a", "b").agg()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = store(small.union(low).distinct(), "edges")

@@ -7,18 +7,26 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.llm import bpe
+from graphweave.llm import bpe, quality, simhash
 from graphweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_quality_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "gw.*")
+
+
+def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_bpe_roundtrip,)}
+    return {f.__name__: f for f in (op3_quality_weak_supervision, op6_simhash_vptree, op10_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict[str, str]:
