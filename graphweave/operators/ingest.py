@@ -10,11 +10,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweave.functions import text as X
 from graphweave.schema import chunk_id, section_id
 
-SECTIONS = "array<struct<level:int,title:string,content:string>>"
+SECTIONS = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("content", T.StringType())]))
 
 
 class _Markdown(HTMLParser):
@@ -53,7 +54,7 @@ def markdown_of(page: str | None) -> str:
     return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", "".join(reader.parts))).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_markdown(pages: pd.Series) -> pd.Series:
     """Page text with headings, lists and code marked; the parser keeps state, so this is Arrow batches."""
     return pages.map(markdown_of)
@@ -109,7 +110,7 @@ def wiki_sections_of(text: str | None) -> list[dict]:
     return [s for s in found if len(s["content"]) >= 100]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_wikitext(texts: pd.Series) -> pd.Series:
     return texts.map(plain_wikitext)
 
@@ -139,7 +140,7 @@ def chunks_of(text: str | None, size: int = 2000, overlap: int = 400) -> list[st
 
 
 def chunk_udf(size: int = 2000, overlap: int = 400) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks_of(t, size, overlap))
 
