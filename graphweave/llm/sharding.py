@@ -92,12 +92,17 @@ def external_shuffle(docs: DataFrame, shards: int = 24, key_col: str = "doc_id",
     return store(scattered.mapInArrow(lambda batches: shuffle_buckets(batches, seed), f"{fields}, gw_place long"), "shards")
 
 
-def with_slots(shuffled: DataFrame) -> DataFrame:
-    """Adds gw_slot, the gapless place of a row in its shard: its place in the bucket after all rows of earlier buckets."""
+def with_slots(shuffled: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
+    """Adds gw_slot, the gapless place of a row in its shard: its place in the bucket after all rows of earlier buckets.
+
+    Up to `most_broadcast` buckets (16 bytes each) their starts go to every task and the records stay
+    where they are; more are joined by bucket.
+    """
     counted = shuffled.groupBy("gw_shard", "gw_bucket").count()
     ahead = Window.partitionBy("gw_shard").orderBy("gw_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("gw_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("gw_start"))
-    return shuffled.join(starts, "gw_bucket").withColumn("gw_slot", F.col("gw_start") + F.col("gw_place")).drop("gw_start")
+    starts = store(counted.select("gw_bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("gw_start")), "starts")
+    few = starts.count() <= most_broadcast
+    return shuffled.join(F.broadcast(starts) if few else starts, "gw_bucket").withColumn("gw_slot", F.col("gw_start") + F.col("gw_place")).drop("gw_start")
 
 
 def write(shuffled: DataFrame, path: str) -> None:
