@@ -210,7 +210,8 @@ def compare_versions(a: Column, b: Column) -> Column:
     """-1, 0 or 1; a pre-release comes before its release, pre-releases by their text."""
     x, y = version(a), version(b)
     key = lambda v: F.struct(v["major"], v["minor"], v["patch"], F.when(v["pre"] == "", 1).otherwise(0), v["pre"])
-    return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).when(x.isNotNull() & y.isNotNull(), 0)
+    order = F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
+    return F.when(x.isNotNull() & y.isNotNull(), order)
 
 
 def compatible_versions(required: Column, installed: Column) -> Column:

@@ -92,10 +92,14 @@ def add_neighbours(sources: DataFrame, edges: DataFrame, most_new: int = 2, cap:
 
 
 def source_text(sources: DataFrame, sections: DataFrame, questions: DataFrame, most_articles: int = 5, most_chars: int = 3000, least_quality: float = 0.3) -> DataFrame:
-    """(seed, title, place, body): the good sections of a seed's first sources, cleaned, in order, cut at most_chars."""
+    """(seed, title, place, body): the good sections of a seed's first sources, cleaned, in order, cut at most_chars.
+
+    Every section is cleaned once, however many seeds it serves.
+    """
     few = sources.where(F.col("place") < most_articles).join(questions, "seed")
-    s = few.join(sections.select("title", "section_index", "content"), "title").withColumn("content", X.clean(F.col("content")))
-    good = s.where(X.section_quality(F.col("content"), F.col("question")) >= least_quality)
+    some = sections.select("title", "section_index", "content").join(few.select("title").distinct(), "title", "left_semi")
+    cleaned = some.select("title", "section_index", F.transform(F.array(X.clean(F.col("content"))), lambda c: c)[0].alias("content"))
+    good = few.join(cleaned, "title").where(X.section_quality(F.col("content"), F.col("question")) >= least_quality)
     parts = good.groupBy("seed", "title", "place").agg(F.sort_array(F.collect_list(F.struct("section_index", "content"))).alias("parts"))
     body = F.array_join(F.transform("parts", lambda x: x["content"]), "\n\n")
     return parts.select("seed", "title", "place", F.when(F.length(body) > most_chars, F.concat(F.substring(body, 1, most_chars), F.lit("..."))).otherwise(body).alias("body"))
