@@ -109,18 +109,18 @@ def train(rows: list[tuple[tuple[str, int, int, int], int, float]], rounds: int
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, names: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """The columns `keep`, base (array of kind, rank, start, end) and all_spans (with the classifier's additions).
+    """The columns `keep` and a struct gw: base (array of kind, rank, start, end) and all_spans, with the classifier's.
 
     Base spans are the e-mail addresses, IP addresses, cards and phone numbers that pass their
     checks. Local phone numbers, national ids and names are added where the classifier gives them
     `threshold` or more. Both arrays are sorted by kind as listed, then start. A null text counts as
     empty; repeated rows are returned each; an empty table gives an empty table. Columns of docs may
-    have any names but gw_text, found, base, all_spans. The fit counts vote patterns over all rows.
+    have any names that don't begin with gw. The fit counts vote patterns over all rows.
     """
     names = names or FIRST_NAMES
     df = docs.select(*(F.col(f"`{c}`") for c in keep or []), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("gw_text"))
-    seen = store(df.select(*(F.col(f"`{c}`") for c in keep or []), _found("gw_text", names).alias("found")), "pii")
-    seen_patterns = seen.select(F.explode("found").alias("x")).groupBy("x.kind", "x.shape", "x.known", "x.near").count().collect()
+    seen = store(df.select(*(F.col(f"`{c}`") for c in keep or []), _found("gw_text", names).alias("gw_found")), "pii")
+    seen_patterns = seen.select(F.explode("gw_found").alias("x")).groupBy("x.kind", "x.shape", "x.known", "x.near").count().collect()
     model = weak.fit([(r[1:4], r[4]) for r in seen_patterns], 3, prior=0.7, prior_range=(0.3, 0.9))
     weights = train([((r[0], r[1], r[2], r[3]), r[4], model.posterior(r[1:4])) for r in seen_patterns])
 
@@ -132,6 +132,6 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
             odds = odds + x[name] * F.lit(weights.get(name, 0.0))
         return 1 / (1 + F.exp(-odds)) >= threshold
 
-    base = F.filter("found", lambda x: x["rank"] < len(VALID))
-    added = F.filter("found", lambda x: (x["rank"] >= len(VALID)) & likely(x))
-    return seen.select(*(F.col(f"`{c}`") for c in keep or []), spans.by_rank(base).alias("base"), spans.by_rank(F.concat(base, added)).alias("all_spans"))
+    base = F.filter("gw_found", lambda x: x["rank"] < len(VALID))
+    added = F.filter("gw_found", lambda x: (x["rank"] >= len(VALID)) & likely(x))
+    return seen.select(*(F.col(f"`{c}`") for c in keep or []), F.struct(spans.by_rank(base).alias("base"), spans.by_rank(F.concat(base, added)).alias("all_spans")).alias("gw"))

@@ -59,7 +59,7 @@ def op6_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    found = pii.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "gw.*")
     return found.select("doc_id", *(_count("base", k) for k in ("email", "ip", "card", "phone")), F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all_spans")).alias("spans"))
 
 

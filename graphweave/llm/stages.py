@@ -28,7 +28,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 def mask_private(docs: DataFrame) -> DataFrame:
     """All documents with every personal-data span replaced by its kind in brackets, n_chars as the new length."""
     found = pii.scan(docs.select("*", F.col("text").alias("gw_whole")), keep=[*docs.columns, "gw_whole"])
-    new = {"text": spans.masked("gw_whole", "all_spans"), "n_chars": F.length(spans.masked("gw_whole", "all_spans")).cast("long")}
+    found = found.select("*", F.col("gw.all_spans").alias("gw_spans"))
+    masked = spans.masked("gw_whole", "gw_spans")
+    new = {"text": masked, "n_chars": F.length(masked).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
