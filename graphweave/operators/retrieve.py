@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from graphweave.functions import text as X
 from graphweave.operators import graph, vector
-from graphweave.schema import top
+from graphweave.schema import small, top
 
 
 def title_lookup(articles: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
     """(question, title, exact, place): articles whose title is the question's subject, else contains it, shortest first."""
     q = questions.select("question", X.normal_question(F.col("question")).alias("subject")).where("subject <> ''")
     a = articles.select("title", F.lower("title").alias("low"))
-    exact = a.join(F.broadcast(q), F.col("low") == F.col("subject")).select("question", "title", F.lit(True).alias("exact"))
+    exact = a.join(small(q), F.col("low") == F.col("subject")).select("question", "title", F.lit(True).alias("exact"))
     rest = q.join(exact.select("question").distinct(), "question", "left_anti")
-    part = a.join(F.broadcast(rest), F.col("low").contains(F.col("subject"))).select("question", "title", F.lit(False).alias("exact"))
+    part = a.join(small(rest), F.col("low").contains(F.col("subject"))).select("question", "title", F.lit(False).alias("exact"))
     return top(exact.unionByName(part), ["question"], [F.length("title"), F.col("title")], most, "place")
 
 
@@ -55,7 +55,7 @@ def hybrid_retrieve(found: DataFrame, edges: DataFrame, articles: DataFrame, que
     linked = top(first.join(edges.select("src", F.col("dst").alias("title")), "src"), ["seed", "src"], [F.col("title")], max_results, "row")
     two = linked.select("seed", "title", F.lit(g * 0.5).alias("part"))
     words = questions.select("seed", F.posexplode(X.search_terms(F.col("question"))).alias("at", "word"))
-    named = articles.select("title", F.lower("title").alias("low")).join(F.broadcast(words), F.col("low").contains(F.lower("word")))
+    named = articles.select("title", F.lower("title").alias("low")).join(small(words), F.col("low").contains(F.lower("word")))
     three = top(named, ["seed", "at"], [F.col("title")], max_results, "row").select("seed", "title", F.lit(k * 0.7).alias("part"))
     total = one.unionByName(two).unionByName(three).groupBy("seed", "title").agg(F.sum("part").alias("score"))
     return top(total, ["seed"], [F.desc(F.round("score", 9)), F.col("title")], max_results).select("seed", "title", "score", "rank")

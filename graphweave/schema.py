@@ -75,6 +75,11 @@ def bounded(name: str, value: int, low: int, high: int) -> int:
     return value
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has no more than `most` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each key in the given order, numbered from 1.
 
