@@ -83,5 +83,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in every}
 
 
+def _license_sql() -> str:
+    """All places of all templates by comparing words, without an index."""
+    row = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    hits = []
+    for t in licenses.TEMPLATES:
+        (first, words), *rest = t.placed()
+        start = f"(i - {first + 1})"
+        tests = [f"word = '{words[0]}'", f"{start} >= 0", *(f"list_slice(w, {start} + {p + 1}, {start} + {p + len(x)}) = {row(x)}" for p, x in [(first, words), *rest])]
+        share = f"list_sum(list_transform(range({len(t.words)}), lambda j: CASE WHEN w[{start} + 1 + j] = {row(t.words)}[j + 1] THEN 1 ELSE 0 END)) / {len(t.words)}::DOUBLE"
+        hits.append(f"SELECT rid, '{t.label}' AS label, {str(t.base).lower()} AS base, {start} AS start, {share} AS share FROM p JOIN d USING (rid) WHERE {' AND '.join(tests)}")
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.NOT_WORD}'), lambda x: x <> '') AS w FROM documents),
+      p AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d), hits AS ({" UNION ALL ".join(hits)}),
+      g AS (SELECT rid, count(*) FILTER (base) AS n, min(start) FILTER (base) AS a, max(start) FILTER (base) AS z, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS bl, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(share) AS score FROM hits GROUP BY rid)
+      SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(bl, '') AS base_labels, coalesce(l, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the one query whose whole result SQL can express; the others are tested against brute force."""
+    return {"op4_license_rare_tokens": _license_sql()}
