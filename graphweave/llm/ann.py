@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import store
+from graphweave.llm.common import sampled, store
 
 SEED = 42
 
@@ -122,29 +122,73 @@ def _k_means(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 1
     return centres, kinds
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.array(list(column), dtype=np.float64)
+def _first(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best rows of each query: by falling score, then id."""
+    order = np.lexsort((ids, -scores, queries))
+    q = queries[order]
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, dtype=np.int64)
+    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return order[place < k]
+
+
+def search_shard(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of candidates(id, v, leaf) for each of queries(id, v, leaves), looking into the query's leaves only."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(candidates) and len(queries):
+        candidates = candidates.sort_values(["leaf", "id"], kind="stable")
+        ids, leaf, those = candidates["id"].to_numpy(), candidates["leaf"].to_numpy(), np.array(list(candidates["v"]))
+        names, asked = queries["id"].to_numpy(), np.array(list(queries["v"]))
+        visits = queries["leaves"].explode()
+        rows, into = np.repeat(np.arange(len(queries)), queries["leaves"].map(len)), visits.to_numpy(dtype=np.int64)
+        for n in np.unique(leaf):
+            a, z = np.searchsorted(leaf, [n, n + 1])
+            here = rows[into == n]
+            step = max(1, 2_000_000 // (z - a))
+            for at in range(0, len(here), step):
+                some = here[at : at + step]
+                scores = exact_scores(those[a:z], asked[some])
+                scores[names[some][:, None] == ids[None, a:z]] = -np.inf
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores: smaller id first
+                value = np.take_along_axis(scores, best, axis=1)
+                good = np.isfinite(value)
+                found.append((np.repeat(names[some], best.shape[1])[good.ravel()], ids[a:z][best][good], value[good]))
+    q, i, s = (np.concatenate([x[j] for x in found]) if found else np.zeros(0) for j in range(3))
+    keep = _first(q, i, s, k)
+    return pd.DataFrame({"query_id": q[keep].astype(np.int64), "vec_id": i[keep].astype(np.int64), "score": s[keep].astype(np.float64)})
+
+
+def shards_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf its first shard and how many it has: small leaves share one, large ones are cut into blocks."""
+    first, parts = np.zeros(len(counts), dtype=np.int64), np.maximum(1, -(-counts // block))
+    now, held = 0, 0
+    for n, c in enumerate(counts.tolist()):
+        if held and held + c > block:
+            now, held = now + 1, 0
+        first[n], held = now, held + c
+        if parts[n] > 1:
+            now, held = now + int(parts[n]), 0
+    return first, parts
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_every: int = 20, recall: float = 0.97, sample_size: int = 16384, block: int = 8192, query_block: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every row whose id `query_every` divides.
 
-    Every row is indexed; the tree and the number of leaves to visit are fitted on `sample_size` rows
-    (those of the smallest hashes). Vectors that are null, zero, of another length than most of the
-    sample or hold null or non-finite components take no part, nor do rows without an id. A row is
-    not its own neighbour. Repeated rows are candidates each. Leaves are searched in blocks of
-    `block` vectors by `query_block` queries, so a leaf of any size, such as one vector repeated,
-    is spread over tasks. Fewer than k candidates: all that were found. An empty table: no rows.
+    Every row is indexed; the tree and the number of leaves to visit are fitted on about `sample_size`
+    rows (those of the smallest hashes). Vectors that are null, zero, of another length than most of
+    the sample or hold null or non-finite components take no part, nor do rows without an id. A row
+    is not its own neighbour. Repeated rows are candidates each. Leaves lie in shards of about
+    `block` vectors, searched by `query_block` queries at a time, so a leaf of any size, such as one
+    vector repeated, is spread over tasks; a task returns k rows of a query. Fewer than k candidates:
+    all that were found. An empty table: no rows.
     """
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     df = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     df = df.where(sound & F.exists("v", lambda x: x != 0))
     total = df.count()
-    sample = df.orderBy(F.xxhash64("id"), "id").limit(sample_size).collect()
-    shape = "query_id long, rank int, vec_id long, score double"
+    sample = sampled(df, "id", total, sample_size)
     if not sample:
-        return df.sparkSession.createDataFrame([], shape)
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = [len(r["v"]) for r in sample]
     width = max(sorted(set(lengths)), key=lengths.count)
     df = df.where(F.size("v") == width)
@@ -158,42 +202,53 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 flat = batch.column("v").flatten().to_numpy().reshape(-1, width)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(tree.assign(flat))], ["id", "v", "leaf"])
 
+    index = store(df.mapInArrow(place, "id long, v array<double>, leaf long"), "index")
+    counts = np.zeros(tree.leaves, dtype=np.int64)
+    for r in index.groupBy("leaf").count().collect():  # one row for each leaf of the bounded tree
+        counts[r[0]] = r[1]
+    first, parts = shards_of(counts, block)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                flat = batch.column("v").flatten().to_numpy().reshape(-1, width)
-                leaves = [tree.visits(q, most) for q in flat]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
-
-    index = store(df.mapInArrow(place, "id long, v array<double>, leaf long"), "index")
-    asked = store(df.where(F.col("id") % query_every == 0).mapInArrow(walk, "id long, v array<double>, leaves array<long>"), "queries")
-    held = {r[0]: r[1] for r in index.groupBy("leaf").count().collect()}  # one row for each leaf of the bounded tree
-    wanted = {r[0]: r[1] for r in asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()}
-    parts = F.array(*(F.lit(-(-held.get(x, 1) // block)) for x in range(tree.leaves)))
-    asks = F.array(*(F.lit(-(-wanted.get(x, 1) // query_block)) for x in range(tree.leaves)))
-    part = lambda n: F.get(n, F.col("leaf").cast("int"))
-    split = lambda c, n: F.pmod(F.xxhash64(c, F.monotonically_increasing_id()), part(n)).cast("int")
-    left = index.withColumn("part", split("id", parts)).withColumn("ask", F.explode(F.sequence(F.lit(0), part(asks) - 1)))
-    right = asked.select("id", "v", F.explode("leaves").alias("leaf")).withColumn("ask", split("id", asks)).withColumn("part", F.explode(F.sequence(F.lit(0), part(parts) - 1)))
-
-    def score(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(candidates) and len(queries):
-            candidates = candidates.sort_values("id", kind="stable")
-            ids, those = candidates["id"].to_numpy(), _matrix(candidates["v"])
-            for at in range(0, len(queries), 64):
-                some = queries.iloc[at : at + 64]
-                names = some["id"].to_numpy()
-                scores = exact_scores(those, _matrix(some["v"]))
-                scores[names[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores: smaller id first
-                value = np.take_along_axis(scores, best, axis=1)
-                good = np.isfinite(value)
-                out.append((np.repeat(names, best.shape[1])[good.ravel()], ids[best][good], value[good]))
-        q, i, s = (np.concatenate([x[j] for x in out]) if out else np.zeros(0) for j in range(3))
-        return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": i.astype(np.int64), "score": s.astype(np.float64)})
-
-    keys = ["leaf", "part", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query_id long, vec_id long, score double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if not batch.num_rows:
+                continue
+            at, shards, leaves = [], [], []
+            for n, q in enumerate(batch.column("v").flatten().to_numpy().reshape(-1, width)):
+                by: dict[int, list[int]] = {}
+                for leaf in tree.visits(q, most):
+                    for p in range(int(parts[leaf])):
+                        by.setdefault(int(first[leaf]) + p, []).append(leaf)
+                at += [n] * len(by)
+                shards += by
+                leaves += by.values()
+            there = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([there.column("id"), there.column("v"), pa.array(shards, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "shard", "leaves"])
+
+    asked = store(df.where(F.col("id") % query_every == 0).mapInArrow(walk, "id long, v array<double>, shard long, leaves array<long>"), "queries")
+    asks = np.ones(int((first + parts).max()), dtype=np.int64)
+    for r in asked.groupBy("shard").count().collect():  # one row for each block of vectors
+        asks[r[0]] = -(-r[1] // query_block)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            leaf = batch.column("leaf").to_numpy()
+            shard = first[leaf] + np.arange(turn, turn + len(leaf)) % parts[leaf]
+            turn += len(leaf)
+            times = asks[shard]
+            there = batch.take(pa.array(np.repeat(np.arange(len(leaf)), times)))
+            ask = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([*there.columns, pa.array(np.repeat(shard, times)), pa.array(ask)], ["id", "v", "leaf", "shard", "ask"])
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            ask = np.arange(n, n + batch.num_rows) % asks[batch.column("shard").to_numpy()]
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ask)], [*batch.schema.names, "ask"])
+
+    left = index.mapInArrow(deal, "id long, v array<double>, leaf long, shard long, ask long").groupBy("shard", "ask")
+    right = asked.mapInArrow(turn, "id long, v array<double>, shard long, leaves array<long>, ask long").groupBy("shard", "ask")
+    found = left.cogroup(right).applyInPandas(lambda c, q: search_shard(c, q, k), "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,19 @@ def renamed(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(target) for target, source in wanted.items()))
 
 
+def sampled(df: DataFrame, by: str, total: int, size: int) -> list[Row]:
+    """About `size` rows of df, those of the smallest hashes of a column, in the order of the hashes.
+
+    A hash limit from the known number of rows keeps every task's share in proportion, so that what
+    reaches the driver is bounded by `size` and not by the number of tasks.
+    """
+    top = float(1 << 63)
+    limit = -top + 2 * top * min(1.0, 1.5 * size / max(1, total) + 100 / max(1, total))
+    h = F.xxhash64(by)
+    rows = df.where(h.cast("double") <= limit).withColumn("gw_hash", h).collect()
+    return sorted(rows, key=lambda r: (r["gw_hash"], r[by]))[:size]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` text bytes, so that memory doesn't follow the row count."""
     for batch in batches:
