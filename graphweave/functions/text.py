@@ -250,3 +250,55 @@ def progress_bar(done: Column, total: Column, width: int = 40) -> Column:
 def duration(seconds: Column) -> Column:
     h, m, s = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), F.floor(seconds % 60)
     return F.when(h > 0, F.format_string("%dh %dm", h, m)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+
+
+def wiki_url(title: Column) -> Column:
+    """The title with underscores, percent-encoded but for / : @."""
+    coded = F.url_encode(F.translate(title, " ", "_"))
+    for code, char in (("%2F", "/"), ("%3A", ":"), ("%40", "@"), ("%7E", "~")):
+        coded = F.replace(coded, F.lit(code), F.lit(char))
+    return F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(F.replace(coded, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")))
+
+
+def title_of_url(url: Column) -> Column:
+    """The last path segment without .html, hyphens as blanks, in capitals; the one before where it is empty."""
+    parts = F.split(F.regexp_replace(url, r"/+$", ""), "/")
+    last = F.regexp_replace(F.element_at(parts, -1), r"\.html$", "")
+    return capitalised(F.translate(F.when(last != "", last).otherwise(F.try_element_at(parts, F.lit(-2))), "-", " "))
+
+
+def heading_sections(markdown: Column) -> Column:
+    """Texts between lines that begin with #, as array<struct<title, content>>, none empty."""
+    marked = F.regexp_replace(markdown, r"(?m)^#+[ \t]*(.*)$", "\u0001$1\u0002")
+    parts = F.transform(
+        F.split(marked, "\u0001", -1),
+        lambda p, i: F.struct(
+            F.when(i == 0, "").otherwise(F.trim(F.substring_index(p, "\u0002", 1))).alias("title"), F.regexp_replace(F.when(i == 0, p).otherwise(F.substring_index(p, "\u0002", -1)), r"^\s+|\s+$", "").alias("content")
+        ),
+    )
+    return F.filter(parts, lambda s: s["content"] != "")
+
+
+def listed_urls(xml: Column) -> Column:
+    """Addresses in a sitemap (loc elements) or a feed (link elements and attributes), in order, once each."""
+    found = F.regexp_extract_all(xml, F.lit(r"<(?:loc|link)[^>]*>\s*(?:<!\[CDATA\[)?\s*(https?://[^<\]\s]+)"), F.lit(1))
+    attributes = F.regexp_extract_all(xml, F.lit(r"<link[^>]+href=[\"'](https?://[^\"']+)[\"']"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(found, attributes), unescaped))
+
+
+def safe_query(text: Column) -> Column:
+    """Whether a graph query only reads: it begins with MATCH or CALL, has no writing word outside quotes and no open-length pattern."""
+    bare = F.upper(F.regexp_replace(F.regexp_replace(text, '"[^"]*"', ""), "'[^']*'", ""))
+    return F.trim(bare).rlike(r"^(MATCH|CALL)\b") & ~bare.rlike(r"\b(CREATE|DELETE|DROP|SET|MERGE|REMOVE|DETACH)\b") & ~text.rlike(r"\[[\w:]*\*[^\]]*\]")
+
+
+def relations_sane(raw: Column) -> Column:
+    """array<struct<source,relation,target,context>> without blanks, relations in canonical form, texts cut."""
+    ok = F.filter(raw, lambda r: r.isNotNull() & (F.coalesce(F.trim(r["source"]), F.lit("")) != "") & (F.coalesce(F.trim(r["target"]), F.lit("")) != ""))
+    form = lambda r: F.when(F.coalesce(F.trim(r["relation"]), F.lit("")) == "", "related_to").otherwise(relation(r["relation"]))
+    return F.transform(ok, lambda r: F.struct(F.substring(F.trim(r["source"]), 1, 256).alias("source"), form(r).alias("relation"), F.substring(F.trim(r["target"]), 1, 256).alias("target"), F.substring(F.coalesce(r["context"], F.lit("")), 1, 1024).alias("context")))
+
+
+def facts_sane(raw: Column) -> Column:
+    """Facts without blanks, cut at 1024 characters."""
+    return F.transform(F.filter(raw, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), lambda x: F.substring(F.trim(x), 1, 1024))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphweave.functions import text as X
 from graphweave.functions import vocabulary as V
@@ -122,3 +125,35 @@ def balanced(code: Column) -> Column:
 def contains_each(tokens: Column, output: Column) -> Column:
     """struct(token, held) of every token."""
     return F.transform(tokens, lambda t: F.struct(t.alias("token"), output.contains(t).alias("held")))
+
+
+def _parses(language: str, code: str) -> bool:
+    try:
+        if language in ("python", "py"):
+            compile(code, "answer", "exec", dont_inherit=True)
+        elif language == "json":
+            json.loads(code)
+        else:
+            return all(abs(code.count(a) - code.count(b)) <= 1 for a, b in ("()", "[]", "{}"))
+    except (SyntaxError, ValueError):
+        return False
+    return True
+
+
+@F.pandas_udf(T.BooleanType())
+def syntax_ok(language: pd.Series, code: pd.Series) -> pd.Series:
+    """Whether code parses: by Python's compiler, as JSON, or by its brackets for other languages; nothing is run."""
+    return pd.Series([_parses((a or "").lower(), b or "") for a, b in zip(language, code)], dtype=bool)
+
+
+def validation(tasks: DataFrame) -> DataFrame:
+    """(id, syntax, required, forbidden, constructs): shares of each check passed, of tasks(id, language, output,
+    must_contain, must_not_contain, expected_constructs). A construct without marks of a pattern is sought as text."""
+    code = F.when(F.size(code_blocks(F.col("output"))) > 0, F.array_join(code_blocks(F.col("output")), "\n")).otherwise(F.col("output"))
+    share = lambda tokens, test: F.when(F.size(tokens) > 0, F.size(F.filter(tokens, test)) / F.size(tokens)).otherwise(1.0)
+    t = tasks.withColumn("code", code)
+    sound = lambda c: ~c.rlike(r"[\\^$.|?*+()\[\]{}]")  # noqa: E731  plain words need no pattern
+    return t.select(
+        "id", F.when(syntax_ok("language", "code"), 1.0).otherwise(0.0).alias("syntax"), share(F.col("must_contain"), lambda x: F.col("output").contains(x)).alias("required"),
+        share(F.col("must_not_contain"), lambda x: ~F.col("output").contains(x)).alias("forbidden"), share(F.col("expected_constructs"), lambda c: F.when(sound(c), F.col("code").contains(c)).otherwise(F.regexp_like("code", c))).alias("constructs"),
+    )

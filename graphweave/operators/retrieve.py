@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.functions import text as X
@@ -123,3 +125,50 @@ def citations(sources: DataFrame) -> DataFrame:
     """(seed, body): a numbered Markdown list of sources(seed, title, place)."""
     each = F.sort_array(F.collect_list(F.struct("place", "title")))
     return sources.groupBy("seed").agg(each.alias("s")).select("seed", F.array_join(F.transform("s", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["title"])), "\n").alias("body"))
+
+
+def graph_context(edges: DataFrame, seeds: DataFrame, articles: DataFrame, sections: DataFrame, max_hops: int = 2, each: int = 5, cap: int = 15) -> DataFrame:
+    """(title, place, hops, content): seeds(seed, ord) found in any letters and `each` related articles with words, `cap` in all.
+
+    Seeds come in their order, each followed by what is linked to it, nearest first; a title keeps its
+    first place. content is the lead section's.
+    """
+    named = articles.select("title", F.lower("title").alias("low")).join(small(seeds.select(F.lower("seed").alias("low"), "ord")), "low").select(F.col("title").alias("seed"), "ord")
+    near = graph.shortest_hops(edges, named.select("seed").distinct(), max_hops).select("seed", F.col("node").alias("title"), "hops")
+    near = near.join(articles.where("word_count > 0").select("title"), "title", "left_semi")
+    related = top(near, ["seed"], [F.col("hops"), F.col("title")], each, "row").join(named, "seed").select("title", "hops", F.struct("ord", F.col("row").alias("row")).alias("at"))
+    own = named.select(F.col("seed").alias("title"), F.lit(0).alias("hops"), F.struct("ord", F.lit(0).alias("row")).alias("at"))
+    first = own.unionByName(related).groupBy("title").agg(F.min("at").alias("at"), F.min_by("hops", "at").alias("hops"))
+    few = first.orderBy("at", "title").limit(cap).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at", "title")))  # cap rows
+    lead = sections.where("section_index = 0").select("title", "content")
+    return few.join(lead, "title", "left").select("title", "place", "hops", "content")
+
+
+def overlap_score(question: Column, text: Column) -> Column:
+    """Share of the question's distinct words that the text has: the scorer of pairs where no model is given."""
+    q = F.array_distinct(X.words(F.lower(question)))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.array_distinct(X.words(F.lower(text))))) / F.size(q)).otherwise(0.0)
+
+
+def pair_rerank(found: DataFrame, questions: DataFrame, top_k: int = 5, score: Callable[[Column, Column], Column] | None = overlap_score) -> DataFrame:
+    """found(seed, title, content, rank) by the score of (question, content, or title without one), the best top_k.
+
+    score is a Column function or a pandas UDF of a model; questions are cut at 2000 characters.
+    Without one, found stays as it is.
+    """
+    if score is None:
+        return found
+    text = F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.col("title"))
+    scored = found.join(small(questions), "seed").withColumn("score", score(F.substring("question", 1, 2000), text))
+    return top(scored, ["seed"], [F.desc("score"), F.col("rank")], max(1, top_k), "new_rank").drop("question")
+
+
+def context_markdown(sources: DataFrame, facts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(seed, body): sources, facts and section texts of a seed under Markdown headings, those that aren't empty."""
+    listed = lambda df, mark: df.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("x")).select("seed", F.array_join(F.transform("x", lambda r: F.concat(F.lit(mark), r["text"])), "\n").alias("part"))
+    out = sources.select("seed").distinct()
+    heads = []
+    for head, df, mark in (("Sources", sources, "- "), ("Facts", facts, "- "), ("Context", bodies, "")):
+        out = out.join(listed(df, mark).withColumnRenamed("part", head), "seed", "left")
+        heads.append(F.when(F.col(head).isNotNull(), F.concat(F.lit(f"## {head}\n\n"), F.col(head))))
+    return out.select("seed", F.concat_ws("\n\n", *heads).alias("body"))

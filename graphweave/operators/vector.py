@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,3 +98,16 @@ def few_shot(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     near = examples.join(F.broadcast(queries), F.lit(True))
     scored = near.select("seed", "example", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("embedding"), F.col("query_vector")))).alias("score"))
     return top(scored, ["seed"], [F.desc("score"), F.col("example")], k)
+
+
+def embed(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], prefix: str = "", batch: int = 32) -> DataFrame:
+    """texts(seed, text) with query_vector from an injected model, called in the tasks by batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [prefix + t for t in part["text"].fillna("")]
+            vectors = [v for at in range(0, len(rows), batch) for v in model(rows[at : at + batch])]
+            yield pd.DataFrame({"seed": part["seed"], "query_vector": [[float(x) for x in v] for v in vectors]})
+
+    kind = texts.schema["seed"].dataType.simpleString()
+    return texts.select("seed", "text").mapInPandas(run, f"seed {kind}, query_vector array<double>")

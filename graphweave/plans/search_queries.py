@@ -163,3 +163,23 @@ def source_text(spark: SparkSession, d: str) -> DataFrame:
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     found = semantic_search(spark, d).select("seed", "title", F.col("similarity").alias("score"))
     return rounded(graph.rerank(found, v.links(spark, d), v.articles(spark, d)), "score").select("seed", "title", "score")
+
+
+@query(f"""WITH {v.SQL}, s AS (SELECT * FROM (VALUES ('a0', 0), ('A7', 1), ('none', 2)) t(seed, ord)), named AS (SELECT title AS seed, ord FROM s JOIN art ON lower(title) = lower(seed)),
+  w1 AS (SELECT DISTINCT seed, dst AS title, 1 AS hops FROM named JOIN lnk ON src = seed), w2 AS (SELECT DISTINCT seed, dst AS title, 2 AS hops FROM w1 JOIN lnk ON src = title),
+  nr AS (SELECT seed, title, min(hops) AS hops FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2) WHERE title <> seed AND title IN (SELECT title FROM art WHERE word_count > 0) GROUP BY ALL),
+  rel AS (SELECT title, hops, ord * 1000 + row_number() OVER (PARTITION BY seed ORDER BY hops, title) AS pos FROM nr JOIN named USING (seed) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY hops, title) <= 5),
+  al AS (SELECT title, min(pos) AS pos, arg_min(hops, pos) AS hops FROM (SELECT seed AS title, 0 AS hops, ord * 1000 AS pos FROM named UNION ALL SELECT * FROM rel) GROUP BY title)
+  SELECT title, CAST(row_number() OVER (ORDER BY pos, title) AS INT) AS place, CAST(hops AS INT) AS hops, content FROM al LEFT JOIN (SELECT title, content FROM sec WHERE section_index = 0) USING (title) QUALIFY place <= 15""")
+def graph_context(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.createDataFrame([("a0", 0), ("A7", 1), ("none", 2)], "seed string, ord int")
+    return retrieve.graph_context(v.links(spark, d), s, v.articles(spark, d), v.sections(spark, d))
+
+
+@query(f"""WITH {v.SQL}, {SEED_SQL}, {_near(15, '')}, f AS (SELECT seed, title, content, CAST(row_number() OVER (PARTITION BY seed ORDER BY distance, title) AS INT) AS rank FROM best QUALIFY rank <= 5),
+  k AS (SELECT list_distinct(string_split('the of anat thing', ' ')) AS ks),
+  sc AS (SELECT seed, title, rank, len(list_intersect(ks, list_transform(list_filter(regexp_split_to_array(CASE WHEN content <> '' THEN content ELSE title END, '\\s+'), lambda w: w <> ''), lambda w: lower(w)))) / len(ks) AS score FROM f, k)
+  SELECT seed, title, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, rank) AS INT) AS new_rank FROM sc QUALIFY new_rank <= 3""")
+def pair_rerank(spark: SparkSession, d: str) -> DataFrame:
+    asked = seeds(spark).withColumn("question", F.lit("the of anat thing"))
+    return rounded(retrieve.pair_rerank(agent_search(spark, d), asked, 3), "score").select("seed", "title", "score", "new_rank")

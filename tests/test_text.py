@@ -102,3 +102,36 @@ def test_chunks_end_at_sentences():
     assert a == "x" * 1500 + "." and b.startswith("x" * 399)
     with pytest.raises(ValueError):
         ingest.chunks_of("x", 5, 5)
+
+
+def test_urls_and_queries(spark):
+    assert one(spark, X.wiki_url(F.col("a")), a="C (language)/é") == "https://en.wikipedia.org/wiki/C_%28language%29/%C3%A9"
+    assert one(spark, X.title_of_url(F.col("a")), a="https://h/docs/error-handling.html") == "Error Handling"
+    assert one(spark, X.listed_urls(F.col("a")), a='<loc>https://h/a&amp;b</loc><link>https://h/c</link><link href="https://h/d"/><loc>https://h/c</loc>') == ["https://h/a&b", "https://h/c", "https://h/d"]
+    assert [tuple(s) for s in one(spark, X.heading_sections(F.col("a")), a="intro\n# A\nx\n## B\n\n# C\ny")] == [("", "intro"), ("A", "x"), ("C", "y")]
+    for query, want in (("MATCH (a) RETURN 'DELETE'", True), ("match (a) set a.x = 1", False), ("MATCH (a)-[:L*1..3]->(b) RETURN b", False), ("RETURN 1", False)):
+        assert one(spark, X.safe_query(F.col("a")), a=query) is want
+    assert one(spark, X.safe_url(F.col("a")), a="https://10.0.0.1/x") is False and one(spark, X.safe_url(F.col("a")), a="https://h.org/x") is True
+
+
+def test_sanitised_records(spark):
+    df = spark.createDataFrame([([(" a ", "Wrote", "b", None), ("", "x", "y", "c"), ("a", " ", "b", "c")], [" f ", "", None])], "r array<struct<source:string,relation:string,target:string,context:string>>, f array<string>")
+    r = df.select(X.relations_sane(F.col("r")).alias("r"), X.facts_sane(F.col("f")).alias("f")).first()
+    assert [tuple(x) for x in r["r"]] == [("a", "authored", "b", ""), ("a", "related_to", "b", "c")] and r["f"] == ["f"]
+
+
+def test_validators(spark):
+    from graphweave.operators import evaluate
+
+    rows = [("p", "python", "```python\ndef f():\n    return 1\n```", ["return"], ["eval"], [r"def \w+", "class"]), ("b", "python", "def f(:", [], [], []), ("j", "json", '{"a": 1}', ["a", "z"], ["a"], []), ("r", "rust", "fn x() { (", [], [], [])]
+    df = spark.createDataFrame(rows, "id string, language string, output string, must_contain array<string>, must_not_contain array<string>, expected_constructs array<string>")
+    got = {r["id"]: (r["syntax"], r["required"], r["forbidden"], r["constructs"]) for r in evaluate.validation(df).collect()}
+    assert got == {"p": (1, 1, 1, 0.5), "b": (0, 1, 1, 1), "j": (1, 0.5, 0, 1), "r": (1, 1, 1, 1)}
+
+
+def test_embedding_is_injected(spark):
+    from graphweave.operators import vector
+
+    df = spark.createDataFrame([("a", "xx"), ("b", None)], "seed string, text string")
+    got = {r["seed"]: r["query_vector"] for r in vector.embed(df, lambda ts: [[len(t), 1] for t in ts], prefix="q:").collect()}
+    assert got == {"a": [4.0, 1.0], "b": [2.0, 1.0]}
