@@ -17,10 +17,11 @@ from graphweave.llm import spans, weak
 from graphweave.llm.common import store
 
 # The base patterns, written so that no search goes back: possessive runs, and starts
-# only where a run starts or the match before ended.
+# only where a run starts or the match before ended. A card is a whole chain of digits with single
+# separators, whose length stands in the pattern, so that tables of numbers give no matches to drop.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Proposals beyond the base.
 LOCAL_PHONE = r"(?<![0-9+(.-])(?<![0-9+][\x20])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
