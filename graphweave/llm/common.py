@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,10 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, as the session names it.
+
+    Only a local session without one gets a temporary folder, which goes when Python ends.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="graphweave-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="graphweave-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        place = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
