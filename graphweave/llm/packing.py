@@ -9,6 +9,7 @@ seeds the next window. So only the last window of a shard has padding.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 import zlib
@@ -25,16 +26,41 @@ from graphweave.llm.common import renamed, slices, store
 
 WINDOW = 2048
 END_ID = 1
-# The tokenizer's splitting pattern in Python's classes, and the characters for which
-# they differ, fold to several or change under normalisation; texts with those go to the library.
-PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-NOT_PLAIN = re.compile("[\x1c-\x1f\x85²³¹¼-¾İɐ-\U0010ffff]|<\\|")
+# The tokenizer's splitting pattern over lower-cased text up to U+024F, and the
+# characters there whose class or folding isn't plain; texts with those or later ones go to the library.
+PIECES = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+|'(?:[stmd]|re|ve|ll)|[0-9]|(?:[^\\s\\w]|[_\x1c-\x1f])+")
+ODD_BYTES = (b"\xb2", b"\xb3", b"\xb9", b"\xbc", b"\xbd", b"\xbe")
+NOT_PLAIN = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u0250-\U0010ffff]")
+
+
+def is_plain(text: str) -> bool:
+    """Whether PIECES splits the text as the library does."""
+    if "<|" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not NOT_PLAIN.search(text)
+    return not any(b in raw for b in ODD_BYTES)
+
+
+class _Memo(dict):
+    """Pieces with their ids; notes the pieces that were asked for in vain."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.wanted: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.wanted.append(piece)
 
 
 class WordBPE:
     """The library's tokenizer with its results kept by piece: text is split here, each new piece is encoded once."""
 
-    def __init__(self, path: str, memo: int = 600_000) -> None:
+    def __init__(self, path: str, memo: int = 1_200_000) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -44,37 +70,43 @@ class WordBPE:
         suffix = spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[k for w, k in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
-        self.memo: dict[str, bytes] = {}
-        self.most = memo
+        self.memo, self.most = _Memo(), memo
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces, many in one call: ids that end a word show where each piece ends."""
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.memo.update((x, raw[a:z]) for x, a, z in zip(some, cuts, cuts[1:]))
+            else:  # each by itself then
+                self.memo.update((x, np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()) for x in some)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them without special tokens."""
         memo = self.memo
         if len(memo) >= self.most:
             memo.clear()
-        pieces = [None if NOT_PLAIN.search(x) else PIECES.findall(x.lower()) for x in texts]
-        new: set[str] = set()
-        for found in pieces:
-            if found:
-                new.update(found)
-        if fresh := [x for x in new if x not in memo]:
-            for at in range(0, len(fresh), 2000):
-                some = fresh[at : at + 2000]
-                ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-                cuts = np.flatnonzero(self.ends[ids]) + 1
-                if len(cuts) != len(some):  # never seen; each by itself then
-                    parts = [np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4") for x in some]
-                else:
-                    parts = np.split(ids, cuts[:-1])
-                for x, part in zip(some, parts):
-                    memo[x] = part.tobytes()
-        out = []
-        for text, found in zip(texts, pieces):
-            if found is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([memo[x] for x in found]), dtype="<u4"))
-        return out
+        split, parts, lacking = [], [], []
+        for k, text in enumerate(texts):
+            found = PIECES.findall(text.lower()) if is_plain(text) else None
+            before = len(memo.wanted)
+            split.append(found)
+            parts.append([memo[x] for x in found] if found is not None else None)
+            if len(memo.wanted) > before:
+                lacking.append(k)
+        if memo.wanted:
+            self._learn(list(dict.fromkeys(memo.wanted)))
+            memo.wanted = []
+        for k in lacking:
+            own, found, at = parts[k], split[k], -1
+            with contextlib.suppress(ValueError):  # until there is none
+                while True:
+                    at = own.index(None, at + 1)
+                    own[at] = memo[found[at]]
+        return [np.frombuffer(b"".join(own), dtype="<u4") if own is not None else np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4") for own, text in zip(parts, texts)]
 
 
 _loaded: dict[str, WordBPE] = {}
