@@ -61,8 +61,8 @@ def clean(text: Column) -> Column:
         return F.regexp_replace(x, r"^\s+|\s+$", "")
 
     def part(line: Column) -> Column:
-        *plain, breadcrumbs = V.FURNITURE_PARTS
-        done = reduce(lambda x, p: trimmed(F.regexp_replace(x, p, "")), plain, line)
+        *plain, breadcrumbs = V.FURNITURE_PARTS  # one small expression over a list of patterns, as plans repeat it often
+        done = F.aggregate(F.array(*map(F.lit, plain)), line, lambda x, p: trimmed(F.regexp_replace(x, p, F.lit(""))))
         marks = F.length(line) - F.length(F.replace(line, F.lit(">"), F.lit("")))  # the last pattern is slow where it can't match
         return F.when(marks >= 3, trimmed(F.regexp_replace(done, breadcrumbs, ""))).otherwise(done)
 

@@ -96,10 +96,12 @@ def add_neighbours(sources: DataFrame, edges: DataFrame, most_new: int = 2, cap:
 def source_text(sources: DataFrame, sections: DataFrame, questions: DataFrame, most_articles: int = 5, most_chars: int = 3000, least_quality: float = 0.3) -> DataFrame:
     """(seed, title, place, body): the good sections of a seed's first sources, cleaned, in order, cut at most_chars.
 
-    Every section is cleaned once, however many seeds it serves.
+    Every section is cleaned once, however many seeds it serves. The sources, a few for each seed, are
+    kept as both joins need them; sections are dealt out before cleaning, which is the work here.
     """
-    few = sources.where(F.col("place") < most_articles).join(questions, "seed")
-    some = sections.select("title", "section_index", "content").join(few.select("title").distinct(), "title", "left_semi")
+    few = sources.where(F.col("place") < most_articles).join(questions, "seed").persist()
+    parts = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sections.select("title", "section_index", "content").join(few.select("title").distinct(), "title", "left_semi").repartition(parts, "title", "section_index")
     cleaned = some.select("title", "section_index", F.transform(F.array(X.clean(F.col("content"))), lambda c: c)[0].alias("content"))
     good = few.join(cleaned, "title").where(X.section_quality(F.col("content"), F.col("question")) >= least_quality)
     parts = good.groupBy("seed", "title", "place").agg(F.sort_array(F.collect_list(F.struct("section_index", "content"))).alias("parts"))
