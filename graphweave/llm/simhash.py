@@ -15,6 +15,7 @@ the tree in memory and compares what meets in a leaf exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import components, renamed, slices, store
+from graphweave.llm.common import components, renamed, sampled, slices, store
 
 BITS = 64
 SEED = 42
@@ -67,13 +68,8 @@ class Tree:
         for start in range(0, BITS, width):
             mask = np.uint64(((1 << width) - 1) << start)
             patterns = rng.integers(0, 1 << 63, tries, dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, tries, dtype=np.uint64)
-
-            def spread(pattern: np.uint64, mask: np.uint64 = mask) -> float:
-                shares = np.bincount(np.bitwise_count((sample ^ pattern) & mask), minlength=width + 1) / max(1, len(sample))
-                return -float(sum(p * np.log(p) for p in shares if p > 0))
-
             self.masks.append(mask)
-            self.vantage.append(max(patterns, key=spread))
+            self.vantage.append(max(patterns, key=partial(spread_of, sample, mask=mask, width=width)))
         # the blocks that part best come first
         order = sorted(range(len(self.masks)), key=lambda k: -spread_of(sample, self.vantage[k], self.masks[k], width))
         self.masks, self.vantage = [self.masks[k] for k in order], [self.vantage[k] for k in order]
@@ -114,6 +110,7 @@ class Tree:
 
 
 def spread_of(sample: np.ndarray, pattern: np.uint64, mask: np.uint64, width: int) -> float:
+    """How evenly a vantage parts the sample: the entropy of its rings."""
     shares = np.bincount(np.bitwise_count((sample ^ pattern) & mask), minlength=width + 1) / max(1, len(sample))
     return -float(sum(p * np.log(p) for p in shares if p > 0))
 
@@ -140,11 +137,11 @@ def near_links(distinct: DataFrame, radius: int = 2, sample_size: int = 4096, sh
     searched. Each shard compares exactly and returns a spanning forest of its pairs, one link for a
     fingerprint at most, so that a dense cluster doesn't give all its pairs.
     """
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(sample_size).collect()], dtype=np.int64).view(np.uint64)
-    tree = Tree(np.sort(sample))
     total = distinct.count()
+    sample = np.array([r["fp"] for r in sampled(distinct, "fp", total, sample_size)], dtype=np.int64).view(np.uint64)
+    tree = Tree(np.sort(sample))
     levels = 1
-    while levels < 4 and total / 4**levels > shard_rows:  # rings part a level into about four
+    while levels < 6 and total / 4**levels > shard_rows:  # rings part a level into about four
         levels += 1
     steps = tree.visits(levels, radius)
     base = tree.width + 2 * radius + 1
