@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
