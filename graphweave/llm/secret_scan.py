@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import spans
-from graphweave.llm.common import renamed, store
+from graphweave.llm.common import store
 
 # The base patterns. Hexadecimal runs and access keys match the same with their
 # least length in the pattern; an assignment is matched first and its value measured after.
@@ -26,7 +26,7 @@ KINDS = ("assign", "access", "hex", "live")
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0{8}|1234567"
 
 
-def _tagged(found: Column, kind: str, keep: Column | None = None) -> Column:
+def _tagged(found: Column, kind: str) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).cast("long").alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["part"].alias("value")))
 
 

@@ -58,7 +58,7 @@ def test_stages(spark, rows, tmp_path):
         assert sum((found[k][s] for s in sorted(found[k])), []) == [*t.encode(kept["personal_data"][k], add_special_tokens=False).ids, 1]
 
 
-def test_stages_stand_awkward_tables(spark, docs, none, tmp_path):
+def test_stages_stand_awkward_tables(spark, docs, none):
     for df in (docs, none):
         for stage in (stages.keep_good, stages.keep_one_of_each, stages.mask_private):
             out = stage(df)
