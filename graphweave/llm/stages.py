@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm import packing, pii, quality, simhash, spans
+from graphweave.llm import near_copies, packing, pii, quality, spans
+from graphweave.llm.common import components, store
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -17,12 +18,17 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id; columns as they were.
 
-    Rows that share a doc_id are one document. A row without one can't be told from others and stays.
+    A group is what links of five-word Jaccard similarity 0.8 or more join. Rows that share a doc_id
+    are one document. A row without one can't be told from others and stays.
     """
-    groups = simhash.near_duplicates(docs)
-    least = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.where("doc_id is not null").withColumn("gw_key", F.xxhash64("doc_id", "text"))
+    rows, links = near_copies.near_copies(named.select(F.col("gw_key").alias("key"), "text"))
+    joined = store(components(links), "components")
+    ids = named.select("doc_id", F.col("gw_key").alias("key")).distinct().join(rows.distinct(), "key")
+    groups = ids.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("doc_id"))
+    least = groups.select("doc_id").distinct()
+    one = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mask_private(docs: DataFrame) -> DataFrame:

@@ -66,3 +66,25 @@ def test_stages_stand_awkward_tables(spark, docs, none):
             assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in df.select("doc_id").collect()}
     assert stages.keep_one_of_each(docs).where("doc_id is null").count() == 1
     assert stages.mask_private(docs).count() == docs.count()
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(3)
+    texts, want = [], set()
+    for k in range(30):
+        words = prose(rng, 300).split()
+        near, far = list(words), list(words)
+        for at in range(1 + k % 5):
+            near[30 + 50 * at] = "other"
+        for at in range(12):
+            far[10 + 24 * at] = "other"
+        texts += [" ".join(words), " ".join(near), " ".join(far)]
+        assert jaccard(texts[-3], texts[-2]) >= 0.8 > 0.75 > jaccard(texts[-3], texts[-1]) and jaccard(texts[-2], texts[-1]) < 0.8
+        want |= {3 * k, 3 * k + 2}
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SHAPE)
+    assert {r["doc_id"] for r in stages.keep_one_of_each(df).collect()} == want
