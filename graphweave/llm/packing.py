@@ -161,7 +161,7 @@ def token_statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, flo
 class Index:
     """BM25 over the documents of one shard: postings sorted by id, each with its weight."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75, terms: int = 24) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> None:
         flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, dtype=np.int64)
         owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
         keys, tf = np.unique(owner * len(idf) + flat, return_counts=True)
@@ -170,20 +170,41 @@ class Index:
         norm = k1 * (1 - b + b * lengths / max(mean, 1.0))
         weight = (idf[ids] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.query_from = np.searchsorted(self.doc, np.arange(len(docs) + 1))
-        self.query_ids, self.query_weight = ids, weight
+        self.query_ids = ids
         order = np.argsort(ids, kind="stable")
         self.posting_doc, self.posting_weight = self.doc[order], weight[order]
         self.posting_from = np.searchsorted(ids[order], np.arange(len(idf) + 1))
-        self.size, self.terms = len(docs), terms
+        self.size = len(docs)
+        # terms of many documents have a row of weights for all, which adds faster than postings
+        frequent = np.flatnonzero(np.diff(self.posting_from) * 8 > max(1, len(docs)))
+        self.row_of = np.full(len(idf), -1, dtype=np.int64)
+        self.row_of[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), len(docs)), dtype=np.float32)
+        there = self.row_of[ids] >= 0
+        self.rows[self.row_of[ids[there]], self.doc[there]] = weight[there]
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the seed's strongest terms."""
-        a, z = self.query_from[seed], self.query_from[seed + 1]
-        ids = self.query_ids[a:z]
-        if len(ids) > self.terms:
-            ids = ids[np.argpartition(-self.query_weight[a:z], self.terms - 1)[: self.terms]]
-        spans = [slice(self.posting_from[k], self.posting_from[k + 1]) for k in ids.tolist()]
-        return np.bincount(np.concatenate([self.posting_doc[s] for s in spans]), np.concatenate([self.posting_weight[s] for s in spans]), self.size)
+        """BM25 of every document for all terms of the seed."""
+        ids = self.query_ids[self.query_from[seed] : self.query_from[seed + 1]]
+        rows = self.row_of[ids]
+        out = self.rows[rows[rows >= 0]].sum(axis=0).astype(np.float64)
+        ids = ids[rows < 0]
+        spans = [slice(a, z) for a, z in zip(self.posting_from[ids].tolist(), self.posting_from[ids + 1].tolist())]
+        if spans:
+            out += np.bincount(np.concatenate([self.posting_doc[s] for s in spans]), np.concatenate([self.posting_weight[s] for s in spans]), self.size)
+        return out
+
+
+def falling(scores: np.ndarray) -> Iterator[int]:
+    """Places of the positive scores by falling score, then place; sorted in growing steps, so some come again."""
+    n = 0
+    while n < len(scores):
+        n = min(len(scores), max(16, 8 * n))
+        best = np.argpartition(-scores, n - 1)[:n]
+        for x in best[np.lexsort((best, -scores[best]))].tolist():
+            if scores[x] <= 0:
+                return
+            yield x
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
@@ -195,7 +216,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
             sequence += 1
         if len(ids) % window:
             rests.append((k, len(ids) - len(ids) % window))
-    index = Index([docs[k][start:] for k, start in rests], idf, mean)
+    index = Index([docs[k] for k, _ in rests], idf, mean)  # a long document counts by its whole text
     free = np.ones(len(rests), dtype=bool)
     following, filled = 0, 0
     seed, cut = -1, 0  # the document that seeds the window, and how much of its rest is packed
@@ -212,14 +233,9 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
         yield k, start + cut, left, sequence, 0  # a rest is shorter than a window
         filled, last = left, seed
         seed, cut = -1, 0
-        scores = np.where(free, index.scores(last), -1.0)
-        near = iter(())
-        if free.any():
-            most = min(16, len(rests))
-            best = np.argpartition(-scores, most - 1)[:most]
-            near = iter(best[np.lexsort((best, -scores[best]))].tolist())
+        near = falling(np.where(free, index.scores(last), -1.0)) if free.any() else iter(())
         while filled < window:
-            n = next((x for x in near if scores[x] > 0), -1)
+            n = next(near, -1)
             if n < 0:  # no neighbour left: the next document in order
                 while following < len(rests) and not free[following]:
                     following += 1

@@ -304,3 +304,32 @@ def test_op10_every_token_and_random_text():
 def test_empty_tables(spark, none, tmp_path, name):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert run(name, spark, str(tmp_path)) == []
+
+
+def test_op5_windows_are_filled_with_neighbours():
+    from graphweave.llm import packing
+
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.permutation(np.arange(1000 * (k % 2 + 1), 1000 * (k % 2 + 1) + 60))[:20], 1).astype("<u2") for k in range(80)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=49408)
+    idf = packing.idf_of(df, 80)
+    idf[1] = 0  # the end of a text is in all
+    kinds = {}
+    for k, _, _, seq, _ in packing.pack_shard(docs, idf, 21.0, 840):
+        kinds.setdefault(seq, set()).add(k % 2)
+    assert kinds == {0: {0}, 1: {1}}  # 40 short documents in a window, none of the other kind
+
+
+def test_op5_all_terms_and_whole_texts_count():
+    from graphweave.llm import packing
+
+    seed = np.arange(100, 140)
+    index = packing.Index([seed, np.array([139, 500]), *(np.array([k, 600 + k]) for k in range(100, 139))], np.linspace(3, 1, 1000), 4.0)
+    assert (index.scores(0)[1:] > 0).all()
+    long = np.concatenate([np.arange(2000, 2048), np.arange(3000, 3010)])
+    docs = [np.arange(9000, 9060), long, np.arange(5000, 5060), np.concatenate([np.arange(2000, 2040), np.arange(7000, 7014)])]
+    df = np.bincount(np.concatenate(docs), minlength=49408)
+    first = {}
+    for k, start, _, seq, offset in packing.pack_shard(docs[1:], packing.idf_of(df, 4), 50.0, 48):
+        first.setdefault(seq, []).append((offset, k, start))
+    assert any({0, 2} <= {k for _, k, _ in x} for x in first.values())  # they share the long text's first window only
