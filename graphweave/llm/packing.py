@@ -2,13 +2,16 @@
 
 A document's ids are cut into whole windows, which need no filling, and a rest. Rests are packed
 shard by shard: a shard is a run of documents that fits in memory, with an inverted index of its
-own; inverse document frequencies and the mean length are those of the whole corpus. A seed takes
+own; inverse document frequencies and the mean length are those of the whole corpus. Documents are
+routed to shards by content, in whatever file they lie: all are put in the order of the leaves of a
+k-means tree over projected term weights, and shards are runs of that order. A seed takes
 its best unused neighbours until the window is full; the last of them is cut, and what is left of it
 seeds the next window. So only the last window of a shard has padding.
 """
 
 from __future__ import annotations
 
+import bisect
 import contextlib
 import json
 import re
@@ -22,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graphweave.llm.common import renamed, slices, store
+from graphweave.llm import ann
+from graphweave.llm.common import renamed, sampled, slices, store
 
 WINDOW = 2048
 END_ID = 1
@@ -288,11 +292,63 @@ def pack_batches(batches: Iterator[pa.RecordBatch], idf: np.ndarray, mean: float
         yield from done()
 
 
+class Router:
+    """The place of a document in an order by content: the leaf of its vector, then the signs of the vector's components.
+
+    A vector is the document's term weights (as in the index) in a random projection.
+    """
+
+    def __init__(self, idf: np.ndarray, mean: float, wide: int = 64) -> None:
+        self.idf, self.mean = idf.astype(np.float32), mean
+        self.projection = np.random.default_rng(42).standard_normal((len(idf), wide), dtype=np.float32)
+
+    def vector(self, ids: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        terms, tf = np.unique(ids, return_counts=True)
+        weight = self.idf[terms] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / max(self.mean, 1.0)))).astype(np.float32)
+        v = weight @ self.projection[terms]
+        return v / max(float(np.sqrt(v @ v)), 1e-9)
+
+    def keys(self, tree: ann.Tree, vectors: np.ndarray) -> list[tuple[int, int]]:
+        signs = np.packbits(vectors[:, :63] > 0, axis=1, bitorder="big")
+        fine = np.concatenate([signs, np.zeros((len(vectors), 8 - signs.shape[1]), dtype=np.uint8)], axis=1).view(">u8").ravel() >> np.uint64(1)
+        return list(zip(tree.assign(vectors).tolist(), fine.tolist()))
+
+
+def routed(tokens: DataFrame, idf: np.ndarray, rows: int, total: int, shard_tokens: int, sample_size: int = 4096) -> DataFrame:
+    """tokens in partitions of about four shards, sorted so that documents of like content are next to each other.
+
+    Tree and bounds are fitted on about `sample_size` documents; every document is routed. Bounds
+    include a hash of the id, so that a large group of copies is split between partitions.
+    """
+    spark = tokens.sparkSession
+    router, parts = Router(idf, total / max(1, rows)), min(sample_size, -(-total // (4 * shard_tokens)))
+    some = sampled(tokens, "doc_id", rows, sample_size)
+    vectors = np.array([router.vector(np.frombuffer(r["ids"], dtype="<u2")) for r in some])
+    tree = ann.Tree(vectors, leaves=int(min(512, max(8, total // (shard_tokens // 2)))))
+    order = sorted((*key, r["gw_hash"]) for key, r in zip(router.keys(tree, vectors), some))
+    bounds = [order[len(order) * k // parts] for k in range(1, parts)]
+    shared = spark.sparkContext.broadcast((idf, total / max(1, rows), tree, bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean, tree, bounds = shared.value
+        router = Router(idf, mean)
+        for batch in slices(batches, "ids"):
+            if batch.num_rows:
+                keys = router.keys(tree, np.array([router.vector(np.frombuffer(x, dtype="<u2")) for x in batch.column("ids").to_pylist()]))
+                ties = batch.column("tie").to_pylist()
+                part = [bisect.bisect_right(bounds, (*k, t)) for k, t in zip(keys, ties)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "part", "leaf", "fine"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    placed = tokens.withColumn("tie", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, ids binary, n long, tie long, part int, leaf int, fine long")
+    return placed.repartition(parts, "part").sortWithinPartitions("part", "leaf", "fine", "tie").select("doc_id", "ids", "n")
+
+
 def idf_of(frequency: np.ndarray, rows: int) -> np.ndarray:
     return np.log1p((rows - frequency + 0.5) / (frequency + 0.5))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = 2_000_000) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     Every id of every document, with the end id after its text, lies in one piece. digest: the
@@ -306,11 +362,13 @@ def pack(docs: DataFrame, tokenizer_path: str, digest: bool = False, id_col: str
     idf = docs.sparkSession.sparkContext.broadcast(idf_of(frequency, rows))  # one number for each id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pack_batches(batches, idf.value, mean, window):
+        for batch in pack_batches(batches, idf.value, mean, window, shard_tokens):
             if digest:
                 sums = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
                 batch = batch.set_column(3, "ids_crc32", sums)
             yield batch
 
+    if rows:
+        tokens = routed(tokens, idf.value, rows, round(mean * rows), shard_tokens)
     kind = tokens.schema["doc_id"].dataType.simpleString()
     return tokens.mapInArrow(run, f"doc_id {kind}, start long, length long, {'ids_crc32 long' if digest else 'ids binary'}, doc_tokens long, sequence_id long, offset long")

@@ -333,3 +333,18 @@ def test_op5_all_terms_and_whole_texts_count():
     for k, start, _, seq, offset in packing.pack_shard(docs[1:], packing.idf_of(df, 4), 50.0, 48):
         first.setdefault(seq, []).append((offset, k, start))
     assert any({0, 2} <= {k for _, k, _ in x} for x in first.values())  # they share the long text's first window only
+
+
+def test_op5_neighbours_meet_from_all_files(spark):
+    from graphweave.llm import packing
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'abcdefghijklmnop'[rng.integers(16)]}{'rstuvwxyz'[rng.integers(9)]}" for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame([(k, texts[k % 40]) for k in range(240)], "doc_id long, text string").repartition(6)
+    rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), digest=True, window=256, shard_tokens=3000).collect()
+    assert {r["doc_id"] for r in rows} == set(range(240))
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r["doc_id"] % 40)
+    met = sum(len(v) - len(set(v)) for v in by.values()) / sum(len(v) - 1 for v in by.values())
+    assert met > 0.5  # of what is put beside a document, copies of one in the window
