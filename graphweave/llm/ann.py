@@ -2,7 +2,8 @@
 
 The tree is fitted in numpy on a bounded sample; every vector is then put into its leaf. A query
 walks the tree through a priority queue, always opening the bin whose centre has the largest inner
-product with it, until it has visited as many leaves as calibration found to be needed. Leaves are
+product with it, until it has visited as many leaves as calibration found to be needed and these
+hold k rows besides its own. Leaves are
 searched where they lie, in blocks, and scored exactly.
 """
 
@@ -78,14 +79,15 @@ class Tree:
                 moving += [k for k in c if self.children[k]]
         return self.leaf[at]
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of best-bin-first search, `most` at most."""
+    def visits(self, query: np.ndarray, most: int, counts: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """Leaves in the order of best-bin-first search: `most`, and more until they hold `rows` rows by counts."""
         worth = self.centres @ query
-        queue, out = [(-worth[0], 0)], []
-        while queue and len(out) < most:
+        queue, out, held = [(-worth[0], 0)], [], 0
+        while queue and (len(out) < most or counts is not None and held < rows):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                held += int(counts[out[-1]]) if counts is not None else 0
             for k in self.children[node]:
                 heapq.heappush(queue, (-worth[k], k))
         return out
@@ -215,7 +217,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             at, shards, leaves = [], [], []
             for n, q in enumerate(batch.column("v").flatten().to_numpy().reshape(-1, width)):
                 by: dict[int, list[int]] = {}
-                for leaf in tree.visits(q, most):
+                for leaf in tree.visits(q, most, counts, k + 1):  # itself and k others
                     for p in range(int(parts[leaf])):
                         by.setdefault(int(first[leaf]) + p, []).append(leaf)
                 at += [n] * len(by)

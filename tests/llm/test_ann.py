@@ -51,3 +51,14 @@ def test_few_and_none(spark):
     out = ann.search(table(spark, [[1.0, 0.0], [0.5, 0.5]], [0, 3])).collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in out] == [(0, 3, 0.5)]
     assert ann.search(table(spark, [])).collect() == []
+
+
+def test_small_leaves_do_not_shorten_the_result(spark, monkeypatch):
+    monkeypatch.setattr(ann.Tree, "calibrate", lambda *_: 1)  # as calibration may find on skewed vectors
+    rng = np.random.default_rng(5)
+    dense, far = rng.normal(size=(8, 16)) * 2, np.repeat(rng.normal(size=(8, 16)) * 40, 6, axis=0)
+    vectors = np.concatenate([dense[np.arange(452) % 8], far + rng.normal(scale=0.1, size=far.shape)]).astype(np.float32).tolist()
+    got = {}
+    for r in ann.search(table(spark, vectors), query_every=1).where("query_id >= 452 or query_id % 50 = 0").collect():
+        got[r["query_id"]] = got.get(r["query_id"], 0) + 1
+    assert set(got) == {*range(0, 452, 50), *range(452, 500)} and set(got.values()) == {20}
