@@ -18,17 +18,23 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id; columns as they were.
 
-    A group is what links of five-word Jaccard similarity 0.8 or more join. Rows that share a doc_id
-    are one document. A row without one can't be told from others and stays.
+    A group is what links of five-word Jaccard similarity 0.8 or more join, whatever the ids: other
+    texts under the same id stay. Rows without an id are in groups too, and kept only if no row of
+    theirs has one. Of rows with the least id, the one of the smallest hash of all columns is kept.
     """
-    named = docs.where("doc_id is not null").withColumn("gw_key", F.xxhash64("doc_id", "text"))
-    rows, links = near_copies.near_copies(named.select(F.col("gw_key").alias("key"), "text"))
+    keyed = docs.withColumn("gw_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    rows, links = near_copies.near_copies(keyed.select(F.col("gw_key").alias("key"), "text"))
     joined = store(components(links), "components")
-    ids = named.select("doc_id", F.col("gw_key").alias("key")).distinct().join(rows.distinct(), "key")
-    groups = ids.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("doc_id").alias("doc_id"))
-    least = groups.select("doc_id").distinct()
-    one = docs.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    ids = keyed.groupBy(F.col("gw_key").alias("key")).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    each = ids.join(rows.distinct(), "key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    best = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best"))
+    told = store(each.join(best, "component").select("key", (F.col("key") == F.col("best.key")).alias("kept"), "n"), "told")
+    # most rows are kept: only those to drop, and whole rows that are repeated, are looked up
+    apart = told.where("not kept or n > 1").select(F.col("key").alias("gw_key"))
+    again = told.where("kept and n > 1").select(F.col("key").alias("gw_key"))
+    once = keyed.join(near_copies.small(apart), "gw_key", "left_anti")
+    repeated = keyed.join(near_copies.small(again), "gw_key", "left_semi").dropDuplicates(["gw_key"])
+    return once.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mask_private(docs: DataFrame) -> DataFrame:

@@ -88,3 +88,12 @@ def test_near_copies_go(spark):
         want |= {3 * k, 3 * k + 2}
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], SHAPE)
     assert {r["doc_id"] for r in stages.keep_one_of_each(df).collect()} == want
+
+
+def test_texts_that_share_an_id_stay(spark):
+    rng = random.Random(5)
+    a, b, c = prose(rng), prose(rng), prose(rng)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (None, c), (None, c), (3, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SHAPE)
+    got = sorted(((r["doc_id"], r["text"]) for r in stages.keep_one_of_each(df).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (3, None)], key=str)
