@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import bisect
 import contextlib
-import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +32,19 @@ WINDOW = 2048
 END_ID = 1
 # The tokenizer's splitting pattern over lower-cased text up to U+024F, and the
 # characters there whose class or folding isn't plain; texts with those or later ones go to the library.
-PIECES = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+|'(?:[stmd]|re|ve|ll)|[0-9]|(?:[^\\s\\w]|[_\x1c-\x1f])+")
+PIECES = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f]+|'(?:[stmd]|re|ve|ll)|[0-9]|(?:[^\\s\\w]|_)+")
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to Python only
 ODD_BYTES = (b"\xb2", b"\xb3", b"\xb9", b"\xbc", b"\xbd", b"\xbe")
 NOT_PLAIN = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u0250-\U0010ffff]")
 
+# Byte-level tokenizers write a byte as its Latin-1 character if that can be seen, else as the next one from U+0100.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
 
 def is_plain(text: str) -> bool:
     """Whether PIECES splits the text as the library does."""
-    if "<|" in text:
+    if "<|" in text or any(x in text for x in SEPARATORS):
         return False
     if text.isascii():
         return True
@@ -51,42 +56,44 @@ def is_plain(text: str) -> bool:
 
 
 class _Memo(dict):
-    """Pieces with their ids; notes the pieces that were asked for in vain."""
+    """Words with their ids; notes the words that were asked for in vain."""
 
     def __init__(self) -> None:
         super().__init__()
         self.wanted: list[str] = []
 
-    def __missing__(self, piece: str) -> None:
-        self.wanted.append(piece)
+    def __missing__(self, word: str) -> None:
+        self.wanted.append(word)
 
 
 class WordBPE:
-    """The library's tokenizer with its results kept by piece: text is split here, each new piece is encoded once."""
+    """The library's tokenizer with its results kept by word at white space: each new word is encoded once.
+
+    No piece of the tokenizer's splitting pattern holds white space, so a text's ids are those of
+    its words, one after another. `memo` bounds the words that are kept; long ones never are.
+    """
 
-    def __init__(self, path: str, memo: int = 1_200_000) -> None:
+    def __init__(self, path: str, memo: int = 300_000, longest: int = 64) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        suffix = spec["model"]["end_of_word_suffix"]
-        self.ends = np.zeros(self.size, dtype=bool)
-        self.ends[[k for w, k in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
-        self.memo, self.most = _Memo(), memo
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces, many in one call: ids that end a word show where each piece ends."""
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.memo.update((x, raw[a:z]) for x, a, z in zip(some, cuts, cuts[1:]))
-            else:  # each by itself then
-                self.memo.update((x, np.array(self.library.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()) for x in some)
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.tokenize = self.library.model.tokenize  # of one piece, as it stands after splitting
+        self.memo, self.most, self.longest = _Memo(), memo, longest
+
+    def _plainly(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words piece by piece; the model takes bytes beyond ASCII as characters of their own."""
+        tokenize, kind = self.tokenize, self.kind[1:].replace("u2", "H").replace("u4", "I")
+        for word in words:
+            if word.isascii():
+                ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece)]
+            else:
+                ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+            self.memo[word] = array(kind, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them without special tokens."""
@@ -95,22 +102,25 @@ class WordBPE:
             memo.clear()
         split, parts, lacking = [], [], []
         for k, text in enumerate(texts):
-            found = PIECES.findall(text.lower()) if is_plain(text) else None
+            found = text.lower().split() if is_plain(text) else None
             before = len(memo.wanted)
             split.append(found)
-            parts.append([memo[x] for x in found] if found is not None else None)
+            parts.append(list(map(memo.__getitem__, found)) if found is not None else None)
             if len(memo.wanted) > before:
                 lacking.append(k)
-        if memo.wanted:
-            self._learn(list(dict.fromkeys(memo.wanted)))
-            memo.wanted = []
+        new = list(dict.fromkeys(memo.wanted))
+        memo.wanted = []
+        self._learn(new)
         for k in lacking:
             own, found, at = parts[k], split[k], -1
             with contextlib.suppress(ValueError):  # until there is none
                 while True:
                     at = own.index(None, at + 1)
                     own[at] = memo[found[at]]
-        return [np.frombuffer(b"".join(own), dtype="<u4") if own is not None else np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4") for own, text in zip(parts, texts)]
+        for x in new:
+            if len(x) > self.longest:
+                del memo[x]
+        return [np.frombuffer(b"".join(own), dtype=self.kind) if own is not None else self._plainly(text) for own, text in zip(parts, texts)]
 
 
 _loaded: dict[str, WordBPE] = {}
@@ -132,7 +142,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         end = np.array([END_ID], dtype="<u2").tobytes()
         for batch in slices(batches, "text", 4 << 20):
             ids = words.encode([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype("<u2").tobytes() + end for x in ids], pa.binary()), pa.array([len(x) + 1 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() + end for x in ids], pa.binary()), pa.array([len(x) + 1 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids binary, n long")
 
