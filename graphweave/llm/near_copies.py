@@ -1,9 +1,9 @@
 """Near copies of texts: the links of all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from minhashes in disjoint blocks (bands): two texts that agree in all minhashes of
-a band meet in a group. In a group the sets themselves are compared, so that no link is made below
-the similarity. A pair at exactly 0.8 shares none of the 20 bands of 5 with probability 0.0004, one
-at 0.9 with 1e-8.
+Candidates are the links of the SimHash operator, which finds about half of such pairs, and those of
+minhashes in disjoint blocks (bands): two texts that agree in all minhashes of a band meet in a group.
+The sets themselves are compared, so that no link is made below the similarity. A pair at exactly 0.8
+shares none of the 20 bands of 5 with probability 0.0004, one at 0.9 with 1e-8.
 """
 
 from __future__ import annotations
@@ -17,23 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import slices, store
+from graphweave.llm import simhash
+from graphweave.llm.common import components, slices, store
 
 SEED = 42
 BANDS, EACH = 20, 5
 
 
-def shingles(text: str | None, words_each: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles: words split at ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    join, digest = b" ".join, xxhash.xxh64_intdigest
-    if len(words) <= words_each:
-        return np.array([digest(join(words), SEED)], dtype=np.uint64)
-    return np.unique(np.array([digest(join(x), SEED) for x in zip(*(words[k:] for k in range(words_each)))], dtype=np.uint64))
-
-
 _rng = np.random.default_rng(SEED)
 _FLIPS = _rng.integers(0, 1 << 64, BANDS * EACH, dtype=np.uint64)
 _TIMES = _rng.integers(0, 1 << 63, BANDS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,39 +66,94 @@ def links(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]
             yield from ((x, n) for n in near.tolist())
 
 
-def near_copies(keyed: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Of keyed(key long, text): the (key, node) of every row and the links (a, b) between nodes.
+def agree(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose sets(node, shingles) have the similarity."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (batch.column(c).to_pylist() for c in ("x", "y"))
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for k, (x, y) in enumerate(zip(first, second)):
+                least, most = sorted((len(x), len(y)))
+                if least >= similarity * most - 1e-9:
+                    both = len(np.intersect1d(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), assume_unique=True))
+                    good[k] = both >= similarity * (len(x) // 8 + len(y) // 8 - both) - 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    x, y = (sets.select(F.col("node").alias(node), F.col("shingles").alias(name)) for node, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
-    A node is one set of shingles: rows with equal sets share it. The links join all nodes that
-    chains of pairs within a group connect, every one of them of the similarity.
+
+def near_copies(keyed: DataFrame, similarity: float = 0.8, words_each: int = 5, radius: int = 2, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Of keyed(key long, text): the (key, node) of every row and links (a, b) that join all near copies.
+
+    A node is one set of shingles: rows with equal sets share it. Candidates are the links of the
+    SimHash operator over fingerprints of the same shingles, and the nodes of a band with the band's
+    smallest one. They are as many as there are nodes in bands; each is compared exactly. That joins
+    nearly all; only bands whose nodes aren't in one component by then are compared node by node, in
+    blocks of `block` nodes, so that no task holds a band of any size. What has the smallest node's
+    component needs no comparison among itself. Every link has the similarity.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingles(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["key", "node", "bands"])
-
-    prints = store(keyed.select("key", "text").mapInArrow(run, "key long, node long, bands array<long>"), "shingles")
-    each = prints.select("node", F.explode("bands").alias("band")).distinct()
-    # pairs share most of their bands: equal groups are compared once
-    groups = each.groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes")).where(F.size("nodes") > 1).select("nodes").distinct()
-    members = store(groups.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("node")), "groups")
-    asked = prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
+            hashes = [simhash.shingle_hashes(x, words_each) for x in batch.column("text").to_pylist()]
+            sets, prints = [np.unique(x) for x in hashes], np.array([simhash.bits_of(x) for x in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([node_of(x) for x in sets], pa.int64()), pa.array(prints), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["key", "node", "fp", "bands"])
+
+    prints = store(keyed.select("key", "text").mapInArrow(run, "key long, node long, fp long, bands array<long>"), "shingles")
+    nodes = store(prints.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+
+    # candidates by fingerprint
+    sharing = nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    several = sharing.where("least <> most").select("fp", F.col("least").alias("b"))
+    equal = nodes.select(F.col("node").alias("a"), "fp").join(small(several), "fp").select("a", "b")
+    near = simhash.near_links(sharing.select("fp"), radius)
+    ends = [sharing.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    # candidates by band
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    groups = each.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
+    members = store(each.join(small(store(groups, "bands")), "band"), "members")
+    leading = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
+    every = equal.union(near).union(leading).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = store(every.distinct(), "pairs")
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(members.select("node")).distinct().join(nodes.select("node", "key"), "node").select("node", "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingles(x).astype("<u8").tobytes() for x in batch.column("text").to_pylist()], pa.binary())], ["node", "shingles"])
+            sets = [np.unique(simhash.shingle_hashes(x, words_each)).astype("<u8").tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     texts = keyed.join(small(store(asked, "asked")), "key").select("node", "text")
-    sets = texts.mapInArrow(cut, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = store(texts.mapInArrow(cut, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    found = store(agree(sets, pairs, similarity), "links")
+
+    # bands that are still in several components
+    joined = components(found)
+    told = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
+    open_bands = told.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("lead"), F.count("*").alias("n"), *same).where("low <> high")
+    once = open_bands.groupBy("n", "same1", "same2").agg(F.min(F.struct("band", "lead")).alias("b")).select("b.*", "n")  # bands of equal nodes count once
+    todo = store(told.join(small(once), "band"), "open")
+    apart = todo.groupBy("band").agg(F.count_if(F.expr("label <> lead")).alias("others"))
+    wide = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    todo = todo.join(small(apart), "band").select("band", "node", F.expr("label <> lead").alias("other"), F.when(F.col("n") <= block, 1).otherwise(wide(F.col("others"))).alias("rows"), wide(F.col("n")).alias("columns"))
+    place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    # every node stands in its column against all rows; others stand in their row against all columns too
+    across = todo.select("band", "node", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("columns", 3).alias("column"))
+    down = todo.where("other and columns > 1").select("band", "node", place("rows", 4).alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    cells = across.union(down).distinct()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node").sort_values("node")
-        nodes = part["node"].to_numpy()
-        found = [(nodes[a], nodes[b]) for a, b in links([np.frombuffer(x, dtype="<u8") for x in part["shingles"]], similarity)]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        part = part.sort_values("node")
+        ids = part["node"].to_numpy()
+        pairs = [(ids[a], ids[b]) for a, b in links([np.frombuffer(x, dtype="<u8") for x in part["shingles"]], similarity)]
+        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
 
-    return prints.select("key", "node"), members.join(sets, "node").groupBy("group").applyInPandas(compare, "a long, b long")
+    more = cells.join(sets, "node").groupBy("band", "row", "column").applyInPandas(compare, "a long, b long")
+    return prints.select("key", "node"), found.union(more)
 
 
 def small(keys: DataFrame, most: int = 2_000_000) -> DataFrame:

@@ -1,21 +1,14 @@
 """SimHash fingerprints, and their exact pairs within a few bits by sharded vantage-point trees.
 
-The 64 bits are cut into disjoint blocks. Each level of the tree has a vantage pattern on one block
-and parts the fingerprints by their Hamming distance to it there, one branch for each distance
-(a ring). By the triangle bound two fingerprints whose rings differ by k on a block differ in k bits
-of that block at least; as blocks don't overlap, these bounds add up over the levels. So from a
-fingerprint only branches whose summed ring difference stays within the radius are entered, and the
-rest is pruned, without losing a pair.
-
-The first levels make the shards: a fingerprint goes to its own shard, and near a boundary as a
-visitor to the shards before it that the bound leaves open. Every shard builds the lower levels of
-the tree in memory and compares what meets in a leaf exactly.
+The upper tree, fitted on a sample, parts all fingerprints by their Hamming distance to a vantage
+point at every node; its leaves are the shards. A fingerprint goes to its own shard, and as a visitor
+to those whose boundary it is near, as far as the triangle bound leaves them open. Every shard builds
+the lower levels of the tree over its own fingerprints and compares what meets in a leaf exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -30,16 +23,19 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, words_each: int = 3) -> int:
-    """The 64-bit SimHash of a text: words split at ASCII white space, A-Z lower-cased, shingles with repeats."""
+def shingle_hashes(text: str | None, words_each: int) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included: words split at ASCII white space, A-Z lower-cased; few words are one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
+    join, digest = b" ".join, xxhash.xxh64_intdigest
     if len(words) <= words_each:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        join, digest = b" ".join, xxhash.xxh64_intdigest
-        hashes = np.array([digest(join(x), SEED) for x in zip(*(words[k:] for k in range(words_each)))], dtype=np.uint64)
+        return np.array([digest(join(words), SEED)], dtype=np.uint64)
+    return np.array([digest(join(x), SEED) for x in zip(*(words[k:] for k in range(words_each)))], dtype=np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that over half of them have; zero of none."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = np.unpackbits(hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -47,6 +43,11 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words_each: int = 3) -> int:
+    """The 64-bit SimHash of a text."""
+    return bits_of(shingle_hashes(text, words_each))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; a null or blank text has fingerprint zero."""
     df = renamed(docs, doc_id=id_col, text=text_col)
@@ -60,115 +61,134 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Tree:
-    """The blocks of bits and a vantage pattern for each, fitted on a sample of fingerprints."""
+    """A vantage-point tree: every inner node has a vantage point and a Hamming distance that parts near from far.
+
+    For two fingerprints within the radius, their distances to a vantage point differ by the radius at
+    most (triangle bound). So of a pair that a node parts, the far one lies within the radius beyond
+    the cut: it visits the near side too, and everything else is pruned without losing a pair.
+    """
 
-    def __init__(self, sample: np.ndarray, width: int = 8, tries: int = 16) -> None:
+    def __init__(self, sample: np.ndarray, leaves: int, radius: int, tries: int = 8) -> None:
         rng = np.random.default_rng(SEED)
-        self.masks, self.vantage = [], []
-        for start in range(0, BITS, width):
-            mask = np.uint64(((1 << width) - 1) << start)
-            patterns = rng.integers(0, 1 << 63, tries, dtype=np.uint64) << np.uint64(1) | rng.integers(0, 2, tries, dtype=np.uint64)
-            self.masks.append(mask)
-            self.vantage.append(max(patterns, key=partial(spread_of, sample, mask=mask, width=width)))
-        # the blocks that part best come first
-        order = sorted(range(len(self.masks)), key=lambda k: -spread_of(sample, self.vantage[k], self.masks[k], width))
-        self.masks, self.vantage = [self.masks[k] for k in order], [self.vantage[k] for k in order]
-        self.width = width
-
-    def ring(self, fps: np.ndarray, level: int) -> np.ndarray:
-        return np.bitwise_count((fps ^ self.vantage[level]) & self.masks[level]).astype(np.int64)
-
-    def visits(self, levels: int, radius: int) -> np.ndarray:
-        """Ring steps to the shards that a fingerprint is copied to: none, or within the radius and first step down."""
-        steps = [()]
-        for _ in range(levels):
-            steps = [(*s, d) for s in steps for d in range(-radius, radius + 1) if sum(map(abs, s)) + abs(d) <= radius]
-        first = lambda s: next((d for d in s if d), 0)
-        return np.array([s for s in steps if first(s) <= 0], dtype=np.int64).reshape(-1, levels)
-
-    def links(self, homes: np.ndarray, visitors: np.ndarray, left: np.ndarray, level: int, radius: int, leaf: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs within the radius between homes, and between a visitor (with `left` bits to spend) and a home."""
-        if not len(homes):
-            return
-        if level == len(self.masks) or len(homes) * (len(homes) + len(visitors)) <= leaf:
-            everyone = np.concatenate([homes, visitors])
-            step = max(1, 4_000_000 // max(1, len(everyone)))
-            for at in range(0, len(homes), step):
-                i, j = np.nonzero(np.bitwise_count(homes[at : at + step, None] ^ everyone[None, :]) <= radius)
-                keep = j > i + at
-                yield homes[at : at + step][i[keep]], everyone[j[keep]]
-            return
-        own, theirs = self.ring(homes, level), self.ring(visitors, level)
-        for k in np.unique(own):
-            gone = np.abs(theirs - k)
-            near = gone <= left
-            above = (own > k) & (own <= k + radius)
-            yield from self.links(
-                homes[own == k], np.concatenate([visitors[near], homes[above]]),
-                np.concatenate([left[near] - gone[near], radius - (own[above] - k)]), level + 1, radius, leaf,
-            )
-
-
-def spread_of(sample: np.ndarray, pattern: np.uint64, mask: np.uint64, width: int) -> float:
-    """How evenly a vantage parts the sample: the entropy of its rings."""
-    shares = np.bincount(np.bitwise_count((sample ^ pattern) & mask), minlength=width + 1) / max(1, len(sample))
-    return -float(sum(p * np.log(p) for p in shares if p > 0))
-
-
-def forest(a: np.ndarray, b: np.ndarray, labels: dict[int, int]) -> None:
-    """Union by smallest of the pairs, into labels (a union-find table of node to parent)."""
-
-    def root(x: int) -> int:
-        while (up := labels.setdefault(x, x)) != x:
-            labels[x] = labels[up]
-            x = labels[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            labels[max(x, y)] = min(x, y)
-
-
-def near_links(distinct: DataFrame, radius: int = 2, sample_size: int = 4096, shard_rows: int = 20_000) -> DataFrame:
+        self.radius = radius
+        self.vantage: list[np.uint64] = []
+        self.cut: list[int] = []
+        self.sides: list[tuple[int, int]] = []  # near and far: nodes, or leaves as -1 - leaf
+        self.leaves = 0
+        enough = max(2, len(sample) // max(1, leaves))
+        waiting: list[tuple[np.ndarray, int, int]] = [(sample, -1, 0)]
+        while waiting:
+            rows, parent, side = waiting.pop(0)
+            best = parting(rows, radius, rng, tries) if len(rows) > enough else None
+            if best is None:
+                name = -1 - self.leaves
+                self.leaves += 1
+            else:
+                name = len(self.vantage)
+                self.vantage.append(best[0])
+                self.cut.append(best[1])
+                self.sides.append((0, 0))
+                near = np.bitwise_count(rows ^ best[0]) <= best[1]
+                waiting += [(rows[near], name, 0), (rows[~near], name, 1)]
+            if parent >= 0:
+                pair = [*self.sides[parent]]
+                pair[side] = name
+                self.sides[parent] = (pair[0], pair[1])
+
+    def route(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, fingerprints at home there, fingerprints that visit it)."""
+        waiting = [(0 if self.vantage else -1, fps, fps[:0])]
+        while waiting:
+            node, homes, visitors = waiting.pop()
+            if not len(homes) and not len(visitors):
+                continue
+            if node < 0:
+                yield -1 - node, homes, visitors
+                continue
+            near, far = parted(homes, visitors, self.vantage[node], self.cut[node], self.radius)
+            waiting += [(self.sides[node][0], *near), (self.sides[node][1], *far)]
+
+
+def parting(rows: np.ndarray, radius: int, rng: np.random.Generator, tries: int) -> tuple[np.uint64, int] | None:
+    """The vantage point among rows, and the cut, with the fewest rows just beyond it; between a quarter and three quarters are near."""
+    best = None
+    for vantage in rows[rng.integers(0, len(rows), tries)]:
+        share = np.cumsum(np.bincount(np.bitwise_count(rows ^ vantage), minlength=BITS + 1)) / len(rows)
+        for cut in np.flatnonzero((share[:-1] >= 0.25) & (share[:-1] <= 0.75)).tolist():
+            cost = share[min(BITS, cut + radius)] - share[cut]
+            if best is None or cost < best[0]:
+                best = (cost, vantage, cut)
+    return best and best[1:]
+
+
+def parted(homes: np.ndarray, visitors: np.ndarray, vantage: np.uint64, cut: int, radius: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(homes, visitors) of the near side and of the far side."""
+    own, theirs = np.bitwise_count(homes ^ vantage).astype(np.int64), np.bitwise_count(visitors ^ vantage).astype(np.int64)
+    crossing = homes[(own > cut) & (own <= cut + radius)]
+    return (homes[own <= cut], np.concatenate([visitors[theirs <= cut + radius], crossing])), (homes[own > cut], visitors[theirs > cut - radius])
+
+
+def pairs(homes: np.ndarray, visitors: np.ndarray, radius: int, leaf: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius between homes, and between a home and a visitor, by a tree over the homes, in parts."""
+    rng = np.random.default_rng(SEED)
+    waiting = [(homes, visitors)]
+    while waiting:
+        homes, visitors = waiting.pop()
+        best = parting(homes, radius, rng, 4) if len(homes) * (len(homes) + len(visitors)) > leaf else None
+        if best:
+            waiting += parted(homes, visitors, *best, radius)
+            continue
+        everyone = np.concatenate([homes, visitors])
+        step = max(1, 4_000_000 // max(1, len(everyone)))
+        for at in range(0, len(homes), step):
+            i, j = np.nonzero(np.bitwise_count(homes[at : at + step, None] ^ everyone[None, :]) <= radius)
+            keep = j > i + at
+            yield homes[at : at + step][i[keep]], everyone[j[keep]]
+
+
+def join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of places a and b, pair by pair: labels hold the smallest place of each place's set."""
+    while len(a):
+        p, q = labels[a], labels[b]
+        apart = p != q
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(labels, np.maximum(p, q), np.minimum(p, q))
+        while (labels[labels] != labels).any():
+            labels[:] = labels[labels]
+
+
+def near_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 50_000, least_shards: int = 24) -> DataFrame:
     """Links (a, b) that join all fingerprints of distinct(fp) that chains of pairs within the radius connect.
 
-    Vantage points are fitted on a sample of `sample_size` fingerprints; every fingerprint is
-    searched. Each shard compares exactly and returns a spanning forest of its pairs, one link for a
-    fingerprint at most, so that a dense cluster doesn't give all its pairs.
+    The upper tree is fitted on a sample, 64 fingerprints for each shard and at most a million; its
+    leaves are the shards. Every fingerprint is searched. Each shard compares exactly and returns a
+    spanning forest of its pairs, one link for a fingerprint at most, so that a dense cluster doesn't
+    give all its pairs. A shard takes 8 bytes for each fingerprint in it.
     """
     total = distinct.count()
-    sample = np.array([r["fp"] for r in sampled(distinct, "fp", total, sample_size)], dtype=np.int64).view(np.uint64)
-    tree = Tree(np.sort(sample))
-    levels = 1
-    while levels < 6 and total / 4**levels > shard_rows:  # rings part a level into about four
-        levels += 1
-    steps = tree.visits(levels, radius)
-    base = tree.width + 2 * radius + 1
+    leaves = max(-(-total // shard_rows), min(least_shards, -(-total // 1000)))
+    sample = np.array([r["fp"] for r in sampled(distinct, "fp", total, min(1 << 20, max(4096, 64 * leaves)))], dtype=np.int64).view(np.uint64)
+    tree = distinct.sparkSession.sparkContext.broadcast(Tree(np.sort(sample), leaves, radius))  # some bytes for each shard
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            rings = np.stack([tree.ring(fps.view(np.uint64), k) for k in range(levels)], axis=1)
-            for step in steps:
-                to = rings + step
-                inside = ((to >= 0) & (to <= tree.width)).all(axis=1)
-                shard = np.zeros(len(fps), dtype=np.int64)
-                for k in range(levels):
-                    shard = shard * base + to[:, k]
-                spent = np.full(int(inside.sum()), int(np.abs(step).sum()), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[inside]), pa.array(fps[inside]), pa.array(spent)], ["shard", "fp", "spent"])
+            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            routes = list(tree.value.route(fps))
+            if routes:
+                sizes = np.array([(len(homes), len(visitors)) for _, homes, visitors in routes])
+                columns = [np.repeat([leaf for leaf, _, _ in routes], sizes.sum(axis=1)), np.concatenate([x for r in routes for x in r[1:]]).view(np.int64), np.repeat(np.tile([True, False], len(routes)), sizes.ravel())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shard", "fp", "home"])
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        fps, spent = part["fp"].to_numpy().view(np.uint64), part["spent"].to_numpy()
-        homes, visitors = np.sort(fps[spent == 0]), fps[spent > 0]
-        labels: dict[int, int] = {}
-        for a, b in tree.links(homes, visitors, (radius - spent[spent > 0]).astype(np.int64), levels, radius):
-            forest(a.view(np.int64), b.view(np.int64), labels)
-        links = [(x, up) for x, up in labels.items() if x != up]
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    return distinct.select("fp").mapInArrow(scatter, "shard long, fp long, spent int").groupBy("shard").applyInPandas(search, "a long, b long")
+        fps, home = part["fp"].to_numpy().view(np.uint64), part["home"].to_numpy()
+        names = np.unique(fps)
+        labels = np.arange(len(names))
+        for a, b in pairs(np.sort(fps[home]), fps[~home], radius):
+            join(labels, np.searchsorted(names, a), np.searchsorted(names, b))
+        linked = np.flatnonzero(labels != np.arange(len(names)))
+        return pd.DataFrame({"a": names[linked].view(np.int64), "b": names[labels[linked]].view(np.int64)})
+
+    return distinct.select("fp").mapInArrow(scatter, "shard long, fp long, home boolean").groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 3, radius: int = 2) -> DataFrame:

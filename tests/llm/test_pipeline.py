@@ -97,3 +97,31 @@ def test_texts_that_share_an_id_stay(spark):
     df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], SHAPE)
     got = sorted(((r["doc_id"], r["text"]) for r in stages.keep_one_of_each(df).collect()), key=str)
     assert got == sorted([(1, a), (2, b), (None, c), (3, None)], key=str)
+
+
+def test_large_groups_are_compared_in_blocks(spark):
+    """A chain of copies, each changed a little, that shares bands but isn't one star; many blocks, and few."""
+    from graphweave.llm import near_copies
+    from graphweave.llm.common import components
+
+    rng = random.Random(11)
+    words = prose(rng, 200).split()
+    texts = [" ".join(words)]
+    for k in range(60):
+        words = list(words)
+        words[(k * 7) % 190] = f"w{k}"
+        texts.append(" ".join(words))
+    texts += [prose(rng, 200) for _ in range(20)]
+    keyed = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = parent[i], parent[j]
+                parent = [min(a, b) if x in (a, b) else x for x in parent]
+    for block in (5, 2000):
+        rows, links = near_copies.near_copies(keyed, block=block)
+        node = {r["key"]: r["node"] for r in rows.collect()}
+        found = {r["node"]: r["component"] for r in components(links).collect()}
+        got = [found.get(node[k], node[k]) for k in range(len(texts))]
+        assert all((got[i] == got[j]) == (parent[i] == parent[j]) for i in range(len(texts)) for j in range(i))

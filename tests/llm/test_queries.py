@@ -196,11 +196,14 @@ def test_op6_tree_is_exact():
     own = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     near = own[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
     fps = np.unique(np.concatenate([own, near, own[:50] ^ np.uint64(1)]))
-    tree = simhash.Tree(fps)
-    for radius in (1, 2, 3):
-        got = set()
-        for a, b in tree.links(fps, fps[:0], np.zeros(0, dtype=np.int64), 0, radius, leaf=50):
-            got |= {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    for radius, leaves in ((1, 1), (2, 16), (3, 60)):  # up to six levels of shards, and levels below in each
+        tree, got = simhash.Tree(fps[::2], leaves, radius), set()
+        assert leaves == 1 or tree.leaves > leaves // 2
+        for _, homes, visitors in tree.route(fps):
+            for a, b in simhash.pairs(homes, visitors, radius, leaf=50):
+                found = [(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())]
+                assert not got & set(found)  # every pair meets once
+                got |= set(found)
         i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)
         assert got == {(int(fps[x]), int(fps[y])) for x, y in zip(i, j) if x < y}
 
