@@ -24,13 +24,13 @@ SEED = 42
 
 
 def exact_scores(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Inner products in double precision (queries x vectors), summed from the first component on.
+    """Inner products of pairs of rows in double precision, summed from the first component on.
 
     The order of the sum is the same for every pair, so equal vectors have equal scores.
     """
-    out = np.zeros((len(queries), len(vectors)))
+    out = np.zeros(len(queries))
     for j in range(vectors.shape[1]):
-        out += queries[:, j, None] * vectors[None, :, j]
+        out += queries[:, j] * vectors[:, j]
     return out
 
 
@@ -133,30 +133,51 @@ def _first(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) ->
     return order[place < k]
 
 
-def search_shard(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of candidates(id, v, leaf) for each of queries(id, v, leaves), looking into the query's leaves only."""
+def first_copies(vectors: np.ndarray, ids: np.ndarray, leaf: np.ndarray, most: int) -> np.ndarray:
+    """Places, by leaf then id, without the copies of a vector beyond the `most` of smallest ids: no query needs those."""
+    raw = np.ascontiguousarray(vectors).view([("", vectors.dtype)] * vectors.shape[1]).ravel()
+    kind = np.unique(raw, return_inverse=True)[1]
+    order = np.lexsort((ids, kind))
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(kind[order]) != 0]))
+    turn = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    kept = order[turn < most]
+    return kept[np.lexsort((ids[kept], leaf[kept]))]
+
+
+def search_shard(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, cells: int = 4_000_000) -> pd.DataFrame:
+    """The k best of candidates(id, v, leaf) for each of queries(id, v, leaves), looking into the query's leaves only.
+
+    Blocked matrix products find what is within rounding of the k best; these are scored exactly.
+    """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(candidates) and len(queries):
-        candidates = candidates.sort_values(["leaf", "id"], kind="stable")
         ids, leaf, those = candidates["id"].to_numpy(), candidates["leaf"].to_numpy(), np.array(list(candidates["v"]))
+        kept = first_copies(those, ids, leaf, k + 1)  # one may be the query itself
+        ids, leaf, those = ids[kept], leaf[kept], those[kept]
         names, asked = queries["id"].to_numpy(), np.array(list(queries["v"]))
-        visits = queries["leaves"].explode()
-        rows, into = np.repeat(np.arange(len(queries)), queries["leaves"].map(len)), visits.to_numpy(dtype=np.int64)
-        for n in np.unique(leaf):
-            a, z = np.searchsorted(leaf, [n, n + 1])
-            here = rows[into == n]
-            step = max(1, 2_000_000 // (z - a))
-            for at in range(0, len(here), step):
-                some = here[at : at + step]
-                scores = exact_scores(those[a:z], asked[some])
-                scores[names[some][:, None] == ids[None, a:z]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # equal scores: smaller id first
-                value = np.take_along_axis(scores, best, axis=1)
-                good = np.isfinite(value)
-                found.append((np.repeat(names[some], best.shape[1])[good.ravel()], ids[a:z][best][good], value[good]))
+        rows = np.repeat(np.arange(len(queries)), queries["leaves"].map(len))
+        into = queries["leaves"].explode().to_numpy(dtype=np.int64)
+        kinds, first = np.unique(leaf, return_index=True)
+        after = np.append(first[1:], len(leaf))
+        widest, lengths = np.sqrt((those**2).sum(axis=1)).max(), np.sqrt((asked**2).sum(axis=1))
+        slack = 4 * those.shape[1] * np.finfo(np.float64).eps * widest * lengths
+        step = max(1, cells // len(ids))
+        for at in range(0, len(asked), step):
+            some = slice(at, min(at + step, len(asked)))
+            scores = np.full((some.stop - at, len(ids)), -np.inf)
+            inside = (rows >= at) & (rows < some.stop)
+            here, there = rows[inside] - at, into[inside]
+            for n, a, z in zip(kinds.tolist(), first.tolist(), after.tolist()):
+                if len(who := here[there == n]):
+                    scores[who, a:z] = asked[at + who] @ those[a:z].T
+            scores[names[some][:, None] == ids[None, :]] = -np.inf
+            least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
+            q, c = np.nonzero((scores >= (least - slack[some])[:, None]) & np.isfinite(scores))
+            exact = exact_scores(those[c], asked[at + q])
+            best = _first(q, ids[c], exact, k)
+            found.append((names[at + q[best]], ids[c[best]], exact[best]))
     q, i, s = (np.concatenate([x[j] for x in found]) if found else np.zeros(0) for j in range(3))
-    keep = _first(q, i, s, k)
-    return pd.DataFrame({"query_id": q[keep].astype(np.int64), "vec_id": i[keep].astype(np.int64), "score": s[keep].astype(np.float64)})
+    return pd.DataFrame({"query_id": q.astype(np.int64), "vec_id": i.astype(np.int64), "score": s.astype(np.float64)})
 
 
 def shards_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,30 +193,30 @@ def shards_of(counts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_every: int = 20, recall: float = 0.97, sample_size: int = 16384, block: int = 8192, query_block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, query_every: int = 20, recall: float = 0.97, leaf_rows: int = 256, sample_size: int = 16384, block: int | None = None, query_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every row whose id `query_every` divides.
 
     Every row is indexed; the tree and the number of leaves to visit are fitted on about `sample_size`
-    rows (those of the smallest hashes). Vectors that are null, zero, of another length than most of
-    the sample or hold null or non-finite components take no part, nor do rows without an id. A row
-    is not its own neighbour. Repeated rows are candidates each. Leaves lie in shards of about
-    `block` vectors, searched by `query_block` queries at a time, so a leaf of any size, such as one
-    vector repeated, is spread over tasks; a task returns k rows of a query. Fewer than k candidates:
-    all that were found. An empty table: no rows.
+    rows (those of the smallest hashes), or 16 for each leaf of about `leaf_rows` rows, 65,536 at most.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
+    without an id; shorter vectors count as if filled up with zeros. A row is not its own neighbour.
+    Repeated rows are candidates each. Leaves lie in shards of about `block` vectors (a sixteenth of
+    them, 1,024 to 32,768), searched by `query_block` queries at a time, so a leaf of any size, such as
+    one vector repeated, is spread over tasks; a task returns k rows of a query. Fewer than k
+    candidates: all that were found. An empty table: no rows.
     """
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     df = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     df = df.where(sound & F.exists("v", lambda x: x != 0))
-    total = df.count()
-    sample = sampled(df, "id", total, sample_size)
-    if not sample:
+    total, width = df.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not total:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(r["v"]) for r in sample]
-    width = max(sorted(set(lengths)), key=lengths.count)
-    df = df.where(F.size("v") == width)
-    rows = np.array([r["v"] for r in sample if len(r["v"]) == width])
-    tree = Tree(rows, leaves=int(min(1024, max(8, total**0.5 / 2))))
+    df = df.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
+    leaves = min(4096, max(8, total // leaf_rows))
+    block = block or min(32768, max(1024, total // 16))
+    rows = np.array([r["v"] for r in sampled(df, "id", total, max(sample_size, 16 * leaves))])
+    tree = Tree(rows, leaves)
     most = tree.calibrate(rows, k, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

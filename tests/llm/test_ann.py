@@ -39,14 +39,35 @@ def test_recall_and_order(spark):
 
 
 def test_ties_go_to_smaller_ids_and_bad_vectors_take_no_part(spark):
-    bad = [None, [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0]]
+    bad = [None, [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0]]
     vectors = [[1.0, 1.0]] * 60 + bad
-    out = ann.search(table(spark, vectors, [*range(60), *range(100, 200, 20), 61]), block=7, query_block=2).collect()
+    out = ann.search(table(spark, vectors, [*range(60), *range(100, 200, 20)]), block=7, query_block=2).collect()
     assert {r["query_id"] for r in out} == {0, 20, 40}
     first = sorted((r["rank"], r["vec_id"]) for r in out if r["query_id"] == 0)
     assert first == [(k, k) for k in range(1, 21)]
 
 
+def test_vectors_of_other_lengths_take_part(spark):
+    """The contract leaves out null, zero and non-finite vectors only; a missing component counts as zero."""
+    out = ann.search(table(spark, [[1.0, 1.0], [1.0, 2.0, 3.0], [2.0], [0.0, 0.0, 5.0]], [0, 1, 2, 20])).collect()
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out}
+    assert got == {(0, 1): (1, 3.0), (0, 2): (2, 2.0), (0, 3): (20, 0.0), (20, 1): (1, 15.0), (20, 2): (0, 0.0), (20, 3): (2, 0.0)}
+
+
+def test_recall_beyond_the_sample(spark):
+    """Three quarters of the rows are unseen by the fit; scores are the sums in the order of components."""
+    rng = np.random.default_rng(8)
+    vectors = (rng.normal(size=(40, 24))[np.arange(4000) % 40] + rng.normal(scale=0.5, size=(4000, 24))).astype(np.float32).tolist()
+    whole, hits, n = np.array(vectors, dtype=np.float64), 0, 0
+    for r in ann.search(table(spark, vectors), sample_size=1000, leaf_rows=100, block=500, query_block=50).collect():
+        total = 0.0
+        for x, y in zip(vectors[r["query_id"]], vectors[r["vec_id"]]):
+            total += x * y
+        assert r["score"] == total
+        hits, n = hits + (r["vec_id"] in brute(whole, r["query_id"])), n + 1
+    assert n == 4000 and hits / n >= 0.9
+
+
 def test_few_and_none(spark):
     out = ann.search(table(spark, [[1.0, 0.0], [0.5, 0.5]], [0, 3])).collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in out] == [(0, 3, 0.5)]
