@@ -73,7 +73,8 @@ def external_shuffle(docs: DataFrame, shards: int = 24, key_col: str = "doc_id",
     Within a shard, rows are scattered over buckets of about `bucket_bytes` of text, equal rows over
     different ones, so that a shard of any size and any number of copies is shuffled within a task's
     memory. A null text has no bytes. An empty table gives an empty table. Columns of docs may have
-    any names that don't begin with gw_.
+    any names that don't begin with gw_. Shards depend on keys alone; the order within them also on
+    how the table's files are split, since nothing else tells equal rows apart.
     """
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + 8
     key = F.col(f"`{key_col}`")
@@ -87,7 +88,8 @@ def external_shuffle(docs: DataFrame, shards: int = 24, key_col: str = "doc_id",
     spread = F.xxhash64(F.lit(seed), key, F.monotonically_increasing_id())
     df = docs.select("*", shard.alias("gw_shard"), spread.alias("gw_spread"))
     df = df.withColumn("gw_bucket", F.get(first, F.col("gw_shard")) + F.pmod(F.col("gw_spread"), F.get(per_shard, F.col("gw_shard"))))
-    scattered = df.repartition(total, "gw_bucket").sortWithinPartitions("gw_bucket", "gw_spread").drop("gw_spread")
+    # one bucket, one partition: the largest task is a bucket
+    scattered = df.repartitionById(total, F.col("gw_bucket").cast("int")).sortWithinPartitions("gw_bucket", "gw_spread").drop("gw_spread")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema)
     return store(scattered.mapInArrow(lambda batches: shuffle_buckets(batches, seed), f"{fields}, gw_place long"), "shards")
 
@@ -104,7 +106,3 @@ def with_slots(shuffled: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     few = starts.count() <= most_broadcast
     return shuffled.join(F.broadcast(starts) if few else starts, "gw_bucket").withColumn("gw_slot", F.col("gw_start") + F.col("gw_place")).drop("gw_start")
 
-
-def write(shuffled: DataFrame, path: str) -> None:
-    """Write the shards as Parquet folders, rows in the order of their slots within each file's bucket."""
-    shuffled.sortWithinPartitions("gw_shard", "gw_bucket", "gw_place").write.partitionBy("gw_shard").parquet(path)
