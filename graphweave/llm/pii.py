@@ -2,8 +2,9 @@
 
 Patterns propose spans. Regex, gazetteer and context labelers vote on each or abstain,
 expectation-maximisation over all vote patterns estimates their reliabilities, and a logistic span
-classifier is trained on the resulting probabilities. Base spans always stand; the classifier
-decides on the others.
+classifier is trained on the resulting probabilities. Besides the votes it sees what no labeler
+looks at: the word before the span, hashed, and marks of its form. Base spans always stand; the
+classifier decides on the others.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL_PHONE = r"(?<![0-9+(.-])(?<![0-9+][\x20])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _TITLE = r"(?<=\b(?:Mr|Mrs|Ms|Dr|Prof|Dear|Name)[.:]?\x20)"
-_SURNAME = r"\x20[A-Z][a-z]{1,20}(?![A-Za-z])"
+_SURNAME = r"\x20[A-Z][a-z]++(?![A-Za-z])"
+#: Buckets of the word before a span; 0 is no word.
+WORDS = 32
 KINDS = ("email", "ip", "card", "phone", "local_phone", "national_id", "name")
 #: Gazetteers, short on purpose; a caller can pass longer ones.
 FIRST_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Maria Jose Juan Pierre Marie Jean Hans Klaus".split()
@@ -78,7 +81,9 @@ def _span(kind: str, x: Column, names: list[str]) -> Column:
         "local_phone": F.lit(0).cast("byte"), "national_id": F.lit(0).cast("byte"), "name": _vote(F.substring_index(x["hit"], " ", 1).isin(names), ~F.substring_index(x["hit"], " ", 1).isin(names)),
     }[kind]
     near = _vote(x["before"].rlike(CONTEXT[kind]), x["before"].rlike(AGAINST))
-    return F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).cast("long").alias("rank"), x["start"].alias("start"), x["end"].alias("end"), shape.alias("shape"), known.alias("known"), near.alias("near"))
+    word = F.lower(F.regexp_extract(x["before"], r"(\pL+)[^\pL]*$", 1))
+    own = {"word": F.when(word == "", 0).otherwise(F.pmod(F.xxhash64(word), F.lit(WORDS - 1)) + 1).cast("int"), "colon": x["before"].rlike(r"[:=]\s*$"), "digit": x["before"].rlike(r"[0-9]\s*$"), "same": x["hit"].rlike(r"([0-9])\1\1")}
+    return F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).cast("long").alias("rank"), x["start"].alias("start"), x["end"].alias("end"), shape.alias("shape"), known.alias("known"), near.alias("near"), *(v.cast("int").alias(k) for k, v in own.items()))
 
 
 def _found(text: str, names: list[str]) -> Column:
@@ -89,21 +94,27 @@ def _found(text: str, names: list[str]) -> Column:
         return F.transform(hits, lambda x: _span(kind, x, names))
 
     # a name is proposed after a title, or where the gazetteer knows the first name
-    name = rf"(?<![A-Za-z])(?:{_TITLE}[A-Z][a-z]{{1,20}}|{'|'.join(names)}){_SURNAME}"
+    name = rf"(?<![A-Za-z])(?:{_TITLE}[A-Z][a-z]++|{'|'.join(names)}){_SURNAME}"
     return F.concat(*(of(*x) for x in zip(KINDS, (EMAIL, IP, CARD, PHONE, LOCAL_PHONE, NATIONAL_ID, name))))
 
 
-def train(rows: list[tuple[tuple[str, int, int, int], int, float]], rounds: int = 400, rate: float = 0.5) -> dict[str, float]:
-    """Logistic regression on (features, rows, probability) by gradient steps; features are the kind and the votes."""
+VOTED, FEATURES = ("shape", "known", "near"), ("colon", "digit", "same")
+
+
+def train(rows: list[tuple[dict, int, float]], rounds: int = 120, rate: float = 1.0) -> dict[str, float]:
+    """Logistic regression on (span, rows, probability) by gradient steps: the kind, the votes, the word before and the marks."""
     w: dict[str, float] = {"bias": 0.0}
     total = sum(n for _, n, _ in rows) or 1
-    named = [([("bias", 1.0), (f"kind={f[0]}", 1.0), ("shape", f[1]), ("known", f[2]), ("near", f[3])], n / total, p) for f, n, p in sorted(rows)]
+    named = []
+    for f, n, p in rows:
+        xs = [("bias", 1.0), (f"kind={f['kind']}", 1.0), (f"word={f['word']}", 1.0), *((k, float(f[k])) for k in (*VOTED, *FEATURES) if f[k])]
+        named.append((xs, n / total, p))
     for _ in range(rounds):
         step: dict[str, float] = {}
         for xs, share, p in named:
-            error = p - 1 / (1 + math.exp(-sum(w.get(k, 0.0) * v for k, v in xs)))
+            error = share * (p - 1 / (1 + math.exp(-sum(w.get(k, 0.0) * v for k, v in xs))))
             for k, v in xs:
-                step[k] = step.get(k, 0.0) + share * error * v
+                step[k] = step.get(k, 0.0) + error * v
         for k, v in step.items():
             w[k] = w.get(k, 0.0) + rate * v - 1e-4 * w.get(k, 0.0)
     return w
@@ -114,22 +125,29 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
 
     Base spans are the e-mail addresses, IP addresses, cards and phone numbers that pass their
     checks. Local phone numbers, national ids and names are added where the classifier gives them
-    `threshold` or more. Both arrays are sorted by kind as listed, then start. A null text counts as
+    `threshold` or more. names is the gazetteer of first names. Both arrays are sorted by kind as listed, then start. A null text counts as
     empty; repeated rows are returned each; an empty table gives an empty table. Columns of docs may
     have any names that don't begin with gw. The fit counts vote patterns over all rows.
     """
     names = names or FIRST_NAMES
     df = docs.select(*(F.col(f"`{c}`") for c in keep or []), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("gw_text"))
     seen = store(df.select(*(F.col(f"`{c}`") for c in keep or []), _found("gw_text", names).alias("gw_found")), "pii")
-    seen_patterns = seen.select(F.explode("gw_found").alias("x")).groupBy("x.kind", "x.shape", "x.known", "x.near").count().collect()
-    model = weak.fit([(r[1:4], r[4]) for r in seen_patterns], 3, prior=0.7, prior_range=(0.3, 0.9))
-    weights = train([((r[0], r[1], r[2], r[3]), r[4], model.posterior(r[1:4])) for r in seen_patterns])
+    # at most kinds x 27 patterns of votes x words x 8 rows, whatever the size of the corpus
+    seen_patterns = seen.select(F.explode("gw_found").alias("x")).groupBy("x.kind", *(f"x.{c}" for c in (*VOTED, "word", *FEATURES))).count().collect()
+    seen_patterns = sorted((r.asDict() for r in seen_patterns), key=lambda r: tuple(r.values()))
+    voted: dict[tuple[int, ...], int] = {}
+    for r in seen_patterns:
+        votes = tuple(r[c] for c in VOTED)
+        voted[votes] = voted.get(votes, 0) + r["count"]
+    model = weak.fit(list(voted.items()), len(VOTED), prior=0.7, prior_range=(0.3, 0.9))
+    weights = train([(r, r["count"], model.posterior([r[c] for c in VOTED])) for r in seen_patterns])
 
     def likely(x: Column) -> Column:
         odds = F.lit(weights["bias"])
         for kind in KINDS:
             odds = odds + F.when(x["kind"] == kind, weights.get(f"kind={kind}", 0.0)).otherwise(0.0)
-        for name in ("shape", "known", "near"):
+        odds = odds + F.get(F.array(*(F.lit(weights.get(f"word={k}", 0.0)) for k in range(WORDS))), x["word"])
+        for name in (*VOTED, *FEATURES):
             odds = odds + x[name] * F.lit(weights.get(name, 0.0))
         return 1 / (1 + F.exp(-odds)) >= threshold
 
