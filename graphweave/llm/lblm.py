@@ -1,10 +1,10 @@
 """A log-bilinear language model trained with noise-contrastive estimation, and exact scores of whole texts.
 
-The model predicts one of a bounded number of classes (the end of a text, the most frequent words,
-and one class for all other words) from the vectors of the two classes before. Its score is a sum of
-one term for each context place, so the normalisers of all pairs of contexts come from one matrix
-product, and with them every token's normalised log-probability is three table look-ups. A word of
-the common class gets its share of it by its count in the whole corpus.
+The model predicts a token from the vectors of the two tokens before: first its class, then the token
+within the class, each normalised, so a token costs about twice the square root of the vocabulary.
+Tokens are the most frequent words, each with vectors of its own, and buckets that all other words
+are hashed to, with a vector for each bucket; within a bucket a word has its share by corpus counts.
+So what the model tells apart is bounded by a documented size, and no word is left out.
 
 Counts are exact for every word. The most frequent ones (a bounded table) go to every task; the rest
 are joined by word, which no longer has any hot key.
@@ -13,11 +13,12 @@ are joined by word, which no longer has any hot key.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from graphweave.llm.common import slices, store
 
 END = b""  # words are never empty
 SEED = 42
-FIXED = 1 << 16  # parameters are summed over tasks as whole numbers, so that the order of the sum doesn't matter
+FIXED = 1 << 12  # parameters are summed over tasks as whole numbers, so that the order of the sum doesn't matter
+DIMENSIONS = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,156 +78,235 @@ def head_limit(counts: DataFrame, most: int) -> int:
     return limit if limit is not None else 1 << 62
 
 
-class LogBilinear:
-    """Vectors of contexts R and targets Q, context weights C (2 x dimensions), biases b."""
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sum of the values that each has."""
+    order = np.argsort(rows, kind="stable")
+    sorted_rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+    return sorted_rows[starts], np.add.reduceat(values[order], starts, axis=0)
 
-    def __init__(self, unigram: np.ndarray, dimensions: int = 16) -> None:
-        rng = np.random.default_rng(SEED)
-        size = len(unigram)
-        self.p = {"R": rng.normal(0, 0.1, (size, dimensions)), "Q": rng.normal(0, 0.1, (size, dimensions)), "C": np.ones((2, dimensions)) * [[1.0], [0.5]], "b": np.log(unigram)}
-        self.unigram = unigram
-        self.grown = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
 
-    def train(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, rng: np.random.Generator, noises: int = 24, rate: float = 0.1, batch: int = 1024) -> None:
-        """One pass of noise-contrastive estimation: data against `noises` shared draws from the unigram distribution."""
-        R, Q, C, b = (self.p[k] for k in "RQCb")
-        size, wide = R.shape
-        log_noise = np.log(self.unigram * noises)
+class LogBilinear:
+    """Vectors of tokens as contexts R and as targets Q (the last column is a bias), of classes A, and the weights C of both places.
 
-        def gathered(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
-            return np.stack([np.bincount(rows, values[:, d], size) for d in range(wide)], axis=1)
+    Tokens are numbered class by class; `item` has a token's number by its rank. Classes have about
+    equal sums of the square roots of frequencies, so frequent tokens are in small ones.
+    """
 
+    def __init__(self, mass: np.ndarray, classes: int = 256, wide: int = DIMENSIONS) -> None:
+        rng = np.random.default_rng(SEED)
+        order = np.argsort(-mass, kind="stable")
+        roots = np.cumsum(np.sqrt(mass[order]))
+        kinds = np.minimum((roots - 1e-9) / roots[-1] * classes, classes - 1).astype(np.int64)
+        kinds = np.unique(kinds, return_inverse=True)[1]
+        self.item = np.empty(len(mass), dtype=np.int64)
+        self.item[order] = np.arange(len(mass))
+        self.kind = kinds  # of each token, by number
+        self.first = np.searchsorted(kinds, np.arange(kinds[-1] + 2))
+        self.size = np.diff(self.first)
+        share = mass[order] / mass.sum()
+        self.until = np.cumsum(share)
+        self.class_share = np.add.reduceat(share, self.first[:-1])
+        self.inside = share / self.class_share[kinds]
+        draw = lambda n: rng.normal(0, 0.1, (n, wide))
+        self.p = {
+            "R": draw(len(mass)), "Q": np.column_stack([draw(len(mass)), np.log(self.inside)]), "A": np.column_stack([draw(len(self.size)), np.log(self.class_share)]),
+            "C": np.ones((2, wide)) * [[1.0], [0.5]],
+        }
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.grown = {k: np.full_like(v, 0.1) for k, v in self.p.items()}
+
+    def step(self, name: str, rows: np.ndarray, values: np.ndarray, rate: float) -> None:
+        """One adaptive gradient step of some rows of a table."""
+        rows, sums = summed(rows, values)
+        self.grown[name][rows] += sums * sums
+        self.p[name][rows] += rate * sums / np.sqrt(self.grown[name][rows])
+
+    def train(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, rng: np.random.Generator, noises: int = 24, inner: int = 2, rate: float = 0.2, batch: int = 2048) -> None:
+        """One pass of noise-contrastive estimation: classes against shared draws, tokens against draws from their class, both by frequency."""
+        R, Q, A, C = (self.p[k] for k in "RQAC")
+        log_noise, log_inner = np.log(self.class_share * noises).astype(np.float32), np.log(self.inside * inner).astype(np.float32)
+        starts = np.concatenate([[0.0], self.until])
+        rising = lambda x: 1 / (1 + np.exp(np.clip(x, -30, 30)))
         for at in range(0, len(target), batch):
             u, v, w = before[at : at + batch], last[at : at + batch], target[at : at + batch]
-            n = rng.choice(size, noises, p=self.unigram)
+            c, n = self.kind[w], rng.choice(len(self.size), noises, p=self.class_share)
             ru, rv = R[u], R[v]
             hidden = C[0] * rv + C[1] * ru
-            data = (hidden * Q[w]).sum(axis=1) + b[w] - log_noise[w]
-            noise = hidden @ Q[n].T + b[n] - log_noise[n]
-            up = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # towards data
-            down = -1 / (1 + np.exp(np.clip(-noise, -30, 30)))  # away from noise
-            back = up[:, None] * Q[w] + down @ Q[n]
-            step = {"Q": gathered(w, up[:, None] * hidden), "R": gathered(v, back * C[0]) + gathered(u, back * C[1]), "C": np.stack([(back * rv).sum(axis=0), (back * ru).sum(axis=0)]), "b": np.bincount(w, up, size)}
-            np.add.at(step["Q"], n, down.T @ hidden)
-            np.add.at(step["b"], n, down.sum(axis=0))
-            for k, g in step.items():
-                g = g / len(w)
-                self.grown[k] += g * g
-                self.p[k] += rate * g / np.sqrt(self.grown[k])
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in "RQCb"])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for k in "RQCb":
-            size = self.p[k].size
-            self.p[k] = flat[at : at + size].reshape(self.p[k].shape).copy()
-            at += size
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 scores by (last, target) and (one before, target), and log10 normalisers by (last, one before)."""
-        near = (self.p["C"][0] * self.p["R"]) @ self.p["Q"].T + self.p["b"]
-        far = (self.p["C"][1] * self.p["R"]) @ self.p["Q"].T
-        top_near, top_far = near.max(axis=1), far.max(axis=1)
-        total = np.exp(near - top_near[:, None]) @ np.exp(far - top_far[:, None]).T
-        normal = np.log(total) + top_near[:, None] + top_far[None, :]
-        return tuple((x / np.log(10)).astype(np.float32) for x in (near, far, normal))
-
-
-def contexts(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes one and two tokens before each; before a text stands its end class (0).
-
-    classes: the tokens of texts, one text after another; ends: the place after each text's last token.
+            up = rising((hidden * A[c, :-1]).sum(axis=1) + A[c, -1] - log_noise[c])  # towards data
+            down = -rising(log_noise[n] - hidden @ A[n, :-1].T - A[n, -1])  # away from noise
+            back = up[:, None] * A[c, :-1] + down @ A[n, :-1]
+            ones = np.ones((len(w), 1), dtype=np.float32)
+            full = np.concatenate([hidden, ones], axis=1)
+            self.step("A", np.concatenate([c, n]), np.concatenate([up[:, None] * full, down.T @ full]), rate)
+            some = np.flatnonzero(self.size[c] > 1)
+            if len(some):
+                k, h, f = c[some], hidden[some], full[some]
+                low = starts[self.first[k]][:, None]
+                drawn = np.searchsorted(self.until, low + rng.random((len(some), inner)) * self.class_share[k][:, None], side="right")
+                drawn = np.clip(drawn, self.first[k][:, None], self.first[k + 1][:, None] - 1)
+                q, other = Q[w[some]], Q[drawn]
+                up = rising((f * q).sum(axis=1) - log_inner[w[some]])
+                down = -rising(log_inner[drawn] - np.einsum("nd,nmd->nm", f, other))
+                back[some] += up[:, None] * q[:, :-1] + np.einsum("nm,nmd->nd", down, other[:, :, :-1])
+                self.step("Q", np.concatenate([w[some], drawn.ravel()]), np.concatenate([up[:, None] * f, (down[:, :, None] * f[:, None, :]).reshape(-1, f.shape[1])]), rate)
+            self.step("C", np.array([0, 1]), np.stack([(back * rv).sum(axis=0), (back * ru).sum(axis=0)]), rate)
+            self.step("R", np.concatenate([v, u]), np.concatenate([back * C[0], back * C[1]]), rate)
+
+    def log_probabilities(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+        """Normalised log10 probabilities of targets, by matrix products over batches of one class."""
+        R, Q, A, C = (self.p[k] for k in "RQAC")
+        out = np.empty(len(target))
+
+        def of(h: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarray:
+            scores = h @ table[:, :-1].T
+            scores += table[:, -1]
+            own = scores[np.arange(len(h)), place]
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            return own - top - np.log(np.exp(scores, out=scores).sum(axis=1))
+
+        step = max(1, cells // len(self.size))
+        for at in range(0, len(target), 64 * step):
+            where = slice(at, at + 64 * step)
+            hidden = C[0] * R[last[where]] + C[1] * R[before[where]]
+            w = target[where]
+            c, some = self.kind[w], np.empty(len(w), dtype=np.float32)
+            for a in range(0, len(w), step):
+                some[a : a + step] = of(hidden[a : a + step], A, c[a : a + step])
+            order = np.argsort(c.astype(np.int16), kind="stable")
+            cuts = np.searchsorted(c[order], np.arange(len(self.size) + 1)).tolist()
+            for k in np.flatnonzero(self.size > 1).tolist():
+                f, z = int(self.first[k]), int(self.first[k + 1])
+                wide = max(1, cells // (z - f))
+                for a in range(cuts[k], cuts[k + 1], wide):
+                    rows = order[a : min(a + wide, cuts[k + 1])]
+                    some[rows] += of(hidden[rows], Q[f:z], w[rows] - f)
+            out[where] = some
+        return out / np.log(10)
+
+
+def contexts(tokens: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two places before each; before a text stands the end of one.
+
+    tokens: those of texts, one text after another; ends: the place after each text's last token.
     """
-    last = np.concatenate([[0], classes[:-1]])
-    before = np.concatenate([[0, 0], classes[:-2]])[: len(classes)]
+    last = np.concatenate([[end], tokens[:-1]])
+    before = np.concatenate([[end, end], tokens[:-2]])[: len(tokens)]
     starts = np.concatenate([[0], ends[:-1]])
-    before[starts] = 0
+    before[starts] = end
     second = starts + 1
-    before[second[second < ends]] = 0
-    last[starts] = 0
+    before[second[second < ends]] = end
+    last[starts] = end
     return before, last
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = 1024, head: int = 131072, dimensions: int = 16) -> DataFrame:
+def trained(training: DataFrame, ranked: Callable, mass: np.ndarray, classes: int, parts: int) -> LogBilinear:
+    """The model after one pass over training(text) in `parts` tasks, averaged.
+
+    Each task starts alike; a token's vectors are averaged over the tasks that saw it, by how often
+    they did. What a task gives is a row for each token it saw, summed by the JVM; what comes to the
+    driver is the model.
+    """
+    wide = DIMENSIONS + 1
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, rng = LogBilinear(mass, classes), np.random.default_rng(SEED)
+        seen = {k: np.zeros(len(v), dtype=np.int64) for k, v in model.p.items()}
+        for batch in slices(batches, "text", 4 << 20):
+            if batch.num_rows:
+                _, ranks, ends = ranked(batch.column("text").to_pylist())
+                own = model.item[ranks]
+                before, last = contexts(own, ends, int(model.item[0]))
+                order = rng.permutation(len(own))
+                model.train(before[order], last[order], own[order], rng)
+                for name, rows in (("R", last), ("R", before), ("Q", own), ("A", model.kind[own])):
+                    seen[name] += np.bincount(rows, minlength=len(seen[name]))
+                seen["C"] += len(own)
+        for number, name in enumerate("RQAC"):
+            rows = np.flatnonzero(seen[name])
+            for at in range(0, len(rows), 20_000):
+                some = rows[at : at + 20_000]
+                values = np.zeros((len(some), wide), dtype=np.int64)
+                values[:, : model.p[name].shape[1]] = np.round(model.p[name][some].astype(np.float64) * FIXED)
+                values *= seen[name][some][:, None]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some), pa.array(seen[name][some]), *(pa.array(values[:, k]) for k in range(wide))], names)
+
+    names = ["part", "row", "n", *(f"v{k}" for k in range(wide))]
+    sums = training.coalesce(parts).mapInArrow(learn, ", ".join(f"{c} long" for c in names)).groupBy("part", "row").agg(*(F.sum(c).alias(c) for c in names[2:])).toArrow()
+    model = LogBilinear(mass, classes)
+    part, row, n, *values = (sums.column(c).to_numpy() for c in names)
+    for number, name in enumerate("RQAC"):
+        here = part == number
+        width = model.p[name].shape[1]
+        if here.any():
+            model.p[name][row[here]] = np.stack([values[k][here] / (n[here] * float(FIXED)) for k in range(width)], axis=1)
+    return model
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 65536, buckets: int = 16384, classes: int = 256, task_tokens: int = 40_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Both scores are log10 probabilities of the whole text and its end: base_score under the smoothed
-    counts of single words, score under the model. Training reads every document that isn't held out;
-    each task trains on its documents from one common start, and the parameters are averaged by
-    tokens. `classes` bounds the model, `head` the word table that tasks hold. A null text counts as
-    empty and has the end alone; repeated rows count and are scored each; a table without training
-    documents gives the scores of an untrained model. Other columns of docs are ignored.
+    counts of single words, score under the model. Training reads every document that isn't held out,
+    in tasks of about `task_tokens` tokens or as many as there are cores. `head` words have vectors of
+    their own, the others share `buckets`. A null text counts as empty and has the end alone; repeated
+    rows count and are scored each; a table without training documents gives the scores of an untrained
+    model; an empty table gives an empty table. Other columns of docs are ignored.
     """
     spark = docs.sparkSession
     df = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     training = df.where(~held_out(F.col("doc_id"))).select("text")
     counts = store(word_counts(training), "counts")
     tokens, types = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    top = sorted(counts.where(F.col("c") >= head_limit(counts, head)).collect(), key=lambda r: (-r[1], bytes(r[0])))
+    limit = head_limit(counts, head)
+    top = sorted(counts.where(F.col("c") >= limit).collect(), key=lambda r: (-r[1], bytes(r[0])))
     listed = [END, *(bytes(r[0]) for r in top if bytes(r[0]) != END)]
     by_word = {bytes(r[0]): r[1] for r in top}
-    known = np.array([by_word.get(w, 0) for w in listed] + [0], dtype=np.int64)  # the last: words beyond the head
-    short = min(classes - 1, len(listed))
-    class_of = np.full(len(listed) + 1, short, dtype=np.int64)
-    class_of[:short] = np.arange(short)
-    mass = np.append(known[:short], max(0, tokens - int(known[:short].sum()))) + 1.0
-    unigram = mass / mass.sum()
-    rest_tokens, rest_types = tokens - int(known[:short].sum()), types - int((known[:short] > 0).sum())
+    known = np.array([by_word.get(w, 0) for w in listed], dtype=np.int64)
+    held, kinds = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+    beyond = counts.where((F.col("c") < limit) & (F.length("word") > 0)).groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("b")).agg(F.sum("c"), F.count("*"))
+    for b, c, n in beyond.collect():  # one row for each bucket
+        held[b], kinds[b] = c, n
+    mass = np.concatenate([known, held]) + 0.5 * np.concatenate([np.ones(len(known)), kinds + 1])
+    inside_bucket = np.log10(held + 0.5 * (kinds + 1))
     shared = spark.sparkContext.broadcast({w: k for k, w in enumerate(listed)})
-    beyond = len(listed)
+    first = len(listed)  # ranks from here on are buckets
 
     def ranked(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
         """Words of each text, ranks of all tokens with ends, and the place after each text."""
-        rank, words = shared.value, [words_of(x) for x in texts]
+        rank, words, digest = shared.value, [words_of(x) for x in texts], xxhash.xxh64_intdigest
         ends = np.cumsum([len(w) + 1 for w in words])
         out = np.zeros(ends[-1], dtype=np.int64)
         for w, end in zip(words, ends.tolist()):
-            out[end - 1 - len(w) : end - 1] = np.fromiter(map(rank.get, w, repeat(beyond)), dtype=np.int64, count=len(w))
+            start = end - 1 - len(w)
+            own = np.fromiter(map(rank.get, w, repeat(-1)), dtype=np.int64, count=len(w))
+            for k in np.flatnonzero(own < 0).tolist():
+                own[k] = first + digest(w[k], SEED) % buckets
+            out[start : end - 1] = own
         return words, out, ends
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rng, seen = LogBilinear(unigram, dimensions), np.random.default_rng(SEED), 0
-        for batch in slices(batches, "text"):
-            if batch.num_rows:
-                _, ranks, ends = ranked(batch.column("text").to_pylist())
-                own = class_of[ranks]
-                before, last = contexts(own, ends)
-                order = rng.permutation(len(own))
-                model.train(before[order], last[order], own[order], rng)
-                seen += len(own)
-        if seen:
-            flat = np.round(model.flat() * FIXED).astype(np.int64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat))), pa.array(np.concatenate([[seen], flat]))], ["k", "v"])
-
-    model = LogBilinear(unigram, dimensions)
-    sums = {r[0]: int(r[1]) for r in training.mapInArrow(learn, "k long, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)"))).collect()}
-    if sums:
-        model.load(np.array([sums[k] / (FIXED * sums[-1]) for k in range(len(sums) - 1)]))
-    near, far, normal = model.tables()
-    tables = spark.sparkContext.broadcast((near, far, normal))
-    logs = np.log10(known + 0.5)
-    rest_total = float(np.log10(rest_tokens + 0.5 * (rest_types + 1)))
+    parts = max(spark.sparkContext.defaultParallelism, tokens // task_tokens)
+    model = spark.sparkContext.broadcast(trained(training, ranked, mass, classes, parts))  # bounded by head, buckets and classes
+    logs = np.concatenate([np.log10(known + 0.5), np.zeros(buckets)])
+    familiar = np.concatenate([known > 0, np.zeros(buckets, dtype=bool)])
+    shares = np.concatenate([np.zeros(first), inside_bucket])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far, normal = tables.value
+        m = model.value
         for batch in slices(batches, "text", 4 << 20):
             if not batch.num_rows:
                 continue
             words, ranks, ends = ranked(batch.column("text").to_pylist())
-            own = class_of[ranks]
-            before, last = contexts(own, ends)
+            own = m.item[ranks]
+            before, last = contexts(own, ends, int(m.item[0]))
             starts = np.concatenate([[0], ends[:-1]])
-            common = own == short
-            by_class = near[last, own].astype(np.float64) + far[before, own] - normal[last, before] - common * rest_total
-            inside = np.where(ranks < beyond, logs[ranks], 0.0)
             total = lambda x: np.add.reduceat(x, starts)
-            tails = [list(compress(w, (ranks[e - 1 - len(w) : e - 1] == beyond).tolist())) for w, e in zip(words, ends.tolist())]
+            tails = [list(compress(w, (ranks[e - 1 - len(w) : e - 1] >= first).tolist())) for w, e in zip(words, ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(ends - starts),
-                    pa.array(total((known[ranks] > 0).astype(np.int64))), pa.array(total(inside)), pa.array(total(by_class + common * inside)), pa.array(tails, pa.list_(pa.binary())),
+                    pa.array(total(familiar[ranks].astype(np.int64))), pa.array(total(logs[ranks])), pa.array(total(m.log_probabilities(before, last, own) - shares[ranks])), pa.array(tails, pa.list_(pa.binary())),
                 ],
                 ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "tail"],
             )

@@ -261,9 +261,32 @@ def test_op9_model_learns_and_is_normalised(spark):
         rows.append((k, " ".join(out)))
     got = lblm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").collect()
     assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)  # log10: nearer to zero is better
-    near, far, normal = lblm.LogBilinear(np.full(30, 1 / 30)).tables()
-    p = 10.0 ** (near[3][None, :] + far - normal[3][:, None])
-    assert p.sum(axis=1) == pytest.approx(np.ones(30), rel=1e-4)
+    model, every = lblm.LogBilinear(1.0 / np.arange(1, 301), classes=12), np.arange(300)
+    assert len(model.size) > 8 and model.size.max() > 30
+    model.p["Q"] += rng.normal(0, 1, model.p["Q"].shape).astype(np.float32)
+    for before, last in ((0, 0), (7, 250), (299, 3)):
+        p = 10.0 ** model.log_probabilities(np.full(300, before), np.full(300, last), every, cells=100)
+        assert p.sum() == pytest.approx(1, rel=1e-4)
+
+
+def test_op9_words_in_buckets_share_by_counts(spark):
+    """Of two words in one bucket, known or not, the scores of texts that differ in them differ by their smoothed counts alone."""
+    from graphweave.llm import lblm
+
+    out = (k for k in range(10**6, 2 * 10**6) if zlib.crc32(str(k).encode()) % 5 == 1)
+    train = [(k, " ".join(f"r{j}" for j in range(12) if (k + j) % (j + 1) == 0)) for k in range(300)]
+    asked = {next(out): w for w in [f"r{j}" for j in range(12)] + [f"u{j}" for j in range(12)]}
+    df = spark.createDataFrame(train + [(k, f"r0 {w} r1") for k, w in asked.items()], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["score"] for r in lblm.score(df, head=4, buckets=3, classes=4).collect()}
+    c = Counter(w for k, t in train if zlib.crc32(str(k).encode()) % 5 != 1 for w in t.split())
+    head = {w for w, _ in c.most_common(4)}
+    groups = {}
+    for k, w in asked.items():
+        if w not in head:
+            groups.setdefault(xxhash.xxh64_intdigest(w.encode(), 42) % 3, []).append(got[k] - math.log10(c[w] + 0.5))
+    assert len(groups) == 3
+    for rest in groups.values():
+        assert rest == pytest.approx([rest[0]] * len(rest), abs=1e-5)
 
 
 def test_op9_rare_words_are_joined(spark):
@@ -271,7 +294,7 @@ def test_op9_rare_words_are_joined(spark):
 
     rows = [(k, f"common a{k % 7} rare{k}") for k in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    some = {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in lblm.score(df, classes=4, head=3).collect()}
+    some = {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in lblm.score(df, classes=4, head=3, buckets=4).collect()}
     every = {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in lblm.score(df, classes=4).collect()}
     assert some == every
 
