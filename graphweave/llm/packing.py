@@ -12,11 +12,10 @@ seeds the next window. So only the last window of a shard has padding.
 from __future__ import annotations
 
 import bisect
-import contextlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,71 +55,60 @@ def is_plain(text: str) -> bool:
 
 
 class _Memo(dict):
-    """Words with their ids; notes the words that were asked for in vain."""
+    """Words with their ids as bytes; a word that is asked for in vain is encoded piece by piece.
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.wanted: list[str] = []
+    The first `most` words are kept, frequent ones among them. After eight times as many vain calls
+    all are forgotten, for other texts may have come. The model takes bytes beyond ASCII as characters
+    of their own.
+    """
 
-    def __missing__(self, word: str) -> None:
-        self.wanted.append(word)
+    def __init__(self, tokenize: Callable, code: str, most: int, longest: int) -> None:
+        super().__init__()
+        self.tokenize, self.code, self.most, self.longest, self.vain = tokenize, code, most, longest, 0
+
+    def __missing__(self, word: str) -> bytes:
+        tokenize = self.tokenize
+        if word.isascii():
+            ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece)]
+        else:
+            ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
+        out = array(self.code, ids).tobytes()
+        if len(self) < self.most:
+            if len(word) <= self.longest:
+                self[word] = out
+        else:
+            self.vain += 1
+            if self.vain > 8 * self.most:
+                self.vain = 0
+                self.clear()
+        return out
 
 
 class WordBPE:
     """The library's tokenizer with its results kept by word at white space: each new word is encoded once.
 
     No piece of the tokenizer's splitting pattern holds white space, so a text's ids are those of
-    its words, one after another. `memo` bounds the words that are kept; long ones never are.
+    its words, one after another. `memo` bounds the words that are kept; those beyond `longest`
+    characters never are.
     """
 
-    def __init__(self, path: str, memo: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, path: str, memo: int = 500_000, longest: int = 64) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.tokenize = self.library.model.tokenize  # of one piece, as it stands after splitting
-        self.memo, self.most, self.longest = _Memo(), memo, longest
-
-    def _plainly(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words piece by piece; the model takes bytes beyond ASCII as characters of their own."""
-        tokenize, kind = self.tokenize, self.kind[1:].replace("u2", "H").replace("u4", "I")
-        for word in words:
-            if word.isascii():
-                ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece)]
-            else:
-                ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
-            self.memo[word] = array(kind, ids).tobytes()
+        self.memo = _Memo(self.library.model.tokenize, "H" if self.kind == "<u2" else "I", memo, longest)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library gives them without special tokens."""
-        memo = self.memo
-        if len(memo) >= self.most:
-            memo.clear()
-        split, parts, lacking = [], [], []
-        for k, text in enumerate(texts):
-            found = text.lower().split() if is_plain(text) else None
-            before = len(memo.wanted)
-            split.append(found)
-            parts.append(list(map(memo.__getitem__, found)) if found is not None else None)
-            if len(memo.wanted) > before:
-                lacking.append(k)
-        new = list(dict.fromkeys(memo.wanted))
-        memo.wanted = []
-        self._learn(new)
-        for k in lacking:
-            own, found, at = parts[k], split[k], -1
-            with contextlib.suppress(ValueError):  # until there is none
-                while True:
-                    at = own.index(None, at + 1)
-                    own[at] = memo[found[at]]
-        for x in new:
-            if len(x) > self.longest:
-                del memo[x]
-        return [np.frombuffer(b"".join(own), dtype=self.kind) if own is not None else self._plainly(text) for own, text in zip(parts, texts)]
+        ids_of, out = self.memo.__getitem__, []
+        for text in texts:
+            if is_plain(text):
+                out.append(np.frombuffer(b"".join(map(ids_of, text.lower().split())), dtype=self.kind))
+            else:
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind))
+        return out
 
 
 _loaded: dict[str, WordBPE] = {}
