@@ -78,14 +78,6 @@ def head_limit(counts: DataFrame, most: int) -> int:
     return limit if limit is not None else 1 << 62
 
 
-def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, and the sum of the values that each has."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    return sorted_rows[starts], np.add.reduceat(values[order], starts, axis=0)
-
-
 class LogBilinear:
     """Vectors of tokens as contexts R and as targets Q (the last column is a bias), of classes A, and the weights C of both places.
 
@@ -116,72 +108,116 @@ class LogBilinear:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.grown = {k: np.full_like(v, 0.1) for k, v in self.p.items()}
 
-    def step(self, name: str, rows: np.ndarray, values: np.ndarray, rate: float) -> None:
-        """One adaptive gradient step of some rows of a table."""
-        rows, sums = summed(rows, values)
-        self.grown[name][rows] += sums * sums
-        self.p[name][rows] += rate * sums / np.sqrt(self.grown[name][rows])
+    def step(self, name: str, rows: np.ndarray, sums: np.ndarray, rate: float) -> None:
+        """One adaptive gradient step of distinct rows of a table."""
+        grown = self.grown[name][rows]
+        grown += sums * sums
+        self.grown[name][rows] = grown
+        self.p[name][rows] += rate * sums / np.sqrt(grown)
+
+    def train(self, tokens: np.ndarray, starts: np.ndarray, rng: np.random.Generator, noises: int = 24, inner: int = 1, rate: float = 0.2, batch: int = 2048) -> None:
+        """One pass of noise-contrastive estimation: classes against shared draws, tokens against draws from their class, both by frequency.
 
-    def train(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, rng: np.random.Generator, noises: int = 24, inner: int = 2, rate: float = 0.2, batch: int = 2048) -> None:
-        """One pass of noise-contrastive estimation: classes against shared draws, tokens against draws from their class, both by frequency."""
+        tokens: those of texts, one text after another, beginning at `starts`. Tokens are taken in
+        order, so those of a batch are gathered and sorted once, as contexts, targets and classes.
+        """
         R, Q, A, C = (self.p[k] for k in "RQAC")
+        end = int(self.item[0])
         log_noise, log_inner = np.log(self.class_share * noises).astype(np.float32), np.log(self.inside * inner).astype(np.float32)
-        starts = np.concatenate([[0.0], self.until])
+        low = np.concatenate([[0.0], self.until])[self.first[:-1]]
         rising = lambda x: 1 / (1 + np.exp(np.clip(x, -30, 30)))
-        for at in range(0, len(target), batch):
-            u, v, w = before[at : at + batch], last[at : at + batch], target[at : at + batch]
+        flat = np.concatenate([[end, end], tokens])
+        opening = np.zeros(len(tokens), dtype=bool)
+        opening[starts] = True
+        for at in range(0, len(tokens), batch):
+            near, first = flat[at : at + batch + 2], np.flatnonzero(opening[at : at + batch])
+            w = near[2:]
             c, n = self.kind[w], rng.choice(len(self.size), noises, p=self.class_share)
-            ru, rv = R[u], R[v]
-            hidden = C[0] * rv + C[1] * ru
-            up = rising((hidden * A[c, :-1]).sum(axis=1) + A[c, -1] - log_noise[c])  # towards data
-            down = -rising(log_noise[n] - hidden @ A[n, :-1].T - A[n, -1])  # away from noise
-            back = up[:, None] * A[c, :-1] + down @ A[n, :-1]
-            ones = np.ones((len(w), 1), dtype=np.float32)
-            full = np.concatenate([hidden, ones], axis=1)
-            self.step("A", np.concatenate([c, n]), np.concatenate([up[:, None] * full, down.T @ full]), rate)
-            some = np.flatnonzero(self.size[c] > 1)
-            if len(some):
-                k, h, f = c[some], hidden[some], full[some]
-                low = starts[self.first[k]][:, None]
-                drawn = np.searchsorted(self.until, low + rng.random((len(some), inner)) * self.class_share[k][:, None], side="right")
-                drawn = np.clip(drawn, self.first[k][:, None], self.first[k + 1][:, None] - 1)
-                q, other = Q[w[some]], Q[drawn]
-                up = rising((f * q).sum(axis=1) - log_inner[w[some]])
-                down = -rising(log_inner[drawn] - np.einsum("nd,nmd->nm", f, other))
-                back[some] += up[:, None] * q[:, :-1] + np.einsum("nm,nmd->nd", down, other[:, :, :-1])
-                self.step("Q", np.concatenate([w[some], drawn.ravel()]), np.concatenate([up[:, None] * f, (down[:, :, None] * f[:, None, :]).reshape(-1, f.shape[1])]), rate)
-            self.step("C", np.array([0, 1]), np.stack([(back * rv).sum(axis=0), (back * ru).sum(axis=0)]), rate)
-            self.step("R", np.concatenate([v, u]), np.concatenate([back * C[0], back * C[1]]), rate)
-
-    def log_probabilities(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
-        """Normalised log10 probabilities of targets, by matrix products over batches of one class."""
+            there = R[near]
+            rv, ru = there[1:-1], there[:-2].copy()
+            ru[first] = R[end]
+            full = np.empty((len(w), R.shape[1] + 1), dtype=np.float32)
+            full[:, -1] = 1
+            np.add(C[0] * rv, C[1] * ru, out=full[:, :-1])
+            own, noise = A[c], A[n]
+            up = rising(np.einsum("nd,nd->n", full, own) - log_noise[c])  # towards data
+            down = -rising(log_noise[n] - full @ noise.T)  # away from noise
+            back = up[:, None] * own[:, :-1] + down @ noise[:, :-1]
+            target, drawn = Q[w], (low[c][:, None] + rng.random((len(w), inner)) * self.class_share[c][:, None]).ravel()
+            drawn = np.clip(np.searchsorted(self.until, drawn, side="right"), np.repeat(self.first[c], inner), np.repeat(self.first[c + 1], inner) - 1)
+            several = self.size[c] > 1  # a class of one token tells nothing more
+            other = Q[drawn].reshape(len(w), inner, -1)
+            up_in = rising(np.einsum("nd,nd->n", full, target) - log_inner[w]) * several
+            down_in = -rising(log_inner[drawn].reshape(len(w), inner) - np.einsum("nd,nmd->nm", full, other)) * several[:, None]
+            back += up_in[:, None] * target[:, :-1] + np.einsum("nm,nmd->nd", down_in, other[:, :, :-1])
+            # sums over equal tokens; tokens are numbered class by class, so classes are runs of them
+            context = np.zeros((len(near), R.shape[1]), dtype=np.float32)
+            context[1:-1] = back * C[0]
+            further = back * C[1]
+            for_end = further[first].sum(axis=0)
+            further[first] = 0
+            context[:-2] += further
+            order = np.argsort(near)
+            ranks = near[order]
+            cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+            rows, sums = ranks[cuts], np.add.reduceat(context[order], cuts, axis=0)
+            if len(first):
+                if end in rows:
+                    sums[np.searchsorted(rows, end)] += for_end
+                else:
+                    rows, sums = np.append(rows, end), np.concatenate([sums, for_end[None, :]])
+            self.step("C", np.array([0, 1]), np.stack([np.einsum("nd,nd->d", back, rv), np.einsum("nd,nd->d", back, ru)]), rate)
+            self.step("R", rows, sums, rate)
+            order = order[order >= 2] - 2
+            ranks = w[order]
+            cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+            self.step("Q", ranks[cuts], np.add.reduceat((up_in[:, None] * full)[order], cuts, axis=0), rate)
+            kinds = c[order]
+            cuts = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+            classes = np.zeros(A.shape, dtype=np.float32)
+            classes[kinds[cuts]] = np.add.reduceat((up[:, None] * full)[order], cuts, axis=0)
+            np.add.at(classes, n, down.T @ full)
+            self.step("A", slice(None), classes, rate)
+            order = np.argsort(drawn)
+            ranks = drawn[order]
+            cuts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
+            away = (down_in[:, :, None] * full[:, None, :]).reshape(-1, full.shape[1])
+            self.step("Q", ranks[cuts], np.add.reduceat(away[order], cuts, axis=0), rate)
+
+    def log_probabilities(self, before: np.ndarray, last: np.ndarray, target: np.ndarray, cells: int = 200_000) -> np.ndarray:
+        """Normalised log10 probabilities of targets, by matrix products over batches of one class that stay in the cache."""
         R, Q, A, C = (self.p[k] for k in "RQAC")
         out = np.empty(len(target))
 
-        def of(h: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarray:
-            scores = h @ table[:, :-1].T
-            scores += table[:, -1]
-            own = scores[np.arange(len(h)), place]
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            return own - top - np.log(np.exp(scores, out=scores).sum(axis=1))
+        def of(full: np.ndarray, table: np.ndarray, place: np.ndarray) -> np.ndarray:
+            scores = full @ table.T
+            own, top = scores[np.arange(len(full)), place], scores.max()
+            if top > 30 or scores.min() < -80:  # beyond what sums of exponentials stand
+                high = scores.max(axis=1)
+                scores -= high[:, None]
+                return own - high - np.log(np.exp(scores, out=scores).sum(axis=1))
+            return own - np.log(np.exp(scores, out=scores).sum(axis=1))
 
         step = max(1, cells // len(self.size))
         for at in range(0, len(target), 64 * step):
             where = slice(at, at + 64 * step)
-            hidden = C[0] * R[last[where]] + C[1] * R[before[where]]
             w = target[where]
+            full = np.ones((len(w), R.shape[1] + 1), dtype=np.float32)
+            np.add(C[0] * R[last[where]], C[1] * R[before[where]], out=full[:, :-1])
             c, some = self.kind[w], np.empty(len(w), dtype=np.float32)
             for a in range(0, len(w), step):
-                some[a : a + step] = of(hidden[a : a + step], A, c[a : a + step])
+                some[a : a + step] = of(full[a : a + step], A, c[a : a + step])
             order = np.argsort(c.astype(np.int16), kind="stable")
             cuts = np.searchsorted(c[order], np.arange(len(self.size) + 1)).tolist()
+            sorted_full, sorted_place = full[order], w[order] - self.first[c[order]]
+            within = np.zeros(len(w), dtype=np.float32)
             for k in np.flatnonzero(self.size > 1).tolist():
-                f, z = int(self.first[k]), int(self.first[k + 1])
-                wide = max(1, cells // (z - f))
+                table = Q[self.first[k] : self.first[k + 1]]
+                wide = max(1, cells // len(table))
                 for a in range(cuts[k], cuts[k + 1], wide):
-                    rows = order[a : min(a + wide, cuts[k + 1])]
-                    some[rows] += of(hidden[rows], Q[f:z], w[rows] - f)
+                    rows = slice(a, min(a + wide, cuts[k + 1]))
+                    within[rows] = of(sorted_full[rows], table, sorted_place[rows])
+            some[order] += within
             out[where] = some
         return out / np.log(10)
 
@@ -218,8 +254,7 @@ def trained(training: DataFrame, ranked: Callable, mass: np.ndarray, classes: in
                 _, ranks, ends = ranked(batch.column("text").to_pylist())
                 own = model.item[ranks]
                 before, last = contexts(own, ends, int(model.item[0]))
-                order = rng.permutation(len(own))
-                model.train(before[order], last[order], own[order], rng)
+                model.train(own, np.concatenate([[0], ends[:-1]]), rng)
                 for name, rows in (("R", last), ("R", before), ("Q", own), ("A", model.kind[own])):
                     seen[name] += np.bincount(rows, minlength=len(seen[name]))
                 seen["C"] += len(own)
