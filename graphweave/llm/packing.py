@@ -67,7 +67,13 @@ class _Memo(dict):
         self.tokenize, self.code, self.most, self.longest, self.vain = tokenize, code, most, longest, 0
 
     def __missing__(self, word: str) -> bytes:
-        tokenize = self.tokenize
+        tokenize, stem = self.tokenize, word[:-1]
+        if word[-1] in ".,;:" and stem.isascii() and stem.isalpha():  # two pieces, the first of which is often known
+            known = stem in self
+            out = self[stem] + self[word[-1]]
+            if known and len(self) < self.most and len(word) <= self.longest:
+                self[word] = out
+            return out
         if word.isascii():
             ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece)]
         else:
@@ -143,11 +149,14 @@ def token_statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows, length = np.zeros(size, dtype=np.int64), 0, 0
-        for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                ids = np.frombuffer(x, dtype="<u2")
-                seen[np.unique(ids)] += 1
-                rows, length = rows + 1, length + len(ids)
+        for batch in slices(batches, "ids", 2 << 20):
+            each = batch.column("ids").to_pylist()
+            ids = np.frombuffer(b"".join(each), dtype="<u2")
+            owner = np.repeat(np.arange(len(each), dtype=np.int64) << 16, [len(x) // 2 for x in each])
+            once = np.sort(owner + ids)  # equal ids of a document are next to each other
+            once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]] & 0xFFFF
+            seen += np.bincount(once, minlength=size)
+            rows, length = rows + len(each), length + len(ids)
         held = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([held, [-1, -2]])), pa.array(np.concatenate([seen[held], [rows, length]]))], ["id", "n"])
 
@@ -300,11 +309,17 @@ class Router:
         self.idf, self.mean = idf.astype(np.float32), mean
         self.projection = np.random.default_rng(42).standard_normal((len(idf), wide), dtype=np.float32)
 
-    def vector(self, ids: np.ndarray, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
-        terms, tf = np.unique(ids, return_counts=True)
-        weight = self.idf[terms] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / max(self.mean, 1.0)))).astype(np.float32)
-        v = weight @ self.projection[terms]
-        return v / max(float(np.sqrt(v @ v)), 1e-9)
+    def vectors(self, docs: list[bytes], k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        """One vector for each document, given by its 16-bit ids."""
+        lengths = np.array([len(x) // 2 for x in docs], dtype=np.int64)
+        key = np.sort((np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16) + np.frombuffer(b"".join(docs), dtype="<u2"))
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        tf, owner, terms = np.diff(np.append(at, len(key))), key[at] >> 16, key[at] & 0xFFFF
+        norm = (k1 * (1 - b + b * lengths / max(self.mean, 1.0)))[owner]
+        weight = self.idf[terms] * (tf * (k1 + 1) / (tf + norm)).astype(np.float32)
+        cuts = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
+        out = np.array([weight[x:y] @ self.projection[terms[x:y]] for x, y in zip(cuts, cuts[1:])], dtype=np.float32).reshape(len(docs), -1)
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1)), 1e-9)[:, None]
 
     def keys(self, tree: ann.Tree, vectors: np.ndarray) -> list[tuple[int, int]]:
         signs = np.packbits(vectors[:, :63] > 0, axis=1, bitorder="big")
@@ -321,7 +336,7 @@ def routed(tokens: DataFrame, idf: np.ndarray, rows: int, total: int, shard_toke
     spark = tokens.sparkSession
     router, parts = Router(idf, total / max(1, rows)), min(sample_size, -(-total // (4 * shard_tokens)))
     some = sampled(tokens, "doc_id", rows, sample_size)
-    vectors = np.array([router.vector(np.frombuffer(r["ids"], dtype="<u2")) for r in some])
+    vectors = router.vectors([bytes(r["ids"]) for r in some])
     tree = ann.Tree(vectors, leaves=int(min(512, max(8, total // (shard_tokens // 2)))))
     order = sorted((*key, r["gw_hash"]) for key, r in zip(router.keys(tree, vectors), some))
     bounds = [order[len(order) * k // parts] for k in range(1, parts)]
@@ -330,9 +345,9 @@ def routed(tokens: DataFrame, idf: np.ndarray, rows: int, total: int, shard_toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean, tree, bounds = shared.value
         router = Router(idf, mean)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", 2 << 20):
             if batch.num_rows:
-                keys = router.keys(tree, np.array([router.vector(np.frombuffer(x, dtype="<u2")) for x in batch.column("ids").to_pylist()]))
+                keys = router.keys(tree, router.vectors(batch.column("ids").to_pylist()))
                 ties = batch.column("tie").to_pylist()
                 part = [bisect.bisect_right(bounds, (*k, t)) for k, t in zip(keys, ties)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "part", "leaf", "fine"])
