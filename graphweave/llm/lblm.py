@@ -13,8 +13,8 @@ are joined by word, which no longer has any hot key.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import compress, repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +85,7 @@ class LogBilinear:
     equal sums of the square roots of frequencies, so frequent tokens are in small ones.
     """
 
-    def __init__(self, mass: np.ndarray, classes: int = 256, wide: int = DIMENSIONS) -> None:
+    def __init__(self, mass: np.ndarray, classes: int = 192, wide: int = DIMENSIONS) -> None:
         rng = np.random.default_rng(SEED)
         order = np.argsort(-mass, kind="stable")
         roots = np.cumsum(np.sqrt(mass[order]))
@@ -237,8 +237,14 @@ def contexts(tokens: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray
     return before, last
 
 
-def trained(training: DataFrame, ranked: Callable, mass: np.ndarray, classes: int, parts: int) -> LogBilinear:
-    """The model after one pass over training(text) in `parts` tasks, averaged.
+def flat_ranks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the tokens of coded texts, one text after another, and the place after each text."""
+    each = column.to_pylist()
+    return np.frombuffer(b"".join(each), dtype="<i4"), np.cumsum([len(x) // 4 for x in each])
+
+
+def trained(training: DataFrame, mass: np.ndarray, classes: int, parts: int) -> LogBilinear:
+    """The model after one pass over training(ranks) in `parts` tasks, averaged.
 
     Each task starts alike; a token's vectors are averaged over the tasks that saw it, by how often
     they did. What a task gives is a row for each token it saw, summed by the JVM; what comes to the
@@ -249,9 +255,9 @@ def trained(training: DataFrame, ranked: Callable, mass: np.ndarray, classes: in
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rng = LogBilinear(mass, classes), np.random.default_rng(SEED)
         seen = {k: np.zeros(len(v), dtype=np.int64) for k, v in model.p.items()}
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "ranks", 4 << 20):
             if batch.num_rows:
-                _, ranks, ends = ranked(batch.column("text").to_pylist())
+                ranks, ends = flat_ranks(batch.column("ranks"))
                 own = model.item[ranks]
                 before, last = contexts(own, ends, int(model.item[0]))
                 model.train(own, np.concatenate([[0], ends[:-1]]), rng)
@@ -279,7 +285,7 @@ def trained(training: DataFrame, ranked: Callable, mass: np.ndarray, classes: in
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 65536, buckets: int = 16384, classes: int = 256, task_tokens: int = 40_000_000) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = 65536, buckets: int = 16384, classes: int = 192, task_tokens: int = 40_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Both scores are log10 probabilities of the whole text and its end: base_score under the smoothed
@@ -308,53 +314,61 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
     shared = spark.sparkContext.broadcast({w: k for k, w in enumerate(listed)})
     first = len(listed)  # ranks from here on are buckets
 
-    def ranked(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-        """Words of each text, ranks of all tokens with ends, and the place after each text."""
-        rank, words, digest = shared.value, [words_of(x) for x in texts], xxhash.xxh64_intdigest
-        ends = np.cumsum([len(w) + 1 for w in words])
-        out = np.zeros(ends[-1], dtype=np.int64)
-        for w, end in zip(words, ends.tolist()):
-            start = end - 1 - len(w)
-            own = np.fromiter(map(rank.get, w, repeat(-1)), dtype=np.int64, count=len(w))
-            for k in np.flatnonzero(own < 0).tolist():
-                own[k] = first + digest(w[k], SEED) % buckets
-            out[start : end - 1] = own
-        return words, out, ends
-
-    parts = max(spark.sparkContext.defaultParallelism, tokens // task_tokens)
-    model = spark.sparkContext.broadcast(trained(training, ranked, mass, classes, parts))  # bounded by head, buckets and classes
     logs = np.concatenate([np.log10(known + 0.5), np.zeros(buckets)])
     familiar = np.concatenate([known > 0, np.zeros(buckets, dtype=bool)])
     shares = np.concatenate([np.zeros(first), inside_bucket])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, digest = shared.value, xxhash.xxh64_intdigest
         for batch in slices(batches, "text", 4 << 20):
             if not batch.num_rows:
                 continue
-            words, ranks, ends = ranked(batch.column("text").to_pylist())
-            own = m.item[ranks]
-            before, last = contexts(own, ends, int(m.item[0]))
+            words = [words_of(x) for x in batch.column("text").to_pylist()]
+            ends = np.cumsum([len(w) + 1 for w in words])
+            ranks = np.fromiter(map(rank.get, chain.from_iterable((*w, END) for w in words), repeat(-1)), dtype=np.int32, count=ends[-1])
+            tails = []
+            for w, end in zip(words, ends.tolist()):
+                start = end - 1 - len(w)
+                beyond = np.flatnonzero(ranks[start:end] < 0).tolist()
+                tails.append([w[k] for k in beyond])
+                for k in beyond:
+                    ranks[start + k] = first + digest(w[k], SEED) % buckets
             starts = np.concatenate([[0], ends[:-1]])
             total = lambda x: np.add.reduceat(x, starts)
-            tails = [list(compress(w, (ranks[e - 1 - len(w) : e - 1] >= first).tolist())) for w, e in zip(words, ends.tolist())]
+            raw = ranks.astype("<i4").tobytes()
+            coded = [raw[4 * a : 4 * z] for a, z in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(ends - starts),
-                    pa.array(total(familiar[ranks].astype(np.int64))), pa.array(total(logs[ranks])), pa.array(total(m.log_probabilities(before, last, own) - shares[ranks])), pa.array(tails, pa.list_(pa.binary())),
+                    batch.column("row"), batch.column("doc_id"), batch.column("held_out"), pa.array(ends - starts), pa.array(total(familiar[ranks].astype(np.int64))),
+                    pa.array(total(logs[ranks])), pa.array(total(shares[ranks])), pa.array(coded, pa.binary()), pa.array(tails, pa.list_(pa.binary())),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "tail"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "shares", "ranks", "tail"],
             )
 
     kind = df.schema["doc_id"].dataType.simpleString()
     asked = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = store(asked.mapInArrow(apply, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, model double, tail array<binary>"), "scored")
-    each = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
+    coded = store(asked.mapInArrow(code, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, shares double, ranks binary, tail array<binary>"), "coded")
+    parts = max(spark.sparkContext.defaultParallelism, tokens // task_tokens)
+    model = spark.sparkContext.broadcast(trained(coded.where("not held_out").select("ranks"), mass, classes, parts))  # bounded by head, buckets and classes
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in slices(batches, "ranks", 4 << 20):
+            if batch.num_rows:
+                ranks, ends = flat_ranks(batch.column("ranks"))
+                own = m.item[ranks]
+                before, last = contexts(own, ends, int(m.item[0]))
+                scores = np.add.reduceat(m.log_probabilities(before, last, own), np.concatenate([[0], ends[:-1]]))
+                yield pa.RecordBatch.from_arrays([*(x for x, name in zip(batch.columns, batch.schema.names) if name != "ranks"), pa.array(scores)], names)
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "shares", "model"]
+    scored = coded.drop("tail").mapInArrow(apply, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, shares double, model double")
+    each = coded.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
     tails = each.groupBy("row").agg(F.count("c").alias("t_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("t_logs"))
-    out = scored.drop("tail").join(tails, "row", "left")
+    out = scored.join(tails, "row", "left")
     extra, zero = F.coalesce("t_logs", F.lit(0.0)), F.lit(0).cast("long")
     divisor = F.lit(float(np.log10(tokens + 0.5 * (types + 1))))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("t_known", zero)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + extra - F.col("n_tokens") * divisor).alias("base_score"), (F.col("model") + extra).alias("score"),
+        (F.col("logs") + extra - F.col("n_tokens") * divisor).alias("base_score"), (F.col("model") - F.col("shares") + extra).alias("score"),
     )
