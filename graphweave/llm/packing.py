@@ -354,7 +354,7 @@ def routed(tokens: DataFrame, idf: np.ndarray, rows: int, total: int, shard_toke
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
     placed = tokens.withColumn("tie", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, ids binary, n long, tie long, part int, leaf int, fine long")
-    return placed.repartition(parts, "part").sortWithinPartitions("part", "leaf", "fine", "tie").select("doc_id", "ids", "n")
+    return placed.repartitionById(parts, "part").sortWithinPartitions("part", "leaf", "fine", "tie").select("doc_id", "ids", "n")
 
 
 def idf_of(frequency: np.ndarray, rows: int) -> np.ndarray:
