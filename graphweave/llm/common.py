@@ -40,17 +40,27 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graphweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.gw_path = path
-    return back
+    _stored.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*stored: DataFrame) -> None:
+#: Paths of the tables that store() made and nobody has discarded.
+_stored: list[str] = []
+
+
+def stored() -> list[str]:
+    """Tables made so far; those made from here on come after them."""
+    return list(_stored)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables made by store() that nothing will read again."""
-    for df in stored:
-        jvm = df.sparkSession.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(df.gw_path)
-        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        if path in _stored:
+            _stored.remove(path)
 
 
 def renamed(df: DataFrame, **wanted: str) -> DataFrame:
@@ -95,14 +105,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        old = now
+        old = stored()[-1:]
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = store(small.union(low).distinct(), "edges")
-        discard(old)
+        discard(now.sparkSession, old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -70,7 +70,7 @@ def agree(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs(a, b) whose sets(node, shingles) have the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "x", 2 << 20):
             first, second = (batch.column(c).to_pylist() for c in ("x", "y"))
             good = np.zeros(batch.num_rows, dtype=bool)
             for k, (x, y) in enumerate(zip(first, second)):

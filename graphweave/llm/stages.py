@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import near_copies, packing, pii, quality, spans
-from graphweave.llm.common import components, store
+from graphweave.llm.common import components, discard, store, stored
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     texts under the same id stay. Rows without an id are in groups too, and kept only if no row of
     theirs has one. Of rows with the least id, the one of the smallest hash of all columns is kept.
     """
+    before = stored()
     keyed = docs.withColumn("gw_key", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     rows, links = near_copies.near_copies(keyed.select(F.col("gw_key").alias("key"), "text"))
     joined = store(components(links), "components")
@@ -29,6 +30,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     each = ids.join(rows.distinct(), "key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("best"))
     told = store(each.join(best, "component").select("key", (F.col("key") == F.col("best.key")).alias("kept"), "n"), "told")
+    discard(docs.sparkSession, [x for x in stored()[:-1] if x not in before])
     # most rows are kept: only those to drop, and whole rows that are repeated, are looked up
     apart = told.where("not kept or n > 1").select(F.col("key").alias("gw_key"))
     again = told.where("kept and n > 1").select(F.col("key").alias("gw_key"))
@@ -38,14 +40,13 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def mask_private(docs: DataFrame) -> DataFrame:
-    """All documents with every personal-data span replaced by its kind in brackets, n_chars as the new length."""
-    found = pii.scan(docs.select("*", F.col("text").alias("gw_whole")), keep=[*docs.columns, "gw_whole"])
-    found = found.select("*", F.col("gw.all_spans").alias("gw_spans"))
-    masked = spans.masked("gw_whole", "gw_spans")
-    new = {"text": masked, "n_chars": F.length(masked).cast("long")}
+    """All documents with every personal-data span replaced by its kind in brackets, n_chars as the new length; null texts stay."""
+    found = pii.scan(docs, keep=docs.columns).select("*", F.col("gw.all_spans").alias("gw_spans"))
+    masked = spans.masked("text", "gw_spans")
+    new = {"text": masked, "n_chars": F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length(masked)).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Pieces of all documents with their ids."""
+    """Pieces of all documents with their ids; a null text is the end id alone, repeated rows and ties are packed each, an empty table gives none."""
     return packing.pack(docs, tokenizer_path)

@@ -125,3 +125,12 @@ def test_large_groups_are_compared_in_blocks(spark):
         found = {r["node"]: r["component"] for r in components(links).collect()}
         got = [found.get(node[k], node[k]) for k in range(len(texts))]
         assert all((got[i] == got[j]) == (parent[i] == parent[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_run_on_an_empty_table_and_no_tables_left(spark, tmp_path):
+    from graphweave.llm import common
+
+    before = common.stored()
+    spark.createDataFrame([], SHAPE).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    assert len([x for x in common.stored() if x not in before]) <= 4  # the last stage's input and its own
