@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,19 +102,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     an edge to another node are absent. Minima are pre-aggregated on the map side and a hub's rows
     are split by the adaptive skew join, so no task holds a whole neighbourhood.
     """
-    now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df as a table, with the number and sum of its rows' hashes, taken while it is written."""
+        seen = Observation()
+        rows = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")]
+        return store(df.observe(seen, *rows), "edges"), (seen.get["n"], seen.get["s"])
+
+    now, state = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most_rounds):
-        old = stored()[-1:]
+        old, seen = stored()[-1:], state
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = store(small.union(low).distinct(), "edges")
-        discard(now.sparkSession, old)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now, state = kept(small.union(low).distinct())
+        discard(spark, old)
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = state
     raise RuntimeError("components did not settle")

@@ -107,14 +107,14 @@ def near_copies(keyed: DataFrame, similarity: float = 0.8, words_each: int = 5,
     # candidates by fingerprint
     sharing = nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     several = sharing.where("least <> most").select("fp", F.col("least").alias("b"))
-    equal = nodes.select(F.col("node").alias("a"), "fp").join(small(several), "fp").select("a", "b")
+    equal = nodes.select(F.col("node").alias("a"), "fp").join(several, "fp").select("a", "b")
     near = simhash.near_links(sharing.select("fp"), radius)
     ends = [sharing.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab"]
     near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # candidates by band
     each = nodes.select("node", F.explode("bands").alias("band"))
     groups = each.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("band", "least")
-    members = store(each.join(small(store(groups, "bands")), "band"), "members")
+    members = store(each.join(groups, "band"), "members")
     leading = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
     every = equal.union(near).union(leading).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = store(every.distinct(), "pairs")
@@ -136,10 +136,10 @@ def near_copies(keyed: DataFrame, similarity: float = 0.8, words_each: int = 5,
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same{k}") for k in (1, 2)]
     open_bands = told.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "node").alias("lead"), F.count("*").alias("n"), *same).where("low <> high")
     once = open_bands.groupBy("n", "same1", "same2").agg(F.min(F.struct("band", "lead")).alias("b")).select("b.*", "n")  # bands of equal nodes count once
-    todo = store(told.join(small(once), "band"), "open")
+    todo = store(told.join(once, "band"), "open")
     apart = todo.groupBy("band").agg(F.count_if(F.expr("label <> lead")).alias("others"))
     wide = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
-    todo = todo.join(small(apart), "band").select("band", "node", F.expr("label <> lead").alias("other"), F.when(F.col("n") <= block, 1).otherwise(wide(F.col("others"))).alias("rows"), wide(F.col("n")).alias("columns"))
+    todo = todo.join(apart, "band").select("band", "node", F.expr("label <> lead").alias("other"), F.when(F.col("n") <= block, 1).otherwise(wide(F.col("others"))).alias("rows"), wide(F.col("n")).alias("columns"))
     place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     # every node stands in its column against all rows; others stand in their row against all columns too
     across = todo.select("band", "node", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("columns", 3).alias("column"))
@@ -156,6 +156,6 @@ def near_copies(keyed: DataFrame, similarity: float = 0.8, words_each: int = 5,
     return prints.select("key", "node"), found.union(more)
 
 
-def small(keys: DataFrame, most: int = 2_000_000) -> DataFrame:
+def small(keys: DataFrame, most: int = 500_000) -> DataFrame:
     """keys, to be broadcast if they are few: then the texts that are joined to them aren't shuffled."""
     return F.broadcast(keys) if keys.count() <= most else keys
