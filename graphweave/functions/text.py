@@ -43,7 +43,7 @@ def normal_question(question: Column) -> Column:
 
 def search_terms(question: Column, most: int = 3) -> Column:
     """The first words of more than three characters that aren't stop words, as written."""
-    return F.slice(F.filter(words(question), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(V.STOP_WORDS)), 1, most)
+    return F.slice(F.filter(words(question), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*V.STOP_WORDS)), 1, most)
 
 
 def summary(text: Column, most: int = 200) -> Column:
@@ -68,7 +68,7 @@ def clean(text: Column) -> Column:
 
     def lines(parts: bool) -> Column:
         every = F.transform(F.split(text, "\n", -1), trimmed)
-        kept = F.filter(every, lambda x: (x == "") | (~F.lower(x).isin(V.FURNITURE_LINES) & ((F.length(x) >= 4) | x.rlike(r"^\d"))))
+        kept = F.filter(every, lambda x: (x == "") | (~F.lower(x).isin(*V.FURNITURE_LINES) & ((F.length(x) >= 4) | x.rlike(r"^\d"))))
         if not parts:
             return F.filter(kept, lambda x: (x == "") | (F.length(x) >= 5))
         done = F.transform(kept, lambda x: F.struct(x.alias("was"), F.when(x == "", x).otherwise(part(x)).alias("now")))
@@ -82,14 +82,14 @@ def clean(text: Column) -> Column:
 def relation(text: Column) -> Column:
     """The canonical relation, after lower case and blanks and hyphens to underscores; unknown ones stay."""
     form = F.translate(F.lower(F.trim(text)), " -", "__")
-    known = [F.lit(x) for canonical, spellings in V.RELATION_SPELLINGS.items() for s in spellings.split() for x in (s, canonical)]
+    known = [F.lit(x) for pair in V.RELATION_SPELLINGS.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*known), form), form)
 
 
 def domain(categories: Column) -> Column:
     """The domain with most of its words among the categories, the earlier one in a tie; null below two."""
     joined = F.lower(F.array_join(categories, " "))
-    best = [(name, reduce(lambda a, b: a + b, (joined.rlike(rf"\b{w}\b").cast("int") for w in ws.split()))) for name, ws in V.DOMAIN_WORDS.items()]
+    best = [(name, reduce(lambda a, b: a + b, (joined.rlike(rf"\b{w}\b").cast("int") for w in ws))) for name, ws in V.DOMAIN_WORDS.items()]
     top = F.greatest(*(score for _, score in best))
     pick = reduce(lambda c, x: c.when(x[1] == top, x[0]), best[1:], F.when(best[0][1] == top, best[0][0]))
     return F.when(top >= 2, pick)
@@ -133,7 +133,7 @@ def page_title(html: Column, url: Column) -> Column:
 def page_categories(url: Column) -> Column:
     """Up to three path segments of more than two characters, in capitals, without the plain ones."""
     segments = F.slice(F.filter(F.split(url_path(url), "/"), lambda s: F.length(s) > 2), 1, 3)
-    return F.filter(F.transform(segments, lambda s: capitalised(F.translate(s, "-_", "  "))), lambda s: ~F.lower(s).isin(V.PLAIN_SEGMENTS))
+    return F.filter(F.transform(segments, lambda s: capitalised(F.translate(s, "-_", "  "))), lambda s: ~F.lower(s).isin(*V.PLAIN_SEGMENTS))
 
 
 def page_links(html: Column, url: Column) -> Column:
@@ -168,17 +168,24 @@ def redirect_target(wikitext: Column) -> Column:
 
 
 def redacted(message: Column) -> Column:
-    """An error message without keys, tokens, credentials and paths."""
+    """An error message without keys, tokens, credentials and paths; names of secrets stay, quoted or in URLs."""
     rules = (
-        (r"(?i)(api[_-]?key|token|secret|password)\s*[=:]\s*['\"]?[A-Za-z0-9_\-.]{8,128}['\"]?", "$1=***REDACTED***"),
-        (r"\bsk-[A-Za-z0-9_\-]{16,128}\b", "***REDACTED***"),
-        (r"(?i)(authorization:\s*(?:bearer|basic)\s+|bearer\s+)[A-Za-z0-9_\-.=+/]+", "$1***REDACTED***"),
-        (r"(?i)(['\"]api_key['\"]\s*:\s*['\"])[^'\"]+(['\"])", "$1***REDACTED***$2"),
-        (r"eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "***REDACTED_JWT***"),
-        (r"(?i)(https?://)[^/\s:@]+:[^/\s@]+@", "$1***REDACTED***@"),
-        (r"(?<![\w:/])/(?:home|root|usr|var|tmp|etc|opt|Users)/[^\s'\":]+", "***REDACTED_PATH***"),
+        (r"(https?://)[^/\s:@]+:[^/\s@]+@", "$1***REDACTED***@"),
+        (r"([?&](?:api[_-]?key|key|token|access_token|secret|password)=)[^&\s'\"]+", "$1***REDACTED***"),
+        (r"(['\"](?:x-)?(?:api[_-]?key|token|secret|password|authorization)['\"]\s*:\s*['\"])[^'\"]+(['\"])", "$1***REDACTED***$2"),
+        (r"\b(authorization:\s*(?:bearer|basic)\s+|bearer\s+)[A-Za-z0-9_\-.=+/]+", "$1***REDACTED***"),
+        (r"\b(api[_-]?key|token|secret|password)(\s*[=:]\s*)['\"]?[A-Za-z0-9_\-.]{8,}['\"]?", "$1$2***REDACTED***"),
+        (r"\bsk-[A-Za-z0-9_\-]{16,}", "***REDACTED***"),
+        (r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "***REDACTED_JWT***"),
+        (r"(?<![\w:/])/(?:home|root|usr|var|tmp|etc|opt|users)/[^\s'\":]+", "***REDACTED_PATH***"),
     )
-    return reduce(lambda x, r: F.regexp_replace(x, *r), rules, message)
+    return reduce(lambda x, r: F.regexp_replace(x, "(?i)" + r[0], r[1]), rules, message)
+
+
+def braces(text: Column) -> Column:
+    """The text from its first opening brace to its last closing one; the text itself without both."""
+    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(inner != "", inner).otherwise(text)
 
 
 def json_or_empty(text: Column) -> Column:

@@ -3,46 +3,47 @@
 from __future__ import annotations
 
 # Words that carry no meaning in a question.
-STOP_WORDS = """
-a an the and or but in on at to for of with by from is are was were be been being have has had do does did
-will would could should may might shall can not no nor so yet both either neither as if then than that this
-these those it its i we you he she they me us him her them my our your his their what which who whom when
-where why how all any each few more most other some such up out about into through after before between
-tell find explain describe relationship related knowledge graph article articles
-""".split()
+STOP_WORDS = (
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were", "be", "been",
+    "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "can", "not", "no", "nor", "so",
+    "yet", "both", "either", "neither", "as", "if", "then", "than", "that", "this", "these", "those", "it", "its", "i", "we", "you", "he", "she",
+    "they", "me", "us", "him", "her", "them", "my", "our", "your", "his", "their", "what", "which", "who", "whom", "when", "where", "why", "how",
+    "all", "any", "each", "few", "more", "most", "other", "some", "such", "up", "out", "about", "into", "through", "after", "before", "between",
+    "tell", "find", "explain", "describe", "relationship", "related", "knowledge", "graph", "article", "articles",
+)
 
-# Canonical relations, and the spellings that stand for each of them.
-CANONICAL_RELATIONS = """
-founded invented discovered developed created led directed authored influenced inspired part_of uses requires
-caused resulted_in fought_in participated_in born_in died_in located_in related_to
-""".split()
+# Canonical relations, and the relation that each other spelling stands for.
+CANONICAL_RELATIONS = (
+    "founded", "invented", "discovered", "developed", "created", "led", "directed", "authored", "influenced", "inspired", "part_of", "uses",
+    "requires", "caused", "resulted_in", "fought_in", "participated_in", "born_in", "died_in", "located_in", "related_to",
+)
 RELATION_SPELLINGS = {
-    "founded": "established co-founded co_founded cofounded set_up",
-    "created": "built made constructed designed",
-    "invented": "devised conceived patented",
-    "discovered": "found uncovered identified",
-    "developed": "built_on advanced improved refined",
-    "led": "headed managed chaired ran",
-    "directed": "supervised oversaw",
-    "authored": "wrote published co-authored",
-    "influenced": "affected impacted shaped",
-    "inspired": "motivated",
-    "part_of": "component_of member_of belongs_to subset_of",
-    "uses": "employs utilizes",
-    "requires": "relies_on depends_on needs",
-    "caused": "led_to triggered",
-    "resulted_in": "produced generated",
-    "fought_in": "battled_in",
-    "participated_in": "served_in engaged_in took_part_in",
-}
+    "established": "founded", "co-founded": "founded", "co_founded": "founded", "cofounded": "founded", "set_up": "founded",
+    "built": "created", "made": "created", "constructed": "created", "designed": "created",
+    "devised": "invented", "conceived": "invented", "patented": "invented",
+    "found": "discovered", "uncovered": "discovered", "identified": "discovered",
+    "built_on": "developed", "advanced": "developed", "improved": "developed", "refined": "developed",
+    "headed": "led", "managed": "led", "chaired": "led", "ran": "led",
+    "supervised": "directed", "oversaw": "directed",
+    "wrote": "authored", "published": "authored", "co-authored": "authored",
+    "affected": "influenced", "impacted": "influenced", "shaped": "influenced",
+    "motivated": "inspired",
+    "component_of": "part_of", "member_of": "part_of", "belongs_to": "part_of", "subset_of": "part_of",
+    "employs": "uses", "utilizes": "uses",
+    "relies_on": "requires", "depends_on": "requires", "needs": "requires",
+    "led_to": "caused", "triggered": "caused",
+    "produced": "resulted_in", "generated": "resulted_in",
+    "battled_in": "fought_in",
+    "served_in": "participated_in", "engaged_in": "participated_in", "took_part_in": "participated_in",
+}
 
 # Words that give a domain away, in the order in which domains win ties.
 DOMAIN_WORDS = {
-    "history": "history war battle revolution empire dynasty political government military colonial medieval",
-    "science": "physics chemistry biology mathematics computer engineering technology algorithm quantum molecular",
-    "biography": "people person biography leader president scientist artist writer philosopher musician",
-    "geography": "country city region continent geography river mountain island ocean state",
-}
+    "history": ("history", "war", "battle", "revolution", "empire", "dynasty", "political", "government", "military", "colonial", "medieval"),
+    "science": ("physics", "chemistry", "biology", "mathematics", "computer", "engineering", "technology", "algorithm", "quantum", "molecular"),
+    "biography": ("people", "person", "biography", "leader", "president", "scientist", "artist", "writer", "philosopher", "musician"),
+    "geography": ("country", "city", "region", "continent", "geography", "river", "mountain", "island", "ocean", "state"),
+}
 
 # How questions start, without their subject.
 QUESTION_STARTS = (
@@ -51,7 +52,9 @@ QUESTION_STARTS = (
 )
 
 # Page furniture; whole lines, and parts of lines in the order in which they are deleted.
-FURNITURE_LINES = "feedback share yes no edit next previous copy copied! print download bookmark".split()
+FURNITURE_LINES = (
+    "feedback", "share", "yes", "no", "edit", "next", "previous", "copy", "copied!", "print", "download", "bookmark",
+)
 FURNITURE_PARTS = (
     r"(?i)\b(feedback|share this|share on|tweet|facebook|x\.com|linkedin|reddit)\b",
     r"(?i)summarize this article for me",
@@ -75,7 +78,10 @@ FURNITURE_PARTS = (
 )
 
 # Namespaces whose pages are no articles.
-NAMESPACES = "wikipedia help template file image category portal talk user mediawiki special draft module book timedtext".split()
+NAMESPACES = (
+    "wikipedia", "help", "template", "file", "image", "category", "portal", "talk", "user", "mediawiki", "special", "draft", "module", "book",
+    "timedtext",
+)
 
 # Signs of hedging and of citing in an answer.
 HEDGES = ("i think", "i believe", "probably", "maybe", "might be", "could be", "possibly", "not sure", "uncertain")
@@ -83,4 +89,6 @@ CITES = (r"\[\d+\]", r"\([A-Za-z]+ \d{4}\)", r"(?i)according to", r"(?i)source:"
 CITES_MORE = r"(?i)reference:"
 
 # Path segments that name no category.
-PLAIN_SEGMENTS = "en us docs index learn".split()
+PLAIN_SEGMENTS = (
+    "en", "us", "docs", "index", "learn",
+)

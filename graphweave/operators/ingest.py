@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import html
 import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,40 +18,32 @@ from graphweave.schema import chunk_id, section_id
 SECTIONS = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("content", T.StringType())]))
 
 
-class _Markdown(HTMLParser):
-    """Collects a page's text with Markdown marks; what stands in page furniture elements is passed over."""
-
-    FURNITURE = frozenset(("script", "style", "nav", "footer", "header"))
-    OPEN = {"p": "\n\n", "li": "\n- ", "pre": "\n```\n", "code": "`", "br": "\n"} | {f"h{n}": "\n" + "#" * n + " " for n in range(1, 7)}
-    CLOSE = {"p": "\n", "pre": "\n```\n", "code": "`"} | {f"h{n}": "\n" for n in range(1, 7)}
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.inside = 0
-        self.parts: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.FURNITURE:
-            self.inside += 1
-        elif not self.inside:
-            self.parts.append(self.OPEN.get(tag, ""))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.FURNITURE:
-            self.inside = max(0, self.inside - 1)
-        elif not self.inside:
-            self.parts.append(self.CLOSE.get(tag, ""))
-
-    def handle_data(self, data: str) -> None:
-        if not self.inside:
-            self.parts.append(data)
+# One step of a page: a comment or declaration, a tag, or text up to the next of them.
+_PAGE = re.compile(r"""<!--.*?-->|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:"[^"]*"|'[^']*'|[^'">])*>|(?P<text>[^<]+|<)""", re.S)
+# Elements that hold no content, and what stands for a tag in Markdown.
+_ASIDE = ("script", "style", "nav", "footer", "header")
+_MARKS = {"p": "\n\n", "/p": "\n", "li": "\n- ", "br": "\n", "pre": "\n```\n", "/pre": "\n```\n", "code": "`", "/code": "`", "/h": "\n"}
 
 
 def markdown_of(page: str | None) -> str:
-    reader = _Markdown()
-    reader.feed(page or "")
-    reader.close()
-    return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", "".join(reader.parts))).strip()
+    """A page's text with headings, lists and code marked; what stands in elements without content is passed over."""
+    out, aside, at, page = [], 0, 0, page or ""
+    while found := _PAGE.match(page, at):
+        at, tag = found.end(), (found["tag"] or "").lower()
+        if tag in _ASIDE:
+            aside = max(0, aside + (-1 if found["end"] else 1))
+            if tag in ("script", "style") and not found["end"]:  # nothing in there is markup
+                close = re.compile(f"</{tag}", re.I).search(page, at)
+                at = close.start() if close else len(page)
+        elif aside:
+            continue
+        elif found["text"]:
+            out.append(html.unescape(found["text"]))
+        elif re.fullmatch("h[1-6]", tag):
+            out.append(_MARKS["/h"] if found["end"] else f"\n{'#' * int(tag[1])} ")
+        elif tag:
+            out.append(_MARKS.get(found["end"] + tag, ""))
+    return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", "".join(out))).strip()
 
 
 @F.pandas_udf(T.StringType())
@@ -76,37 +69,44 @@ def markdown_sections(markdown: Column) -> Column:
     return F.filter(F.transform(parts, section), lambda s: F.length(s["content"]) > 20)
 
 
-def _rounds(text: str, pattern: re.Pattern[str], by: str) -> str:
-    """Replacing until nothing changes."""
-    count = 1
-    while count:
-        text, count = pattern.subn(by, text)
-    return text
+# One step of wiki text: what goes as a whole (comments, references, tags), brackets, or text.
+_WIKI = re.compile(r"(?P<gone><!--.*?-->|<ref[^>]*>.*?</ref>|<[^<>]+>)|(?P<mark>\{\{|\}\}|\[\[|\]\])|[^<{}\[\]]+|.", re.S | re.I)
+_CLOSES = {"}}": "{{", "]]": "[["}
 
 
-_WIKI = (
-    (re.compile(r"<ref[^>]*>.*?</ref>", re.S | re.I), ""), (re.compile(r"<ref[^/>]*/?>", re.I), ""), (re.compile(r"\[\[(?:file|image):[^\]]+\]\]", re.I), ""),
-    (re.compile(r"\[\[[^\]|]+\|([^\]]+)\]\]"), r"\1"), (re.compile(r"\[\[([^\]]+)\]\]"), r"\1"), (re.compile(r"<[^>]+>"), ""), (re.compile(r"\n\s*\n"), "\n"), (re.compile(r" +"), " "),
-)
-_TEMPLATE, _COMMENT = re.compile(r"\{\{[^{}]*\}\}"), re.compile(r"<!--.*?-->", re.S)
-_HEADING = re.compile(r"^(={2,3})\s*(.+?)\s*\1$", re.M)
+def _link_text(inside: str) -> str:
+    """What a link shows: nothing for files and images, else what stands after the first bar, or the target."""
+    if inside.lower().startswith(("file:", "image:")):
+        return ""
+    target, bar, label = inside.partition("|")
+    return label if bar else target
 
 
 def plain_wikitext(text: str | None) -> str:
-    """Wiki text without comments, templates (innermost first), references, files, links and tags."""
-    text = _rounds(_COMMENT.sub("", text or ""), _TEMPLATE, " ")
-    for pattern, by in _WIKI:
-        text = pattern.sub(by, text)
-    return text.strip()
-
+    """Wiki text without comments, templates, references, files, links and tags.
 
-def wiki_sections_of(text: str | None) -> list[dict]:
-    """Second and third level sections whose plain text has 100 characters."""
-    text = text or ""
-    heads = list(_HEADING.finditer(text))
-    ends = [h.start() for h in heads[1:]] + [len(text)]
-    found = [{"level": len(h[1]), "title": h[2].strip(), "content": plain_wikitext(text[h.end() : end].strip())} for h, end in zip(heads, ends)]
-    return [s for s in found if len(s["content"]) >= 100]
+    One pass with a stack of open brackets: what a closing one ends is put into the bracket around
+    it, a template as a blank, a link as its text. Brackets without a partner stay as they are.
+    """
+    open_ = [("", [])]
+    for step in _WIKI.finditer(text or ""):
+        mark = step["mark"]
+        if mark == "{{" or mark == "[[" and open_[-1][0] != "[[":  # a link ends at the first end of one
+            open_.append((mark, []))
+        elif mark and open_[-1][0] == _CLOSES.get(mark):
+            inside = "".join(open_.pop()[1])
+            open_[-1][1].append(" " if mark == "}}" else _link_text(inside))
+        elif not step["gone"]:
+            open_[-1][1].append(step[0])
+    left = "".join(mark + "".join(parts) for mark, parts in open_)
+    return re.sub(r" +", " ", re.sub(r"\n\s*\n", "\n", left)).strip()
+
+
+def wiki_sections_of(text: str | None, least: int = 100) -> list[dict]:
+    """Second and third level sections whose plain text has `least` characters."""
+    _, *parts = re.split(r"(?m)^(={2,3})[ \t]*(.+?)[ \t]*\1$", text or "")
+    plain = ((len(marks), head.strip(), plain_wikitext(body)) for marks, head, body in zip(parts[::3], parts[1::3], parts[2::3]))
+    return [{"level": level, "title": head, "content": body} for level, head, body in plain if len(body) >= least]
 
 
 @F.pandas_udf(T.StringType())
@@ -119,23 +119,25 @@ def wiki_sections(texts: pd.Series) -> pd.Series:
     return texts.map(wiki_sections_of)
 
 
-def chunks_of(text: str | None, size: int = 2000, overlap: int = 400) -> list[str]:
-    """Overlapping chunks; one ends after the last sentence end between half its size and 200 beyond it, if any."""
+def chunks_of(text: str | None, size: int = 2000, overlap: int = 400, late: int = 200) -> list[str]:
+    """Overlapping chunks; one ends after the last sentence end between half its size and `late` beyond it, if any."""
     if overlap >= size:
         raise ValueError(f"overlap {overlap} must be under the chunk size {size}")
     text = (text or "").strip()
-    if len(text) <= size:
-        return [text] if text else []
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            last = max(text.rfind(mark, start + size // 2, min(end + 200, len(text))) for mark in (". ", "? ", "! ", ".\n", "?\n", "!\n"))
-            end = last + 1 if last > start else end
-        if piece := text[start:end].strip():
-            out.append(piece)
-        start = end - overlap
-    return out
+    length = len(text)
+    stops = [m.start() + 1 for m in re.finditer(r"[.?!][ \n]", text)]  # places right after a sentence
+
+    def end_of(start: int) -> int:
+        if start + size >= length:
+            return start + size
+        k = bisect.bisect_left(stops, min(start + size + late, length)) - 1
+        return stops[k] if k >= 0 and stops[k] > start + size // 2 else start + size
+
+    spans, start = [], 0
+    while start < length:
+        spans.append((start, end_of(start)))
+        start = spans[-1][1] - overlap if length > size else length
+    return [x for x in (text[a:z].strip() for a, z in spans) if x]
 
 
 def chunk_udf(size: int = 2000, overlap: int = 400) -> Callable[[Column], Column]:
@@ -215,6 +217,13 @@ def insert_edges(edges: DataFrame, nodes: DataFrame, key: str = "title") -> Data
     return edges.join(n, F.col("src") == F.col("n"), "left_semi").join(n, F.col("dst") == F.col("n"), "left_semi")
 
 
+def named_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations(article, source, target, ...) both of whose ends are entities(article, name) of the same article."""
+    n = entities.select("article", F.col("name").alias("n")).distinct()
+    ends = [n.withColumnRenamed("n", c) for c in ("source", "target")]
+    return relations.join(ends[0], ["article", "source"], "left_semi").join(ends[1], ["article", "target"], "left_semi")
+
+
 def with_missing_endpoints(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """entities(name, type) and the ends of relations(src, dst) they lack, as concepts."""
     ends = relations.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
@@ -253,13 +262,3 @@ def sanitised(records: DataFrame) -> DataFrame:
     e = records.select("title", "arrival", F.posexplode(F.coalesce("entities", F.array().cast("array<struct<name:string,type:string>>"))).alias("at", "e"))
     name = F.substring(F.trim(F.col("e.name")), 1, 256)
     return e.where(F.coalesce(F.trim(F.col("e.name")), F.lit("")) != "").select("title", "arrival", "at", name.alias("name"), F.coalesce(F.nullif(F.trim(F.col("e.type")), F.lit("")), F.lit("concept")).alias("type"))
-
-
-def first_ordered(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Each key's first place by order: an ordered distinct."""
-    return rows.groupBy(*key).agg(F.min(order).alias(order))
-
-
-def running_ids(rows: DataFrame, group: list[str], order: list[str], name: str = "n") -> DataFrame:
-    """Rows numbered from 1 in each group."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))

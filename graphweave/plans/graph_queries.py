@@ -118,11 +118,10 @@ def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.entity_articles(e, he, asked).withColumn("articles", F.array_join(F.col("articles").cast("array<string>"), ","))
 
 
-@query(f"WITH {v.SQL}, he AS (SELECT DISTINCT 'A' || (l_orderkey % n) AS src, 'E' || (l_partkey % 50) AS dst FROM lineitem, num WHERE l_orderkey < 4 * n), asked AS (SELECT 'E' || k AS name FROM range(60) t(k) UNION ALL SELECT 'A1'), held AS (SELECT DISTINCT dst AS name, content FROM he JOIN fct ON title = src WHERE dst IN (SELECT name FROM asked)) SELECT * FROM held UNION ALL SELECT DISTINCT title, content FROM fct WHERE title IN (SELECT name FROM asked) AND title NOT IN (SELECT name FROM held)")
+@query(f"WITH {v.SQL}, he AS (SELECT DISTINCT 'A' || (l_orderkey % n) AS src, 'E' || (l_partkey % 50) AS dst FROM lineitem, num), asked AS (SELECT 'E' || k AS name FROM range(60) t(k) UNION ALL SELECT 'A1'), held AS (SELECT DISTINCT dst AS name, content FROM he JOIN fct ON title = src WHERE dst IN (SELECT name FROM asked)) SELECT * FROM held UNION ALL SELECT DISTINCT title, content FROM fct WHERE title IN (SELECT name FROM asked) AND title NOT IN (SELECT name FROM held)")
 def entity_facts(spark: SparkSession, d: str) -> DataFrame:
-    n = v.articles(spark, d).count()
-    title, name = F.concat(F.lit("A"), (F.col("l_orderkey") % n).cast("string")), F.concat(F.lit("E"), (F.col("l_partkey") % 50).cast("string"))
-    he = v.base(spark, d, "lineitem").where(F.col("l_orderkey") < 4 * n).select(title.alias("src"), name.alias("dst")).distinct()
+    title, name = F.concat(F.lit("A"), (F.col("l_orderkey") % F.col("n")).cast("string")), F.concat(F.lit("E"), (F.col("l_partkey") % 50).cast("string"))
+    he = v.base(spark, d, "lineitem").crossJoin(F.broadcast(v.articles_in(spark, d))).select(title.alias("src"), name.alias("dst")).distinct()
     asked = spark.createDataFrame([(f"E{k}",) for k in range(60)] + [("A1",)], "name string")
     return retrieve.facts_of(asked, v.facts(spark, d), he)
 

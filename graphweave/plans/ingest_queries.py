@@ -40,7 +40,7 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return v.base(spark, d, "part").select("p_type", X.slug(F.col("p_type")).alias("slug")).distinct()
 
 
-_MAP = ", ".join(f"('{s}', '{c}')" for c, ss in V.RELATION_SPELLINGS.items() for s in ss.split())
+_MAP = ", ".join(f"('{s}', '{c}')" for s, c in V.RELATION_SPELLINGS.items())
 _RAW = "raw AS (SELECT DISTINCT event_type || CASE event_id % 6 WHEN 0 THEN ' by' WHEN 1 THEN '-on' WHEN 2 THEN '' ELSE '' END AS r, CASE event_id % 6 WHEN 3 THEN 'Depends on' WHEN 4 THEN ' Co-Founded ' WHEN 5 THEN 'co-authored' END AS s FROM events)"
 
 
@@ -51,10 +51,19 @@ def canonical_relations(spark: SparkSession, d: str) -> DataFrame:
     return v.base(spark, d, "events").select(made.alias("relation")).distinct().select("relation", X.relation(F.col("relation")).alias("canonical"))
 
 
-@query("""SELECT page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS raw_title, CAST(len(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1)) AS BIGINT) AS n_hrefs FROM pages""")
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+_PLAIN_TITLE = "trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1))"
+for _code, _char in _ENTITIES:
+    _PLAIN_TITLE = f"replace({_PLAIN_TITLE}, '{_code}', '{_char}')"
+
+
+@query(f"""WITH t AS (SELECT page_id, html, trim(regexp_split_to_array({_PLAIN_TITLE}, '\\s*[|\u2013\u2014]\\s*')[1]) AS cut,
+    regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) AS last FROM pages)
+  SELECT page_id, CASE WHEN cut <> '' THEN cut ELSE list_aggregate(list_transform(regexp_extract_all(translate(last, '-_', '  '), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '') END AS title,
+    CAST(len(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1)) AS BIGINT) AS n_hrefs FROM t""")
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
     hrefs = F.regexp_extract_all("html", F.lit(r'<a[^>]+href="([^"]*)"'), F.lit(1))
-    return v.base(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("raw_title"), F.size(hrefs).cast("long").alias("n_hrefs"))
+    return v.base(spark, d, "pages").select("page_id", X.page_title(F.col("html"), F.col("url")).alias("title"), F.size(hrefs).cast("long").alias("n_hrefs"))
 
 
 @query()
@@ -85,7 +94,7 @@ def cleaned_documents(spark: SparkSession, d: str) -> DataFrame:
     return v.base(spark, d, "documents").select("doc_id", F.md5(X.clean(F.col("text"))).alias("cleaned_md5"))
 
 
-_TITLES = "t AS (SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'Category:X' WHEN 1 THEN 'List of things' WHEN 2 THEN 'Thing (disambiguation)' WHEN 3 THEN 'x' WHEN 4 THEN 'FILE:a.png' ELSE 'Order ' || o_orderkey END AS title FROM orders WHERE o_orderkey < 2000)"
+_TITLES = "t AS (SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'Category:X' WHEN 1 THEN 'List of things' WHEN 2 THEN 'Thing (disambiguation)' WHEN 3 THEN 'x' WHEN 4 THEN 'FILE:a.png' ELSE 'Order ' || o_orderkey END AS title FROM orders)"
 _NAMES = "|".join(V.NAMESPACES)
 
 
@@ -93,7 +102,7 @@ _NAMES = "|".join(V.NAMESPACES)
 def valid_links(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 7
     title = F.when(k == 0, "Category:X").when(k == 1, "List of things").when(k == 2, "Thing (disambiguation)").when(k == 3, "x").when(k == 4, "FILE:a.png").otherwise(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")))
-    return v.base(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("k"), title.alias("title")).where(X.valid_link(F.col("title")))
+    return v.base(spark, d, "orders").select(F.col("o_orderkey").alias("k"), title.alias("title")).where(X.valid_link(F.col("title")))
 
 
 _FOUND = "f AS (SELECT src, 'A' || (CAST(substring(dst, 2) AS INT) * 2) AS dst, expansion_depth AS depth FROM lnk JOIN art ON title = src)"
@@ -169,11 +178,11 @@ def first_writer_entities(spark: SparkSession, d: str) -> DataFrame:
     return ingest.first_writer(v.base(spark, d, "part").select(F.col("p_brand").alias("name"), "p_partkey", F.col("p_type").alias("type")), "name", "p_partkey").select("name", "type")
 
 
-@query("WITH e AS (SELECT DISTINCT p_name AS name, 'part' AS type FROM part WHERE p_partkey % 2 = 0), r AS (SELECT p_name AS src, p_brand AS dst FROM part WHERE p_partkey < 200), n AS (SELECT src AS name FROM r UNION SELECT dst FROM r) SELECT * FROM e UNION ALL SELECT name, 'concept' FROM n WHERE name NOT IN (SELECT name FROM e)")
+@query("WITH e AS (SELECT DISTINCT p_name AS name, 'part' AS type FROM part WHERE p_size <= 25), r AS (SELECT p_name AS src, p_brand AS dst FROM part), n AS (SELECT src AS name FROM r UNION SELECT dst FROM r) SELECT * FROM e UNION ALL SELECT name, 'concept' FROM n WHERE name NOT IN (SELECT name FROM e)")
 def concept_endpoints(spark: SparkSession, d: str) -> DataFrame:
     p = v.base(spark, d, "part")
-    e = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name"), F.lit("part").alias("type")).distinct()
-    return ingest.with_missing_endpoints(e, p.where("p_partkey < 200").select(F.col("p_name").alias("src"), F.col("p_brand").alias("dst")))
+    e = p.where("p_size <= 25").select(F.col("p_name").alias("name"), F.lit("part").alias("type")).distinct()
+    return ingest.with_missing_endpoints(e, p.select(F.col("p_name").alias("src"), F.col("p_brand").alias("dst")))
 
 
 @query(f"WITH {v.SQL} SELECT src, dst FROM lnk WHERE src IN (SELECT title FROM art WHERE article_id % 2 = 0) AND dst IN (SELECT title FROM art WHERE article_id % 2 = 0)")

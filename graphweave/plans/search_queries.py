@@ -51,14 +51,14 @@ def semantic_search_in_category(spark: SparkSession, d: str) -> DataFrame:
     return rounded(vector.semantic_search(v.sections(spark, d), seeds(spark), v.articles(spark, d), "cat_3"), "similarity")
 
 
-@query(f"""WITH {v.SQL}, {SEED_SQL}, {_near(50)}, r AS ({_ranked(10)}),
+@query(f"""WITH {v.SQL}, {SEED_SQL}, {_near(50)}, r AS ({_ranked(10).replace("SELECT seed,", "SELECT greatest(0, least(1, 1 - distance)) AS exact, seed,")}),
   lead AS (SELECT title, content FROM sec WHERE section_index = 0)
   SELECT seed, r.title, similarity, rank, category, word_count, CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END AS summary
-  FROM r JOIN art USING (title) LEFT JOIN lead USING (title) WHERE similarity >= 0.3""")
+  FROM r JOIN art USING (title) LEFT JOIN lead USING (title) WHERE exact >= 0.3""")
 def search_with_details(spark: SparkSession, d: str) -> DataFrame:
     from graphweave.functions.text import summary
 
-    found = rounded(vector.semantic_search(v.sections(spark, d), seeds(spark)), "similarity").where("similarity >= 0.3")
+    found = rounded(vector.semantic_search(v.sections(spark, d), seeds(spark)).where("similarity >= 0.3"), "similarity")
     lead = v.sections(spark, d).where("section_index = 0").select("title", summary(F.col("content")).alias("summary"))
     return found.join(v.articles(spark, d), "title").join(lead, "title", "left").select("seed", "title", "similarity", "rank", "category", "word_count", "summary")
 
@@ -81,9 +81,9 @@ def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {v.SQL}, {SEED_SQL}, q AS (SELECT seed, v FROM seeds JOIN sec ON sec.title = seed AND section_index = 0)
   SELECT seed, example, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY seed ORDER BY s DESC, example) AS INT) AS rank
-  FROM (SELECT seed, vec_id AS example, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS s FROM embeddings e, q WHERE vec_id % 7 = 3) QUALIFY rank <= 3""")
+  FROM (SELECT seed, vec_id AS example, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS s FROM embeddings e, q) QUALIFY rank <= 3""")
 def few_shot(spark: SparkSession, d: str) -> DataFrame:
-    shots = v.base(spark, d, "embeddings").where("vec_id % 7 = 3").select(F.col("vec_id").alias("example"), F.col("embedding").cast("array<double>").alias("embedding"))
+    shots = v.base(spark, d, "embeddings").select(F.col("vec_id").alias("example"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rounded(vector.few_shot(shots, vector.lead_vectors(v.sections(spark, d), seeds(spark))), "score")
 
 

@@ -36,11 +36,16 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct article links (src, dst) without loops, from the first orders."""
-    n = base(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("a")).distinct().count()
-    o = base(spark, sf_dir, "orders").where(F.col("o_orderkey") < 4 * n)
-    name = lambda c: F.concat(F.lit("A"), (F.col(c) % n).cast("string"))
-    return o.select(name("o_custkey").alias("src"), name("o_orderkey").alias("dst")).where("src <> dst").distinct()
+    """Distinct article links (src, dst) without loops, from all orders: a customer's article to that of their latest order."""
+    n = articles_in(spark, sf_dir)
+    last = base(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey")).crossJoin(F.broadcast(n))  # one row
+    name = lambda c: F.concat(F.lit("A"), (F.col(c) % F.col("n")).cast("string"))
+    return last.select(name("o_custkey").alias("src"), name("o_orderkey").alias("dst")).where("src <> dst").distinct()
+
+
+def articles_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the number of articles (n)."""
+    return base(spark, sf_dir, "embeddings").agg(F.count_distinct(F.floor(F.col("vec_id") / 5)).alias("n"))
 
 
 def customer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +73,8 @@ def entity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """title, fact_id, content: turns of conversations, dealt to articles by conversation."""
-    n = base(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("a")).distinct().count()
-    title = F.concat(F.lit("A"), (F.col("conv_id") % n).cast("string"))
-    return base(spark, sf_dir, "conversations").select(title.alias("title"), F.concat_ws(":fact:", title, F.concat_ws("-", "conv_id", "turn")).alias("fact_id"), F.col("text").alias("content"))
+    title = F.concat(F.lit("A"), (F.col("conv_id") % F.col("n")).cast("string"))
+    return base(spark, sf_dir, "conversations").crossJoin(F.broadcast(articles_in(spark, sf_dir))).select(title.alias("title"), F.concat_ws(":fact:", title, F.concat_ws("-", "conv_id", "turn")).alias("fact_id"), F.col("text").alias("content"))
 
 
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
@@ -82,6 +86,6 @@ sec AS (SELECT e.vec_id // 5 AS article_id, 'A' || (e.vec_id // 5) AS title, 'A'
 art AS (SELECT title, article_id, 'cat_' || max(CASE WHEN section_index = 0 THEN label END) AS category, CAST(sum(word_count) AS BIGINT) AS word_count,
   ['discovered', 'claimed', 'loaded', 'processed', 'failed'][CAST(article_id % 5 AS INT) + 1] AS expansion_state, CAST(article_id % 3 AS INT) AS expansion_depth FROM sec GROUP BY title, article_id),
 num AS (SELECT count(*) AS n FROM art),
-lnk AS (SELECT DISTINCT 'A' || (o_custkey % n) AS src, 'A' || (o_orderkey % n) AS dst FROM orders, num WHERE o_orderkey < 4 * n AND o_custkey % n <> o_orderkey % n),
+lnk AS (SELECT DISTINCT 'A' || (o_custkey % n) AS src, 'A' || (k % n) AS dst FROM (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey), num WHERE o_custkey % n <> k % n),
 fct AS (SELECT 'A' || (conv_id % n) AS title, text AS content, conv_id, turn FROM conversations, num)
 """
