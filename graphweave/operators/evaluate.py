@@ -59,6 +59,28 @@ def catalog_summary(scores: DataFrame, first: str, second: str, passing: int = 8
     return wins.join(rate, F.lit(True))  # one row each
 
 
+def catalogue(manifests: DataFrame, scores: DataFrame, first: str = "training", second: str = "enhanced", passing: int = 8) -> DataFrame:
+    """(pack, articles, entities, relationships, first_accuracy, second_accuracy): every pack with its evaluation, if it has one.
+
+    manifests(pack, articles, entities, relationships); scores(pack, condition, score).
+    """
+    share = lambda c: F.round(F.avg(F.when(F.col("condition") == c, F.when(F.col("score") >= passing, 100.0).otherwise(0.0))), 4)
+    told = scores.groupBy("pack").agg(share(first).alias("first_accuracy"), share(second).alias("second_accuracy"))
+    return manifests.select("pack", "articles", "entities", "relationships").join(told, "pack", "left")
+
+
+def catalogue_totals(entries: DataFrame) -> DataFrame:
+    """One row over catalogue(): packs, their sums, how many were evaluated under both conditions, wins of the second and ties."""
+    both = F.col("first_accuracy").isNotNull() & F.col("second_accuracy").isNotNull()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("articles", "entities", "relationships")]
+    return entries.agg(F.count("*").alias("packs"), *sums, F.count_if(both).alias("evaluated"), F.count_if(both & (F.col("second_accuracy") > F.col("first_accuracy"))).alias("wins"), F.count_if(both & (F.col("second_accuracy") == F.col("first_accuracy"))).alias("ties"))
+
+
+def mean_authority(found: DataFrame) -> DataFrame:
+    """One row: the mean authority of found(authority), 0 of none."""
+    return found.agg(F.round(F.coalesce(F.avg("authority"), F.lit(0.0)), 4).alias("authority"))
+
+
 def composite(judge: Column, syntax: Column, required: Column, forbidden: Column, constructs: Column, execution: Column) -> Column:
     """Weighted score of a coding task to four places; without an execution result the judge's share stands in."""
     return F.round(0.4 * judge / 10 + 0.15 * syntax + 0.15 * required + 0.1 * forbidden + 0.1 * constructs + 0.1 * F.coalesce(execution, judge / 10), 4)

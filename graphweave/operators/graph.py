@@ -145,6 +145,17 @@ def cooccurrence(pairs: DataFrame, least: int = 2, hub: int | None = None) -> Da
     return up.select("src", "dst", "shared").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared"))
 
 
+def linked_by_entities(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """Co-occurrence as edges of the graph: (src, dst, link_type)."""
+    return cooccurrence(pairs, least).select("src", "dst", F.lit("cooccurrence").alias("link_type"))
+
+
+def shown(nodes: DataFrame, categories: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
+    """Nodes(title, category, depth) that a view shows: of some categories (all without any) and not too deep."""
+    kept = nodes if not categories else nodes.where(F.col("category").isin(categories))
+    return kept if max_depth is None else kept.where(F.col("depth") <= max_depth)
+
+
 def crawl(links: DataFrame, seeds: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
     """(page, depth) in the order of a breadth-first crawl from seeds(page), `max_pages` at most."""
     found = shortest_hops(links, seeds.select(F.col("page").alias("seed")), max_depth, keep_seed=True)

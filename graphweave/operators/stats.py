@@ -49,6 +49,12 @@ def audit(words: DataFrame, thin: int = 200) -> DataFrame:
     )
 
 
+def pack_counts(articles: DataFrame, entities: DataFrame, relationships: DataFrame) -> DataFrame:
+    """One row: how many articles, entities and relationships a pack has."""
+    a, e, r = (df.agg(F.count("*").alias(n)) for df, n in ((articles, "articles"), (entities, "entities"), (relationships, "relationships")))
+    return a.join(e, F.lit(True)).join(r, F.lit(True))  # one row each
+
+
 def edge_total(*edges: DataFrame) -> int:
     return sum(e.count() for e in edges)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweave.schema import bounded, top
@@ -32,19 +34,47 @@ def similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance))
 
 
-def index_nearest(queries: DataFrame, sections: DataFrame, k: int) -> DataFrame:
-    """The k sections nearest to each query(seed, query_vector), by cosine distance, then section id.
+def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
+    """(seed, distance, near) with the columns of items(embedding, ...): the k items nearest to each query(seed, query_vector).
 
-    Exact: every section is compared with every query, queries being few and checked. Vectors are
-    divided by their length once, so a comparison is one product. Each task keeps k rows of a query.
+    Exact, by cosine distance, then key; a zero vector has distance 1 to all. The queries, few and
+    checked, go to every task; a task compares Arrow batches by one matrix product, takes what is
+    within rounding of the k best of a batch, and sums those products component by component.
     """
-    if queries.count() > MOST_QUERIES:
+    asked = queries.select("seed", "query_vector").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    unit = lambda v: F.transform(F.array(v), lambda a: F.transform(F.array(norm(a)), lambda n: F.when(n == 0, a).otherwise(F.transform(a, lambda x: x / n)))[0])[0]
-    q = queries.select("seed", unit(F.col("query_vector")).alias("q"))
-    s = sections.select("section_id", "title", "content", unit(F.col("embedding")).alias("v"))
-    near = s.join(F.broadcast(q), F.lit(True)).select("seed", "section_id", "title", "content", (1 - dot(F.col("v"), F.col("q"))).alias("distance"))
-    return top(near, ["seed"], [F.col("distance"), F.col("section_id")], k, "near")
+    carried = [c for c in items.columns if c != "embedding"]
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *items.schema)}
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("seed", *carried)) + ", distance double"
+    if not asked:
+        return top(items.sparkSession.createDataFrame([], shape), ["seed"], [F.col("distance"), F.col(key)], k, "near")
+    seeds, wide = [r["seed"] for r in asked], len(asked[0]["query_vector"])
+    unit = _unit(np.array([r["query_vector"] for r in asked], dtype=np.float64))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, wide))
+                close = unit @ v.T
+                least = np.partition(close, -k, axis=1)[:, -k] if close.shape[1] > k else np.full(len(close), -np.inf)
+                q, i = np.nonzero(close >= least[:, None] - 1e-9)
+                distance = 1 - (unit[q] * v[i]).sum(axis=1)
+                there = batch.select(carried).take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([pa.array([seeds[x] for x in q.tolist()]), *there.columns, pa.array(distance)], ["seed", *carried, "distance"])
+
+    sound = items.where(F.size("embedding") == wide).select(*carried, F.col("embedding").cast("array<double>").alias("embedding"))
+    return top(sound.mapInArrow(search, shape), ["seed"], [F.col("distance"), F.col(key)], k, "near")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(size == 0, 1.0, size)
+
+
+def index_nearest(queries: DataFrame, sections: DataFrame, k: int) -> DataFrame:
+    """(seed, section_id, title, distance, near): the k sections nearest to each query; their texts are joined by who needs them."""
+    return nearest(queries, sections.select("section_id", "title", "embedding"), "section_id", k)
 
 
 def lead_vectors(sections: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -55,7 +85,7 @@ def lead_vectors(sections: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def best_section(near: DataFrame) -> DataFrame:
     """The nearest section of each article for each seed."""
-    best = F.min_by(F.struct("section_id", "content", "distance"), F.struct("distance", "section_id"))
+    best = F.min_by(F.struct("section_id", "distance"), F.struct("distance", "section_id"))
     return near.groupBy("seed", "title").agg(best.alias("b")).select("seed", "title", "b.*")
 
 
@@ -76,8 +106,27 @@ def semantic_search(sections: DataFrame, seeds: DataFrame, articles: DataFrame |
 
 def agent_search(sections: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
     """(seed, title, content, similarity, rank) for queries(seed, query_vector): three times top_k sections, no article left out."""
+    bounded("top_k", top_k, 1, 500)
     best = best_section(index_nearest(queries, sections, 3 * top_k))
-    return top(best, ["seed"], [F.col("distance"), F.col("title")], top_k).select("seed", "title", "content", similarity(F.col("distance")).alias("similarity"), "rank")
+    few = top(best, ["seed"], [F.col("distance"), F.col("title")], top_k)
+    return few.join(sections.select("section_id", "content"), "section_id").select("seed", "title", "content", similarity(F.col("distance")).alias("similarity"), "rank")
+
+
+def query_vectors(sections: DataFrame, questions: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """(seed, query_vector) of questions(seed, question): the vector of the first section of an article of that title, else the model's."""
+    first = sections.groupBy("title").agg(F.min_by("embedding", "section_index").alias("query_vector"))
+    known = questions.join(first, F.col("question") == F.col("title")).select("seed", "query_vector")
+    rest = questions.join(known.select("seed"), "seed", "left_anti").select("seed", F.col("question").alias("text"))
+    return known.unionByName(embed(rest, model))
+
+
+def multi_query_search(sections: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
+    """(seed, title, content, similarity, rank) over all phrasings, queries(seed, phrase, query_vector): the best similarity of each title, not cut to top_k."""
+    top_k = max(1, min(20, top_k))
+    each = queries.select(F.struct("seed", "phrase").cast("struct<seed:string,phrase:int>").alias("p"), "query_vector").select(F.to_json("p").alias("seed"), "query_vector")
+    found = agent_search(sections, each, top_k).withColumn("seed", F.get_json_object("seed", "$.seed"))
+    best = found.groupBy("seed", "title").agg(F.max_by(F.struct("content", "similarity"), F.struct("similarity", F.expr("-rank"))).alias("b")).select("seed", "title", "b.*")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc(F.round("similarity", 9)), "title")))
 
 
 def multi_query(found: DataFrame) -> DataFrame:
@@ -93,11 +142,8 @@ def confidence_gate(found: DataFrame, least: float = 0.5) -> DataFrame:
 
 def few_shot(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(seed, example, score, rank): the k examples(example, embedding) most similar to each query, earlier ones first in a tie."""
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    near = examples.join(F.broadcast(queries), F.lit(True))
-    scored = near.select("seed", "example", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("embedding"), F.col("query_vector")))).alias("score"))
-    return top(scored, ["seed"], [F.desc("score"), F.col("example")], k)
+    near = nearest(queries, examples.select("example", "embedding"), "example", k)
+    return near.select("seed", "example", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("distance"))).alias("score"), F.col("near").alias("rank"))
 
 
 def embed(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], prefix: str = "", batch: int = 32) -> DataFrame:

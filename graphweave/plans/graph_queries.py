@@ -93,6 +93,17 @@ def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence(v.entity_pairs(spark, d))
 
 
+@query(f"WITH {v.SQL}, {SEED_SQL}, {BFS}, {_NEIGHBOURS} SELECT * FROM nb WHERE category IN ('cat_1', 'cat_2') AND depth <= 1")
+def shown_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shown(graph_neighbors(spark, d).drop("links"), ["cat_1", "cat_2"], 1)
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS article, l_partkey AS entity FROM lineitem), u AS (SELECT a.article AS src, b.article AS dst FROM p a JOIN p b USING (entity) WHERE a.article <> b.article GROUP BY ALL HAVING count(*) >= 2)
+  SELECT src, dst, 'cooccurrence' AS link_type FROM u""")
+def linked_by_entities(spark: SparkSession, d: str) -> DataFrame:
+    return graph.linked_by_entities(v.entity_pairs(spark, d))
+
+
 @query(f"WITH {v.SQL}, {SEED_SQL} SELECT * FROM (SELECT seed, 'out' AS direction, dst AS title FROM seeds JOIN lnk ON src = seed UNION ALL SELECT seed, 'in', src FROM seeds JOIN lnk ON dst = seed) QUALIFY row_number() OVER (PARTITION BY seed, direction ORDER BY title) <= 500")
 def article_links(spark: SparkSession, d: str) -> DataFrame:
     from graphweave.schema import top

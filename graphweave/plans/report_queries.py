@@ -49,11 +49,15 @@ def content_audit(spark: SparkSession, d: str) -> DataFrame:
     return stats.audit(stats.words_by_article(v.sections(spark, d)))
 
 
-@query(f"WITH {v.SQL} SELECT CAST((SELECT count(*) FROM sec) + (SELECT count(*) FROM lnk) + (SELECT count(category) FROM art) AS BIGINT) AS edges, (SELECT count(*) FROM art) AS articles, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS entities")
+@query(f"WITH {v.SQL} SELECT CAST((SELECT count(*) FROM sec) + (SELECT count(*) FROM lnk) + (SELECT count(category) FROM art) AS BIGINT) AS edges")
+def edge_totals(spark: SparkSession, d: str) -> DataFrame:
+    n = stats.edge_total(v.sections(spark, d), v.links(spark, d), v.articles(spark, d).where("category IS NOT NULL"))
+    return spark.createDataFrame([(n,)], "edges long")
+
+
+@query(f"WITH {v.SQL} SELECT (SELECT count(*) FROM art) AS articles, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS entities, (SELECT count(*) FROM lnk) AS relationships")
 def pack_stats(spark: SparkSession, d: str) -> DataFrame:
-    a = v.articles(spark, d)
-    n = stats.edge_total(v.sections(spark, d), v.links(spark, d), a.where("category IS NOT NULL"))
-    return v.entity_pairs(spark, d).agg(F.countDistinct("entity").alias("entities")).select(F.lit(n).cast("long").alias("edges"), F.lit(a.count()).cast("long").alias("articles"), "entities")
+    return stats.pack_counts(v.articles(spark, d), v.entity_pairs(spark, d).select("entity").distinct(), v.links(spark, d))
 
 
 @query("SELECT c_mktsegment AS model, CAST(sum(o_orderkey % 5000) AS BIGINT) AS tokens_in, CAST(sum(o_orderkey % 700) AS BIGINT) AS tokens_out, (sum(o_orderkey % 5000) * 15.0::DOUBLE + sum(o_orderkey % 700) * 75.0::DOUBLE) / 1e6 AS cost FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
@@ -63,7 +67,7 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
     return stats.token_cost(used, ["model"])
 
 
-_ANS = "a AS (SELECT doc_id, doc_id % 40 AS question_id, lower(trim(text)) AS x, text, n_chars::DOUBLE AS latency_ms, n_chars / 1e6 AS cost_usd FROM documents), q AS (SELECT item_id AS question_id, lower(trim(text)) AS t FROM benchmark WHERE item_id < 35)"
+_ANS = "a AS (SELECT doc_id, doc_id % 50 AS question_id, lower(trim(text)) AS x, text, n_chars::DOUBLE AS latency_ms, n_chars / 1e6 AS cost_usd FROM documents), q AS (SELECT item_id AS question_id, lower(trim(text)) AS t FROM benchmark)"
 _HEDGE = " OR ".join(f"contains(x, '{h}')" for h in V.HEDGES)
 _CITE = " OR ".join(f"regexp_matches(text, '{c}')" for c in V.CITES)
 
@@ -71,8 +75,8 @@ _CITE = " OR ".join(f"regexp_matches(text, '{c}')" for c in V.CITES)
 @query(rf"""WITH {_ANS}, s AS (SELECT a.*, t, CASE WHEN t IS NULL THEN NULL WHEN x = t THEN 1.0 WHEN contains(x, t) THEN 0.8 WHEN len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: length(w) > 3 AND contains(x, w))) > 0 THEN 0.5 ELSE 0 END AS score FROM a LEFT JOIN q USING (question_id))
   SELECT round(avg(score)::DOUBLE, 6) AS accuracy, round(avg(CASE WHEN ({_HEDGE}) AND NOT ({_CITE}) THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS hallucination_rate, round(avg(CASE WHEN {_CITE} OR regexp_matches(text, '(?i)reference:') THEN 1.0 ELSE 0 END)::DOUBLE, 6) AS citation_rate, round(avg(latency_ms), 4) AS latency_ms, round(sum(cost_usd), 6) AS cost_usd, count(*) AS n FROM s""")
 def answer_metrics(spark: SparkSession, d: str) -> DataFrame:
-    a = v.base(spark, d, "documents").select((F.col("doc_id") % 40).alias("question_id"), F.col("text").alias("answer"), F.col("n_chars").cast("double").alias("latency_ms"), (F.col("n_chars") / 1e6).alias("cost_usd"))
-    q = v.base(spark, d, "benchmark").where("item_id < 35").select(F.col("item_id").alias("question_id"), F.col("text").alias("ground_truth"))
+    a = v.base(spark, d, "documents").select((F.col("doc_id") % 50).alias("question_id"), F.col("text").alias("answer"), F.col("n_chars").cast("double").alias("latency_ms"), (F.col("n_chars") / 1e6).alias("cost_usd"))
+    q = v.base(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("ground_truth"))
     m = evaluate.metrics(a, q)
     return m.withColumns({**{c: F.round(c, 6) for c in ("accuracy", "hallucination_rate", "citation_rate", "cost_usd")}, "latency_ms": F.round("latency_ms", 4)})
 
@@ -160,10 +164,36 @@ def url_cascade(spark: SparkSession, d: str) -> DataFrame:
     return files.cascade(e, 40)
 
 
-@query("SELECT n_regionkey % 2 AS k, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation WHERE n_nationkey < 10 GROUP BY 1")
-def context_sample(spark: SparkSession, d: str) -> DataFrame:
-    each = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return v.base(spark, d, "nation").where("n_nationkey < 10").groupBy((F.col("n_regionkey") % 2).alias("k")).agg(each.alias("s")).select("k", F.array_join(F.transform("s", lambda x: x["n_name"]), ",").alias("names"))
+_PACKS = """m AS (SELECT n_name AS pack, count(DISTINCT c_custkey) AS articles, count(DISTINCT s_suppkey) AS entities, CAST(any_value(n_nationkey) AS BIGINT) AS relationships
+    FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name),
+  s AS (SELECT n_name AS pack, CASE WHEN o_orderpriority < '3' THEN 'training' ELSE 'enhanced' END AS condition, o_orderkey % 11 AS score FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_name < 'M'),
+  t AS (SELECT pack, round(avg(CASE WHEN condition = 'training' THEN CASE WHEN score >= 8 THEN 100.0::DOUBLE ELSE 0 END END), 4) AS first_accuracy, round(avg(CASE WHEN condition = 'enhanced' THEN CASE WHEN score >= 8 THEN 100.0::DOUBLE ELSE 0 END END), 4) AS second_accuracy FROM s GROUP BY pack),
+  e AS (SELECT * FROM m LEFT JOIN t USING (pack))"""
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    n, c, s = (v.base(spark, d, x) for x in ("nation", "customer", "supplier"))
+    packs = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("pack"))
+    packs = packs.agg(F.countDistinct("c_custkey").alias("articles"), F.countDistinct("s_suppkey").alias("entities"), F.max("n_nationkey").cast("long").alias("relationships"))
+    o = v.base(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).where("n_name < 'M'")
+    scores = o.select(F.col("n_name").alias("pack"), F.when(F.col("o_orderpriority") < "3", "training").otherwise("enhanced").alias("condition"), (F.col("o_orderkey") % 11).alias("score"))
+    return evaluate.catalogue(packs, scores)
+
+
+@query(f"WITH {_PACKS} SELECT * FROM e")
+def pack_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    return _catalogue(spark, d)
+
+
+@query(f"""WITH {_PACKS} SELECT count(*) AS packs, CAST(sum(articles) AS BIGINT) AS articles, CAST(sum(entities) AS BIGINT) AS entities, CAST(sum(relationships) AS BIGINT) AS relationships,
+  count(*) FILTER (first_accuracy IS NOT NULL AND second_accuracy IS NOT NULL) AS evaluated, count(*) FILTER (second_accuracy > first_accuracy) AS wins, count(*) FILTER (second_accuracy = first_accuracy) AS ties FROM e""")
+def catalogue_totals(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.catalogue_totals(_catalogue(spark, d))
+
+
+@query("SELECT round(avg(value), 4) AS authority FROM events")
+def mean_authority(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.mean_authority(v.base(spark, d, "events").select(F.col("value").alias("authority")))
 
 
 @query("SELECT 1 AS test")

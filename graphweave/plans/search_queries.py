@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.operators import graph, retrieve, vector
+from graphweave.operators import answer, graph, retrieve, vector
 from graphweave.plans.catalog import query
 from graphweave.sources import views as v
 
@@ -165,6 +165,50 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(graph.rerank(found, v.links(spark, d), v.articles(spark, d)), "score").select("seed", "title", "score")
 
 
+_ANSWER = f"""{SEED_SQL}, {QUESTION_SQL}, {_near(15, '')},
+  vh AS (SELECT seed, title, greatest(0, least(1, 1 - distance)) AS similarity, row_number() OVER (PARTITION BY seed ORDER BY distance, title) AS rank FROM best WHERE seed IN (SELECT seed FROM qs) QUALIFY rank <= 5),
+  sure AS (SELECT * FROM vh WHERE seed IN (SELECT seed FROM vh GROUP BY seed HAVING max(similarity) >= 0.5)),
+  sj AS (SELECT seed, question, regexp_replace(regexp_replace(lower(trim(question)), '^(what is|explain|describe|tell me about)\\s+', ''), '[?. ]+$', '') AS subject FROM qs),
+  ex AS (SELECT seed, title FROM sj JOIN art ON lower(title) = subject), pt AS (SELECT seed, title FROM sj JOIN art ON contains(lower(title), subject) WHERE seed NOT IN (SELECT seed FROM ex)),
+  dm AS (SELECT seed, title, row_number() OVER (PARTITION BY seed ORDER BY length(title), title) AS place FROM (SELECT * FROM ex UNION ALL SELECT * FROM pt) QUALIFY place <= 3),
+  h1 AS (SELECT seed, title, 0.5 * similarity AS part FROM sure),
+  h2 AS (SELECT s.seed, dst AS title, 0.15 AS part FROM sure s JOIN lnk ON src = s.title WHERE rank <= 3 QUALIFY row_number() OVER (PARTITION BY s.seed, s.title ORDER BY dst) <= 5),
+  kw AS (SELECT * FROM (VALUES ('A9', 1, 'thing'), ('A9', 2, 'near'), ('A0', 1, 'A12?')) t(seed, pos, word)),
+  h3 AS (SELECT seed, title, 0.14 AS part FROM kw JOIN art ON contains(lower(title), lower(word)) QUALIFY row_number() OVER (PARTITION BY seed, pos ORDER BY title) <= 5),
+  hs AS (SELECT seed, title, round(sum(part), 9) AS part FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY seed, title),
+  hy AS (SELECT seed, title, row_number() OVER (PARTITION BY seed ORDER BY part DESC, title) AS rank FROM hs QUALIFY rank <= 5),
+  bag AS (SELECT seed, title, min(spot) AS spot FROM (SELECT seed, title, place AS spot FROM dm UNION ALL SELECT seed, title, 1000 + rank FROM sure UNION ALL SELECT seed, title, 2000 + rank FROM hy) GROUP BY ALL),
+  r AS (SELECT seed, title, row_number() OVER (PARTITION BY seed ORDER BY spot, title) AS rank FROM bag QUALIFY rank <= 10),
+  {_FUSED[_FUSED.index("deg AS"):]},
+  more AS (SELECT seed, dst AS title, 100000 + row_number() OVER (PARTITION BY seed ORDER BY dst) AS late FROM fused JOIN lnk ON src = fused.title WHERE fused.place = 0 QUALIFY late <= 100002),
+  al AS (SELECT seed, title, min(p) AS p FROM (SELECT seed, title, place AS p FROM fused UNION ALL SELECT * FROM more) GROUP BY ALL)"""
+
+
+@query(f"WITH {v.SQL}, {_ANSWER} SELECT seed, title, CAST(row_number() OVER (PARTITION BY seed ORDER BY p, title) - 1 AS INT) AS place FROM al QUALIFY row_number() OVER (PARTITION BY seed ORDER BY p, title) <= 7")
+def answer_sources(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sections(spark, d)
+    asked = questions(spark)
+    return answer.sources(s, v.articles(spark, d), v.links(spark, d), asked, vector.lead_vectors(s, asked.select("seed")))
+
+
+@query(f"""WITH {v.SQL}, {SEED_SQL}, {_near(15, '')}, p AS (SELECT seed, title, greatest(0, least(1, 1 - distance)) AS similarity, row_number() OVER (PARTITION BY seed ORDER BY distance, title) AS rank FROM best QUALIFY rank <= 5),
+  m AS (SELECT CASE WHEN CAST(substring(seed, 2) AS INT) < 30 THEN 'low' ELSE 'high' END AS seed, title, max(similarity) AS s FROM p GROUP BY ALL)
+  SELECT seed, title, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY seed ORDER BY round(s, 9) DESC, title) AS INT) AS rank FROM m""")
+def multi_query_search(spark: SparkSession, d: str) -> DataFrame:
+    s = v.sections(spark, d)
+    n = F.substring("seed", 2, 9).cast("int")
+    phrased = vector.lead_vectors(s, seeds(spark)).select(F.when(n < 30, "low").otherwise("high").alias("seed"), n.alias("phrase"), "query_vector")
+    return rounded(vector.multi_query_search(s, phrased, 5), "similarity").select("seed", "title", "similarity", "rank")
+
+
+@query(f"""WITH {v.SQL}, few AS (SELECT title FROM art ORDER BY title LIMIT 20),
+  lead AS (SELECT title, arg_min(content, section_index) AS content FROM sec WHERE title IN (SELECT title FROM few) GROUP BY title ORDER BY title LIMIT 5)
+  SELECT 'Pack contains ' || (SELECT count(*) FROM few) || ' articles including:' || chr(10) || chr(10) || (SELECT string_agg('- ' || title, chr(10) ORDER BY title) FROM (SELECT title FROM few ORDER BY title LIMIT 15))
+    || chr(10) || chr(10) || 'Sample content snippets:' || chr(10) || (SELECT string_agg(chr(10) || '[' || title || ']: ' || replace(substring(content, 1, 200), chr(10), ' ') || '...', chr(10) ORDER BY title) FROM lead) AS body""")
+def context_sample(spark: SparkSession, d: str) -> DataFrame:
+    return answer.context_sample(v.articles(spark, d), v.sections(spark, d))
+
+
 @query(f"""WITH {v.SQL}, s AS (SELECT * FROM (VALUES ('a0', 0), ('A7', 1), ('none', 2)) t(seed, ord)), named AS (SELECT title AS seed, ord FROM s JOIN art ON lower(title) = lower(seed)),
   w1 AS (SELECT DISTINCT seed, dst AS title, 1 AS hops FROM named JOIN lnk ON src = seed), w2 AS (SELECT DISTINCT seed, dst AS title, 2 AS hops FROM w1 JOIN lnk ON src = title),
   nr AS (SELECT seed, title, min(hops) AS hops FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2) WHERE title <> seed AND title IN (SELECT title FROM art WHERE word_count > 0) GROUP BY ALL),

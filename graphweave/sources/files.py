@@ -6,7 +6,10 @@ import json
 import shutil
 import tarfile
 import tempfile
+from collections.abc import Mapping
+from datetime import datetime, timedelta
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +20,40 @@ QUESTION = "id string, domain string, difficulty string, question string, ground
 REQUIRED = ("id", "domain", "difficulty", "question", "ground_truth")
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a JSONL file; a line that is no object or lacks a required field is an error that names it."""
-    raw = spark.read.text(path, wholetext=False).withColumn("line", F.monotonically_increasing_id() + 1).where(F.trim("value") != "")
-    q = raw.select("line", F.from_json("value", QUESTION).alias("q"))
-    bad = q.where(F.col("q").isNull() | F.greatest(*(F.col(f"q.{c}").isNull() for c in REQUIRED))).orderBy("line").limit(1).collect()
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, numbered from 1 in each. A file is one task's, so lists of lines are meant, not corpora."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("at", "value"))
+    return whole.select("file", (F.col("at") + 1).alias("line"), "value")
+
+
+def strict(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], what: str) -> DataFrame:
+    """(line, ...) of a JSONL file; a line that is no object or lacks a required field is an error that names it."""
+    raw = numbered(spark, path).where(F.trim("value") != "")
+    q = raw.select("file", "line", F.from_json("value", schema).alias("q"))
+    bad = q.where(F.col("q").isNull() | F.greatest(*(F.col(f"q.{c}").isNull() for c in required))).orderBy("file", "line").limit(1).collect()
     if bad:
-        raise ValueError(f"{path}: line {bad[0]['line']} is no question with the fields {', '.join(REQUIRED)}")
+        raise ValueError(f"{bad[0]['file']}: line {bad[0]['line']} is no {what} with the fields {', '.join(required)}")
     return q.select("line", "q.*")
 
 
+def questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions of a JSONL file, each with its line."""
+    return strict(spark, path, QUESTION, REQUIRED, "question")
+
+
 def first_questions(spark: SparkSession, path: str, n: int) -> DataFrame:
     return questions(spark, path).orderBy("line").limit(n)
 
 
+TASK = "id string, pack_name string, task_type string, difficulty string, prompt string, ground_truth_code string, ground_truth_description string, validation struct<language:string,must_contain:array<string>,must_not_contain:array<string>,expected_constructs:array<string>,execution_test:string>, tags array<string>"
+
+
+def tasks(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Coding tasks of a JSONL file with their lines; a limit of none or 0 is no limit."""
+    found = strict(spark, path, TASK, ("id", "prompt"), "task")
+    return found.orderBy("line").limit(limit) if limit else found
+
+
 def examples(spark: SparkSession, path: str, schema: str, most: int = 1000) -> DataFrame:
     """Few-shot examples of a JSON array or of JSON lines, told apart by the first character; the first `most`."""
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
@@ -40,21 +63,21 @@ def examples(spark: SparkSession, path: str, schema: str, most: int = 1000) -> D
 
 def urls(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """https lines of a list, in order, without comments; a limit of none or 0 is no limit."""
-    u = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.trim("value").alias("url")).where(~F.col("url").startswith("#") & F.col("url").startswith("https://"))
+    u = numbered(spark, path).select(F.col("line").alias("ord"), F.trim("value").alias("url")).where(~F.col("url").startswith("#") & F.col("url").startswith("https://"))
     return u.orderBy("ord").limit(limit) if limit else u
 
 
 def urls_loosely(spark: SparkSession, path: str) -> DataFrame:
     """Every line that isn't blank and doesn't begin with #."""
-    u = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    return u.select(F.monotonically_increasing_id().alias("ord"), F.trim("value").alias("url"))
+    u = numbered(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return u.select(F.col("line").alias("ord"), F.trim("value").alias("url"))
 
 
 def topics(spark: SparkSession, path: str) -> DataFrame:
     """Topics of a list without bullets and numbers, blank lines and comments."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.trim("value"), r"^[-*]\s+", ""), r"^\d+\.\s+", ""))
-    raw = spark.read.text(path).where(~F.trim("value").startswith("#"))
-    return raw.select(F.monotonically_increasing_id().alias("ord"), t.alias("topic")).where("topic <> ''")
+    raw = numbered(spark, path).where(~F.trim("value").startswith("#"))
+    return raw.select(F.col("line").alias("ord"), t.alias("topic")).where("topic <> ''")
 
 
 MANIFEST = "name string, version string, description string, graph_stats struct<articles:bigint,entities:bigint,relationships:bigint,size_mb:double>, eval_scores struct<accuracy:double,hallucination_rate:double,citation_quality:double>, source_urls array<string>, created string, created_at string, license string, author string, topics array<string>"
@@ -112,16 +135,80 @@ def unpackage(archive: Path, root: Path, keep: str = "eval/results") -> Path:
     return target
 
 
+# What the folder of an installed pack holds.
+PACK_PARTS = ("manifest.json", "pack.db", "skill.md", "kg_config.json")
+
+
+def pack_errors(folder: Path) -> list[str]:
+    """What keeps a folder from being a pack: parts it lacks, and a manifest or configuration that can't be read or is incomplete."""
+    errors = [f"no {part}" for part in PACK_PARTS if not (folder / part).exists()]
+    for part, fields in (("manifest.json", ("name", "version", "description", "graph_stats", "license")), ("kg_config.json", ())):
+        if (folder / part).is_file():
+            try:
+                held = json.loads((folder / part).read_text())
+                errors += [f"{part} lacks {x}" for x in fields if not held.get(x)]
+            except (OSError, ValueError, AttributeError):
+                errors.append(f"{part} can't be read")
+    return errors
+
+
 def packs(root: Path) -> list[Path]:
-    """Folders under root that are packs: a manifest that reads, with a name."""
-    out = []
-    for p in sorted(root.iterdir()) if root.is_dir() else []:
-        try:
-            if json.loads((p / "manifest.json").read_text()).get("name"):
-                out.append(p)
-        except (OSError, ValueError):
-            continue
-    return out
+    """Folders under root that are whole packs."""
+    return [p for p in sorted(root.iterdir()) if p.is_dir() and not pack_errors(p)] if root.is_dir() else []
+
+
+def remove(root: Path, name: str) -> None:
+    """Deletes an installed pack."""
+    shutil.rmtree(root / name)
+
+
+def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
+    """A table as JSON lines by Spark, or, small as reports are, as one JSON array or one Markdown table."""
+    if kind == "jsonl":
+        df.write.mode("overwrite").json(path)
+        return
+    rows = [json.loads(x) for x in df.toJSON().collect()]
+    if kind == "json":
+        Path(path).write_text(json.dumps(rows, indent=2, ensure_ascii=False))
+    elif kind == "markdown":
+        cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
+        lines = [df.columns, ["---"] * len(df.columns), *([cell(r.get(c)) for c in df.columns] for r in rows)]
+        Path(path).write_text("\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n")
+    else:
+        raise ValueError(f"no report of kind {kind}")
+
+
+def fresh(spark: SparkSession, path: str, now: datetime, days: float = 7) -> DataFrame:
+    """(file, at, fresh) of a cache's files: whether each was written in the last `days`."""
+    f = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("modificationTime").alias("at"))
+    return f.withColumn("fresh", F.col("at") >= F.lit(now - timedelta(days=days)))
+
+
+class Source(Protocol):
+    """What builds a graph from somewhere: pages of titles, their sections and their links, as DataFrames."""
+
+    def articles(self, titles: DataFrame) -> DataFrame:
+        """(title, text, categories) of titles(title)."""
+
+    def sections(self, articles: DataFrame) -> DataFrame:
+        """(title, section_index, level, heading, content)."""
+
+    def links(self, articles: DataFrame) -> DataFrame:
+        """(src, dst)."""
+
+
+def settings(path: str | None = None, environment: Mapping[str, str] | None = None, prefix: str = "GRAPHWEAVE_", **defaults: str | int | float | bool) -> dict[str, str | int | float | bool]:
+    """Defaults, over them a file of `name: value` lines or a JSON object, over it the environment; values have the defaults' types."""
+    held: dict[str, object] = {}
+    if path:
+        raw = Path(path).read_text()
+        pairs = (line.split("#")[0].partition(":") for line in raw.splitlines())
+        held = json.loads(raw) if raw.lstrip().startswith("{") else {k.strip(): v.strip().strip("'\"") for k, mark, v in pairs if mark}
+    held |= {k: environment[prefix + k.upper()] for k in defaults if prefix + k.upper() in (environment or {})}
+    if unknown := sorted(set(held) - set(defaults)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    read = lambda v, d: str(v).lower() in ("1", "true", "yes", "on") if isinstance(d, bool) else type(d)(v)
+    return defaults | {k: read(v, defaults[k]) for k, v in held.items()}
 
 
 def cascade(found: DataFrame, most: int, order: tuple[str, ...] = ("sitemap", "rss", "crawl", "llm")) -> DataFrame:

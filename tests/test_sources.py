@@ -61,7 +61,14 @@ def test_packs_keep_results_and_refuse_escapes(tmp_path):
     (target / "eval/results").mkdir(parents=True, exist_ok=True)
     (target / "eval/results/r.json").write_text("{}")
     assert (files.unpackage(archive, root) / "eval/results/r.json").exists()
+    assert files.packs(root) == [] and files.pack_errors(target) == ["no pack.db", "no skill.md", "no kg_config.json"]
+    (target / "pack.db").mkdir()
+    (target / "skill.md").write_text("s")
+    (target / "kg_config.json").write_text("{}")
     assert files.packs(root) == [target]
+    (target / "manifest.json").write_text("{")
+    assert files.pack_errors(target) == ["manifest.json can't be read"]
+    (target / "manifest.json").write_text(json.dumps(MANIFEST))
     with tarfile.open(tmp_path / "bad.tar.gz", "w:gz") as tar:
         tar.add(src / "manifest.json", "../manifest.json")
     with pytest.raises(ValueError, match="unsafe"):
