@@ -98,7 +98,7 @@ class WordBPE:
     characters never are.
     """
 
-    def __init__(self, path: str, memo: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, path: str, memo: int = 500_000, longest: int = 64) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -127,46 +127,51 @@ def tokenizer(path: str) -> WordBPE:
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary of 16-bit ids with the end id last, n) of every row; a null text is empty."""
+    """(doc_id, ids binary of 16-bit ids with the end id last, n) of every row; a null text is empty.
+
+    Each task adds one row with n = -1 and no id: the document frequencies of its rows, 32-bit by id.
+    """
     df = renamed(docs, doc_id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
         assert words.size <= 1 << 16
-        end = np.array([END_ID], dtype="<u2").tobytes()
+        end, seen = np.array([END_ID], dtype="<u2").tobytes(), np.zeros(words.size, dtype=np.int64)
+        kind = None
         for batch in slices(batches, "text", 4 << 20):
-            ids = words.encode([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() + end for x in ids], pa.binary()), pa.array([len(x) + 1 for x in ids], pa.int64())], ["doc_id", "ids", "n"])
-
+            each = [x.tobytes() + end for x in words.encode([x or "" for x in batch.column("text").to_pylist()])]
+            sizes = [len(x) // 2 for x in each]
+            once = np.sort(np.repeat(np.arange(len(each), dtype=np.int64) << 16, sizes) + np.frombuffer(b"".join(each), dtype="<u2"))
+            once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]] & 0xFFFF  # each id of a document once
+            seen += np.bincount(once, minlength=words.size)
+            kind = batch.column("doc_id").type
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each, pa.binary()), pa.array(sizes, pa.int64())], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([seen.astype("<u4").tobytes()], pa.binary()), pa.array([-1], pa.int64())], names)
+
+    names = ["doc_id", "ids", "n"]
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids binary, n long")
 
 
 def token_statistics(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
     """Document frequency of every id, documents and their mean length, over the whole corpus.
 
-    Summed within tasks first; what reaches the driver is one row for each id of the vocabulary.
+    The tasks' frequencies are added up by id; what reaches the driver is one row for each id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows, length = np.zeros(size, dtype=np.int64), 0, 0
-        for batch in slices(batches, "ids", 2 << 20):
-            each = batch.column("ids").to_pylist()
-            ids = np.frombuffer(b"".join(each), dtype="<u2")
-            owner = np.repeat(np.arange(len(each), dtype=np.int64) << 16, [len(x) // 2 for x in each])
-            once = np.sort(owner + ids)  # equal ids of a document are next to each other
-            once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]] & 0xFFFF
-            seen += np.bincount(once, minlength=size)
-            rows, length = rows + len(each), length + len(ids)
+        seen = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column("ids").to_pylist():
+                seen += np.frombuffer(x, dtype="<u4")
         held = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([held, [-1, -2]])), pa.array(np.concatenate([seen[held], [rows, length]]))], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], ["id", "n"])
 
-    sums = {r[0]: r[1] for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
+    rows, total = tokens.where("n >= 0").agg(F.count("*"), F.sum("n")).first()
     frequency = np.zeros(size, dtype=np.int64)
-    for k, n in sums.items():
-        if k >= 0:
-            frequency[k] = n
-    rows = sums.get(-1, 0)
-    return frequency, rows, sums.get(-2, 0) / max(1, rows)
+    for k, n in tokens.where("n < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+        frequency[k] = n
+    return frequency, rows, (total or 0) / max(1, rows)
 
 
 class Index:
@@ -372,6 +377,7 @@ def pack(docs: DataFrame, tokenizer_path: str, digest: bool = False, id_col: str
     size = tokenizer(tokenizer_path).size
     tokens = store(tokenized(docs, tokenizer_path, id_col, text_col), "tokens")
     frequency, rows, mean = token_statistics(tokens, size)
+    tokens = tokens.where("n >= 0")
     idf = docs.sparkSession.sparkContext.broadcast(idf_of(frequency, rows))  # one number for each id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
