@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -63,6 +64,18 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
             _stored.remove(path)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While this lasts, what is run goes to Python in Arrow batches of so many rows: for tables of wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def renamed(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the columns named, under private names, so that other columns of df can never clash."""
     return df.select(*(F.col(f"`{source}`").alias(target) for target, source in wanted.items()))
@@ -93,6 +106,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
                 start, held = k + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    batch = values = None
+    pa.default_memory_pool().release_unused()  # workers live on, and their memory counts
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

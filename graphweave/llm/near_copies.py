@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.llm import simhash
-from graphweave.llm.common import components, slices, store
+from graphweave.llm.common import batches_of, components, slices, store
 
 SEED = 42
 BANDS, EACH = 20, 5
@@ -128,7 +128,8 @@ def near_copies(keyed: DataFrame, similarity: float = 0.8, words_each: int = 5,
 
     texts = keyed.join(small(store(asked, "asked")), "key").select("node", "text")
     sets = store(texts.mapInArrow(cut, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    found = store(agree(sets, pairs, similarity), "links")
+    with batches_of(keyed.sparkSession, 500):
+        found = store(agree(sets, pairs, similarity), "links")
 
     # bands that are still in several components
     joined = components(found)
