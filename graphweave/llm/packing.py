@@ -126,6 +126,12 @@ def tokenizer(path: str) -> WordBPE:
     return _loaded[path]
 
 
+def keyed_ids(docs: list[bytes], sizes: list[int] | np.ndarray) -> np.ndarray:
+    """All 16-bit ids of documents, the document's number above them; in 32 bits as far as they reach, which sort faster."""
+    kind = np.uint32 if len(docs) <= 1 << 16 else np.uint64
+    return np.repeat(np.arange(len(docs), dtype=kind) << kind(16), sizes) + np.frombuffer(b"".join(docs), dtype="<u2")
+
+
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary of 16-bit ids with the end id last, n) of every row; a null text is empty.
 
@@ -141,7 +147,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         for batch in slices(batches, "text", 4 << 20):
             each = [x.tobytes() + end for x in words.encode([x or "" for x in batch.column("text").to_pylist()])]
             sizes = [len(x) // 2 for x in each]
-            once = np.sort(np.repeat(np.arange(len(each), dtype=np.int64) << 16, sizes) + np.frombuffer(b"".join(each), dtype="<u2"))
+            once = np.sort(keyed_ids(each, sizes))
             once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]] & 0xFFFF  # each id of a document once
             seen += np.bincount(once, minlength=words.size)
             kind = batch.column("doc_id").type
@@ -178,9 +184,11 @@ class Index:
     """BM25 over the documents of one shard: postings sorted by id, each with its weight."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> None:
-        flat = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, dtype=np.int64)
-        owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-        keys, tf = np.unique(owner * len(idf) + flat, return_counts=True)
+        kind = np.uint32 if len(docs) * len(idf) < 1 << 32 else np.uint64
+        flat = np.concatenate(docs).astype(kind) if docs else np.zeros(0, dtype=kind)
+        keys = np.sort(np.repeat(np.arange(len(docs), dtype=kind) * kind(len(idf)), [len(x) for x in docs]) + flat)
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        tf, keys = np.diff(np.append(at, len(keys))), keys[at].astype(np.int64)
         self.doc, ids = keys // len(idf), keys % len(idf)
         lengths = np.array([len(x) for x in docs], dtype=np.float64)
         norm = k1 * (1 - b + b * lengths / max(mean, 1.0))
@@ -317,7 +325,7 @@ class Router:
     def vectors(self, docs: list[bytes], k1: float = 1.2, b: float = 0.75) -> np.ndarray:
         """One vector for each document, given by its 16-bit ids."""
         lengths = np.array([len(x) // 2 for x in docs], dtype=np.int64)
-        key = np.sort((np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16) + np.frombuffer(b"".join(docs), dtype="<u2"))
+        key = np.sort(keyed_ids(docs, lengths)).astype(np.int64)
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         tf, owner, terms = np.diff(np.append(at, len(key))), key[at] >> 16, key[at] & 0xFFFF
         norm = (k1 * (1 - b + b * lengths / max(self.mean, 1.0)))[owner]
