@@ -158,7 +158,7 @@ def source_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {v.SQL}, {SEED_SQL}, {_near(50)}, r AS ({_ranked(10)}), deg AS (SELECT title, count(*) AS degree FROM (SELECT src AS title FROM lnk UNION ALL SELECT dst FROM lnk) GROUP BY title),
-  t AS (SELECT DISTINCT title FROM r), c AS (SELECT title, coalesce(degree, 0)::DOUBLE / max(coalesce(degree, 0)) OVER () AS centrality FROM t LEFT JOIN deg USING (title))
+  t AS (SELECT DISTINCT title FROM r), c AS (SELECT title, CASE WHEN (SELECT count(*) FROM lnk) < 2 * (SELECT n FROM num) THEN 0.0::DOUBLE ELSE coalesce(degree, 0)::DOUBLE / max(coalesce(degree, 0)) OVER () END AS centrality FROM t LEFT JOIN deg USING (title))
   SELECT seed, title, round(similarity * 0.6 + centrality * 0.4, 6) AS score FROM r JOIN c USING (title)""")
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     found = semantic_search(spark, d).select("seed", "title", F.col("similarity").alias("score"))
