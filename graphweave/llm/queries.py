@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphweave.llm import ann, bpe, licenses, lblm, packing, pii, quality, secret_scan, sharding, simhash, spans
+from graphweave.llm import ann, bpe, hard_negatives, licenses, lblm, packing, pieces, pii, quality, secret_scan, sharding, simhash, spans, vector_codes
 from graphweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,10 +75,25 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one, as wrong labels would be; every hundredth id is an anchor."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(e, F.col("id") % 100 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_secret_ownership, op2_two_pass_shuffle, op3_quality_weak_supervision, op4_license_rare_tokens, op5_bm25_packing,
         op6_simhash_vptree, op7_pii_weak_supervision, op8_kmeans_tree_ann, op9_log_bilinear, op10_bpe_roundtrip,
+        op11_piece_offsets, op12_hard_negatives, op13_vector_codes,
     )
     return {f.__name__: f for f in every}
 
