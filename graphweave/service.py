@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -119,9 +120,7 @@ def list_packs(root: Path) -> list[dict]:
 
 def pack_info(root: Path, name: str) -> dict:
     """A pack's manifest; the name is checked before it becomes part of a path."""
-    if not name.replace("-", "").replace("_", "").isalnum() or not name.isascii():
-        raise ValueError("no name of a pack")
-    return json.loads((root / name / "manifest.json").read_text())
+    return json.loads((files.inside(root, name) / "manifest.json").read_text())
 
 
 #: Functions that a tool server offers, by name.
@@ -136,7 +135,7 @@ def stored_graph(spark: SparkSession, prefix: str = "") -> Graph:
 
 
 def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
-    """The command line: create, status, search, autocomplete, hybrid, graph, and pack list, info, validate, install, remove."""
+    """The command line: create, status, search, autocomplete, hybrid, graph, and pack list, info, validate, install, update, remove."""
     p = argparse.ArgumentParser(prog="graphweave")
     p.add_argument("--prefix", default="", help="of the tables' names")
     sub = p.add_subparsers(dest="command", required=True)
@@ -148,7 +147,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         one.add_argument("--limit", type=int, default=10)
         one.add_argument("--category")
     pack = sub.add_parser("pack")
-    pack.add_argument("action", choices=("list", "info", "validate", "install", "remove", "create"))
+    pack.add_argument("action", choices=("list", "info", "validate", "install", "update", "remove", "create"))
     pack.add_argument("name", nargs="?", default="")
     pack.add_argument("--root", type=Path, default=Path("packs"))
     a = p.parse_args(arguments)
@@ -168,6 +167,11 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     return 0
 
 
+def archive_name(archive: Path) -> str:
+    """The name of the pack in an archive called name.tar.gz or name-1.2.3.tar.gz."""
+    return re.sub(r"(-\d+(\.\d+)*)?(\.tar\.gz|\.tgz)$", "", archive.name)
+
+
 def _pack(action: str, name: str, root: Path) -> int:
     if action == "list":
         print(json.dumps(list_packs(root), indent=2))
@@ -175,6 +179,8 @@ def _pack(action: str, name: str, root: Path) -> int:
         print(json.dumps(pack_info(root, name), indent=2))
     elif action == "install":
         print(files.unpackage(Path(name), root))
+    elif action == "update":
+        print(" to ".join(map(str, files.update_pack(Path(name), root, archive_name(Path(name))))))
     elif action == "create":
         print(files.package(Path(name), root / f"{Path(name).name}.tar.gz"))
     elif action == "remove":

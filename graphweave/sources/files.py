@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import tarfile
 import tempfile
@@ -114,27 +115,77 @@ def package(folder: Path, archive: Path) -> Path:
     return archive
 
 
-def unpackage(archive: Path, root: Path, keep: str = "eval/results") -> Path:
+def plain_name(name: object) -> bool:
+    """Whether a pack's name is one folder's: letters, digits, - and _, beginning with a letter or digit, 64 at most."""
+    return isinstance(name, str) and re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}", name) is not None
+
+
+def inside(root: Path, name: object) -> Path:
+    """The folder of a pack's name under root; an error for a name that leads anywhere else."""
+    if not plain_name(name):
+        raise ValueError(f"no name of a pack: {name!r}")
+    place = root / str(name)
+    if place.is_symlink() or place.resolve().parent != root.resolve():
+        raise ValueError(f"{name} is not a folder of {root}")
+    return place
+
+
+def unpackage(archive: Path, root: Path, keep: str = "eval/results", whole: bool = False) -> Path:
     """Unpack into root under the manifest's name, in place of an older version whose `keep` folder stays.
 
-    Members that would leave the folder, and links, are refused.
+    Members that would leave the folder, links, and names that aren't one plain folder's are refused
+    before anything is touched; so is, on request, a folder that isn't a whole pack. The new folder is
+    made beside the old one and takes its place by renaming; if that fails the old one stays.
     """
-    with tempfile.TemporaryDirectory() as tmp:
+    root.mkdir(parents=True, exist_ok=True)
+    with tempfile.TemporaryDirectory(prefix=".unpack-", dir=root) as tmp:  # the same disk, so that renaming is one step
+        fresh, old = Path(tmp) / "new", Path(tmp) / "old"
+        fresh.mkdir()
         with tarfile.open(archive) as tar:
             for m in tar.getmembers():
                 if not (m.isfile() or m.isdir()) or Path(m.name).is_absolute() or ".." in Path(m.name).parts:
                     raise ValueError(f"unsafe member {m.name}")
-            tar.extractall(tmp, filter="data")
-        name = json.loads((Path(tmp) / "manifest.json").read_text())["name"]
-        target = root / name
+            tar.extractall(fresh, filter="data")
+        if not (fresh / "manifest.json").is_file():
+            raise ValueError(f"{archive} has no manifest.json")
+        manifest = json.loads((fresh / "manifest.json").read_text())
+        target = inside(root, manifest.get("name") if isinstance(manifest, dict) else None)
+        if whole and (errors := pack_errors(fresh)):
+            raise ValueError(f"{archive}: {'; '.join(errors)}")
         if (target / keep).is_dir():
-            shutil.rmtree(Path(tmp) / keep, ignore_errors=True)
-            shutil.copytree(target / keep, Path(tmp) / keep)
-        shutil.rmtree(target, ignore_errors=True)
-        shutil.copytree(tmp, target)
+            shutil.rmtree(fresh / keep, ignore_errors=True)
+            shutil.copytree(target / keep, fresh / keep)
+        if target.exists():
+            target.rename(old)
+        try:
+            fresh.rename(target)
+        except BaseException:
+            if old.exists():
+                old.rename(target)
+            raise
     return target
 
 
+def update_pack(archive: Path, root: Path, name: str) -> tuple[str, str]:
+    """(old version, new version) of an installed pack, replaced by an archive of the same name that isn't older."""
+    place = inside(root, name)
+    if not (place / "manifest.json").is_file():
+        raise FileNotFoundError(f"{name} is not installed")
+    with tarfile.open(archive) as tar:
+        held = next((m for m in tar.getmembers() if m.isfile() and Path(m.name).as_posix() == "manifest.json"), None)
+        if held is None:
+            raise ValueError(f"{archive} has no manifest.json")
+        new = json.loads(tar.extractfile(held).read())
+    old = json.loads((place / "manifest.json").read_text())
+    if new.get("name") != name:
+        raise ValueError(f"{archive} holds {new.get('name')!r}, not {name}")
+    number = lambda v: [int(x) for x in re.findall(r"\d+", str(v))[:3]]
+    if number(new.get("version")) < number(old.get("version")):
+        raise ValueError(f"{new.get('version')} is older than {old.get('version')}")
+    unpackage(archive, root)
+    return old.get("version"), new.get("version")
+
+
 # What the folder of an installed pack holds.
 PACK_PARTS = ("manifest.json", "pack.db", "skill.md", "kg_config.json")
 
@@ -159,7 +210,7 @@ def packs(root: Path) -> list[Path]:
 
 def remove(root: Path, name: str) -> None:
     """Deletes an installed pack."""
-    shutil.rmtree(root / name)
+    shutil.rmtree(inside(root, name))
 
 
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
