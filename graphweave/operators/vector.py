@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from graphweave.schema import bounded, top
 
+if TYPE_CHECKING:
+    from graphweave.operators.vector_index import VectorIndex
+
 #: Queries of one call; their vectors go to every task, so the number is bounded and checked.
 MOST_QUERIES = 1000
 
@@ -34,46 +38,79 @@ def similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance))
 
 
+def few_queries(queries: DataFrame, wide: int | None = None) -> tuple[list, np.ndarray]:
+    """Seeds and unit vectors of a call's queries(seed, query_vector), which must be few, of one length and without gaps."""
+    asked = queries.select("seed", "query_vector").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
+    wide = wide or (len(asked[0]["query_vector"] or []) if asked else 0)
+    for r in asked:
+        if r["query_vector"] is None or len(r["query_vector"]) != wide or None in r["query_vector"]:
+            raise ValueError(f"the query {r['seed']} has no vector of {wide} components")
+    return [r["seed"] for r in asked], unit_rows(np.array([r["query_vector"] for r in asked], dtype=np.float64).reshape(len(asked), wide))
+
+
 def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
     """(seed, distance, near) with the columns of items(embedding, ...): the k items nearest to each query(seed, query_vector).
 
-    Exact, by cosine distance, then key; a zero vector has distance 1 to all. The queries, few and
-    checked, go to every task; a task compares Arrow batches by one matrix product, takes what is
-    within rounding of the k best of a batch, and sums those products component by component.
+    Exact, by cosine distance, then key; a zero vector has distance 1 to all. Items without a vector
+    take no part; one of another length than the queries' is an error in the task that meets it.
     """
-    asked = queries.select("seed", "query_vector").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    carried = [c for c in items.columns if c != "embedding"]
+    return scan(queries, few_queries(queries), items, key, k)
+
+
+def scan(queries: DataFrame, asked: tuple[list, np.ndarray], items: DataFrame, key: str, k: int, cell: tuple[str, dict[int, np.ndarray]] | None = None) -> DataFrame:
+    """The same for queries that few_queries gave, each against the rows of its own cells where a column of cells is named.
+
+    The queries, few and checked, go to every task; a task compares Arrow batches by one matrix
+    product, takes what is within rounding of the k best of a batch, and sums those products component
+    by component.
+    """
+    carried = [c for c in items.columns if c != "embedding" and c != (cell and cell[0])]
     kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *items.schema)}
     shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("seed", *carried)) + ", distance double"
-    if not asked:
+    seeds, unit = asked
+    if not seeds:
         return top(items.sparkSession.createDataFrame([], shape), ["seed"], [F.col("distance"), F.col(key)], k, "near")
-    seeds, wide = [r["seed"] for r in asked], len(asked[0]["query_vector"])
-    unit = _unit(np.array([r["query_vector"] for r in asked], dtype=np.float64))
+    wide = unit.shape[1]
+
+    def compared(batch: pa.RecordBatch, mine: np.ndarray) -> pa.RecordBatch:
+        if (batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False) != wide).any():
+            raise ValueError(f"an item's vector doesn't have the queries' {wide} components")
+        v = unit_rows(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, wide))
+        close = unit[mine] @ v.T
+        least = np.partition(close, -k, axis=1)[:, -k] if close.shape[1] > k else np.full(len(close), -np.inf)
+        q, i = np.nonzero(close >= least[:, None] - 1e-9)
+        distance = 1 - (unit[mine[q]] * v[i]).sum(axis=1)
+        there = batch.select(carried).take(pa.array(i))
+        return pa.RecordBatch.from_arrays([pa.array([seeds[x] for x in mine[q].tolist()]), *there.columns, pa.array(distance)], ["seed", *carried, "distance"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                v = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, wide))
-                close = unit @ v.T
-                least = np.partition(close, -k, axis=1)[:, -k] if close.shape[1] > k else np.full(len(close), -np.inf)
-                q, i = np.nonzero(close >= least[:, None] - 1e-9)
-                distance = 1 - (unit[q] * v[i]).sum(axis=1)
-                there = batch.select(carried).take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pa.array([seeds[x] for x in q.tolist()]), *there.columns, pa.array(distance)], ["seed", *carried, "distance"])
-
-    sound = items.where(F.size("embedding") == wide).select(*carried, F.col("embedding").cast("array<double>").alias("embedding"))
+            if batch.num_rows and cell is None:
+                yield compared(batch, np.arange(len(seeds)))
+            elif batch.num_rows:
+                own = batch.column(cell[0]).to_numpy(zero_copy_only=False)
+                for c in np.unique(own):
+                    if len(cell[1].get(int(c), ())):
+                        yield compared(batch.filter(pa.array(own == c)), cell[1][int(c)])
+
+    sound = items.where(F.col("embedding").isNotNull()).select(*carried, *([cell[0]] if cell else []), F.col("embedding").cast("array<double>").alias("embedding"))
     return top(sound.mapInArrow(search, shape), ["seed"], [F.col("distance"), F.col(key)], k, "near")
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
+def unit_rows(v: np.ndarray) -> np.ndarray:
     size = np.sqrt((v * v).sum(axis=1, keepdims=True))
     return v / np.where(size == 0, 1.0, size)
 
 
-def index_nearest(queries: DataFrame, sections: DataFrame, k: int) -> DataFrame:
-    """(seed, section_id, title, distance, near): the k sections nearest to each query; their texts are joined by who needs them."""
+def index_nearest(queries: DataFrame, sections: DataFrame, k: int, index: VectorIndex | None = None, exact: bool = False) -> DataFrame:
+    """(seed, section_id, title, distance, near): the k sections nearest to each query; their texts are joined by who needs them.
+
+    Through a stored index of the sections where one is given, else by comparing all.
+    """
+    if index is not None:
+        return index.search(queries, k, exact=exact).select("seed", "section_id", "title", "distance", "near")
     return nearest(queries, sections.select("section_id", "title", "embedding"), "section_id", k)
 
 
@@ -89,14 +126,14 @@ def best_section(near: DataFrame) -> DataFrame:
     return near.groupBy("seed", "title").agg(best.alias("b")).select("seed", "title", "b.*")
 
 
-def semantic_search(sections: DataFrame, seeds: DataFrame, articles: DataFrame | None = None, category: str | None = None, top_k: int = 10) -> DataFrame:
+def semantic_search(sections: DataFrame, seeds: DataFrame, articles: DataFrame | None = None, category: str | None = None, top_k: int = 10, index: VectorIndex | None = None, exact: bool = False) -> DataFrame:
     """(seed, title, section_id, similarity, rank): articles nearest to each seed title, itself left out.
 
-    Takes five times top_k sections (200 at most) first; a category filter comes after that, so it
+    index, a stored one of these sections, is asked in place of them, exactly on request. Takes five times top_k sections (200 at most) first; a category filter comes after that, so it
     can leave fewer than top_k.
     """
     bounded("top_k", top_k, 1, 500)
-    near = index_nearest(lead_vectors(sections, seeds), sections, min(5 * top_k, 200))
+    near = index_nearest(lead_vectors(sections, seeds), sections, min(5 * top_k, 200), index, exact)
     best = best_section(near.where("title <> seed"))
     if category is not None:
         best = best.join(articles.where(F.col("category") == category).select("title"), "title", "left_semi")
