@@ -9,27 +9,32 @@ from pyspark.sql import functions as F
 
 from graphweave.functions import text as X
 from graphweave.operators import graph, vector
+from graphweave.operators.title_index import TitleIndex, patterns
 from graphweave.schema import small, top
 
 
-def title_lookup(articles: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
-    """(question, title, exact, place): articles whose title is the question's subject, else contains it, shortest first."""
-    q = questions.select("question", X.normal_question(F.col("question")).alias("subject")).where("subject <> ''")
-    a = articles.select("title", F.lower("title").alias("low"))
-    exact = a.join(small(q), F.col("low") == F.col("subject")).select("question", "title", F.lit(True).alias("exact"))
-    rest = q.join(exact.select("question").distinct(), "question", "left_anti")
-    part = a.join(small(rest), F.col("low").contains(F.col("subject"))).select("question", "title", F.lit(False).alias("exact"))
-    return top(exact.unionByName(part), ["question"], [F.length("title"), F.col("title")], most, "place")
+def title_lookup(articles: DataFrame, questions: DataFrame, most: int = 3, index: TitleIndex | None = None) -> DataFrame:
+    """(question, title, exact, place): articles whose title is the question's subject, else contains it, shortest first.
+
+    Through an index of the titles, a stored one where it is given; questions are few.
+    """
+    q = questions.select("question", X.normal_question(F.col("question")).alias("subject")).where("subject <> ''").distinct()
+    found = (index or TitleIndex.of(articles)).containing(q.select(F.col("question").alias("key"), F.col("subject").alias("pattern")))
+    told = found.select(F.col("key").alias("question"), "title", (F.lower("title") == X.normal_question(F.col("key"))).alias("exact"))
+    few = top(told, ["question"], [F.desc("exact"), F.length("title"), F.col("title")], most, "place")
+    sure = F.max("exact").over(Window.partitionBy("question"))  # of the few
+    return few.withColumn("sure", sure).where("exact = sure").drop("sure")
 
 
-def autocomplete(articles: DataFrame, q: str, limit: int = 10) -> DataFrame:
+def autocomplete(articles: DataFrame, q: str, limit: int = 10, index: TitleIndex | None = None) -> DataFrame:
     """(title, category, match_type): titles that start with q, then those that contain it, each by title."""
     if len(q) < 2:
         raise ValueError("q needs two characters")
-    low = F.lower("title")
-    kind = F.when(low.startswith(q.lower()), "prefix").when(low.contains(q.lower()), "contains")
-    found = articles.select("title", "category", kind.alias("match_type")).where("match_type is not null")
-    return found.orderBy(F.col("match_type") == "contains", "title").limit(limit)
+    found = (index or TitleIndex.of(articles)).containing(patterns(articles.sparkSession, [("q", q)]))
+    starts = F.lower("title").startswith(F.lower(F.lit(q)))
+    first = found.select("title", F.when(starts, "prefix").otherwise("contains").alias("match_type")).orderBy(F.col("match_type") == "contains", "title").limit(limit)
+    told = first.join(articles.select("title", "category"), "title").select("title", "category", "match_type")
+    return told.orderBy(F.col("match_type") == "contains", "title")
 
 
 def hybrid_query(sections: DataFrame, edges: DataFrame, articles: DataFrame, seeds: DataFrame, category: str | None = None, max_hops: int = 2, top_k: int = 10) -> DataFrame:
@@ -46,7 +51,7 @@ def hybrid_query(sections: DataFrame, edges: DataFrame, articles: DataFrame, see
     return top(both.withColumn("score", score), ["seed"], [F.desc("score"), F.col("title")], top_k).select("seed", "title", "similarity", "hops", "score", "rank")
 
 
-def hybrid_retrieve(found: DataFrame, edges: DataFrame, articles: DataFrame, questions: DataFrame, max_results: int = 10, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+def hybrid_retrieve(found: DataFrame, edges: DataFrame, articles: DataFrame, questions: DataFrame, max_results: int = 10, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), index: TitleIndex | None = None) -> DataFrame:
     """(seed, title, score, rank): vector hits found(seed, title, similarity, rank), links of the first three, and keywords.
 
     questions(seed, question) gives the keywords; each signal adds max_results rows at most for one source.
@@ -57,8 +62,8 @@ def hybrid_retrieve(found: DataFrame, edges: DataFrame, articles: DataFrame, que
     linked = top(first.join(edges.select("src", F.col("dst").alias("title")), "src"), ["seed", "src"], [F.col("title")], max_results, "row")
     two = linked.select("seed", "title", F.lit(g * 0.5).alias("part"))
     words = questions.select("seed", F.posexplode(X.search_terms(F.col("question"))).alias("at", "word"))
-    named = articles.select("title", F.lower("title").alias("low")).join(small(words), F.col("low").contains(F.lower("word")))
-    three = top(named, ["seed", "at"], [F.col("title")], max_results, "row").select("seed", "title", F.lit(k * 0.7).alias("part"))
+    named = (index or TitleIndex.of(articles)).containing(words.select(F.struct("seed", "at").alias("key"), F.col("word").alias("pattern")))
+    three = top(named, ["key"], [F.col("title")], max_results, "row").select("key.seed", "title", F.lit(k * 0.7).alias("part"))
     total = one.unionByName(two).unionByName(three).groupBy("seed", "title").agg(F.sum("part").alias("score"))
     return top(total, ["seed"], [F.desc(F.round("score", 9)), F.col("title")], max_results).select("seed", "title", "score", "rank")
 

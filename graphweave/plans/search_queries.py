@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphweave import storage
 from graphweave.operators import answer, graph, retrieve, vector
+from graphweave.operators.title_index import TitleIndex
 from graphweave.operators.vector_index import VectorIndex
 from graphweave.plans.catalog import query
 from graphweave.sources import views as v
@@ -100,14 +101,27 @@ def few_shot(spark: SparkSession, d: str) -> DataFrame:
     return rounded(vector.few_shot(shots, vector.lead_vectors(v.sections(spark, d), seeds(spark))), "score")
 
 
-@query(f"""WITH {v.SQL}, {QUESTION_SQL}, s AS (SELECT question, regexp_replace(regexp_replace(lower(trim(question)), '^(what is|explain|describe|tell me about)\\s+', ''), '[?. ]+$', '') AS subject FROM qs),
+_LOOKUP = f"""WITH {v.SQL}, {QUESTION_SQL}, s AS (SELECT question, regexp_replace(regexp_replace(lower(trim(question)), '^(what is|explain|describe|tell me about)\\s+', ''), '[?. ]+$', '') AS subject FROM qs),
   exact AS (SELECT question, title, true AS exact FROM s JOIN art ON lower(title) = subject),
   part AS (SELECT question, title, false AS exact FROM s JOIN art ON contains(lower(title), subject) WHERE question NOT IN (SELECT question FROM exact))
-  SELECT question, title, exact, CAST(row_number() OVER (PARTITION BY question ORDER BY length(title), title) AS INT) AS place FROM (SELECT * FROM exact UNION ALL SELECT * FROM part) QUALIFY place <= 3""")
+  SELECT question, title, exact, CAST(row_number() OVER (PARTITION BY question ORDER BY length(title), title) AS INT) AS place FROM (SELECT * FROM exact UNION ALL SELECT * FROM part) QUALIFY place <= 3"""
+
+
+@query(_LOOKUP)
 def title_lookup(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.title_lookup(v.articles(spark, d), questions(spark).select("question"))
 
 
+@query(_LOOKUP)
+def indexed_title_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The same through a stored index, built from half of the titles, to which the others were added."""
+    a = v.articles(spark, d)
+    half = F.pmod(F.xxhash64("title"), F.lit(2)) == 0
+    index = TitleIndex.build(a.where(half), storage.new_path(spark, "titles"))
+    index.append(a.where(~half))
+    return retrieve.title_lookup(a, questions(spark).select("question"), index=index)
+
+
 @query(f"WITH {v.SQL} SELECT title, category, CASE WHEN starts_with(lower(title), 'a1') THEN 'prefix' ELSE 'contains' END AS match_type FROM art WHERE contains(lower(title), 'a1') ORDER BY match_type <> 'prefix', title LIMIT 10")
 def autocomplete(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.autocomplete(v.articles(spark, d), "a1")
