@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweave.llm.common import sampled, store
+from graphweave.llm.common import row_hash, sampled, store
 
 SEED = 42
 
@@ -215,7 +215,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     df = df.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
     leaves = min(4096, max(8, total // leaf_rows))
     block = block or min(32768, max(1024, total // 16))
-    rows = np.array([r["v"] for r in sampled(df, "id", total, max(sample_size, 16 * leaves))])
+    rows = np.array([r["v"] for r in sampled(df, row_hash("id"), total, max(sample_size, 16 * leaves))])
     tree = Tree(rows, leaves)
     most = tree.calibrate(rows, k, recall)
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,17 +81,22 @@ def renamed(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*(F.col(f"`{source}`").alias(target) for target, source in wanted.items()))
 
 
-def sampled(df: DataFrame, by: str, total: int, size: int) -> list[Row]:
-    """About `size` rows of df, those of the smallest hashes of a column, in the order of the hashes.
+def sampled(df: DataFrame, by: Column, total: int, size: int) -> list[Row]:
+    """About `size` rows of df, those of the smallest hashes `by`, in the order of the hashes (column gw_hash).
 
     A hash limit from the known number of rows keeps every task's share in proportion, so that what
-    reaches the driver is bounded by `size` and not by the number of tasks.
+    reaches the driver is bounded by `size` and not by the number of tasks. That holds as far as the
+    hashes differ: where ids may be repeated or null, `by` must hash something of each row besides.
     """
     top = float(1 << 63)
     limit = -top + 2 * top * min(1.0, 1.5 * size / max(1, total) + 100 / max(1, total))
-    h = F.xxhash64(by)
-    rows = df.where(h.cast("double") <= limit).withColumn("gw_hash", h).collect()
-    return sorted(rows, key=lambda r: (r["gw_hash"], r[by]))[:size]
+    rows = df.withColumn("gw_hash", by).where(F.col("gw_hash").cast("double") <= limit).collect()
+    return sorted(rows, key=lambda r: r["gw_hash"])[:size]
+
+
+def row_hash(*columns: str) -> Column:
+    """A hash of the columns and of the row's place in its table, so that repeated rows differ; stable over a stored table."""
+    return F.xxhash64(*columns, F.monotonically_increasing_id())
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphweave.llm import ann
-from graphweave.llm.common import renamed, sampled, slices, store
+from graphweave.llm.common import renamed, row_hash, sampled, slices, store
 
 WINDOW = 2048
 END_ID = 1
@@ -344,11 +344,13 @@ def routed(tokens: DataFrame, idf: np.ndarray, rows: int, total: int, shard_toke
     """tokens in partitions of about four shards, sorted so that documents of like content are next to each other.
 
     Tree and bounds are fitted on about `sample_size` documents; every document is routed. Bounds
-    include a hash of the id, so that a large group of copies is split between partitions.
+    include a hash of the id and of the row's place, so that a large group of copies, under whatever ids,
+    is split between partitions.
     """
     spark = tokens.sparkSession
     router, parts = Router(idf, total / max(1, rows)), min(sample_size, -(-total // (4 * shard_tokens)))
-    some = sampled(tokens, "doc_id", rows, sample_size)
+    tokens = tokens.withColumn("tie", row_hash("doc_id"))
+    some = sampled(tokens, F.col("tie"), rows, sample_size)
     vectors = router.vectors([bytes(r["ids"]) for r in some])
     tree = ann.Tree(vectors, leaves=int(min(512, max(8, total // (shard_tokens // 2)))))
     order = sorted((*key, r["gw_hash"]) for key, r in zip(router.keys(tree, vectors), some))
@@ -366,7 +368,7 @@ def routed(tokens: DataFrame, idf: np.ndarray, rows: int, total: int, shard_toke
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32()), pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64())], [*batch.schema.names, "part", "leaf", "fine"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    placed = tokens.withColumn("tie", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, ids binary, n long, tie long, part int, leaf int, fine long")
+    placed = tokens.mapInArrow(run, f"doc_id {kind}, ids binary, n long, tie long, part int, leaf int, fine long")
     return placed.repartitionById(parts, "part").sortWithinPartitions("part", "leaf", "fine", "tie").select("doc_id", "ids", "n")
 
 

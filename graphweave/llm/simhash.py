@@ -167,7 +167,7 @@ def near_links(distinct: DataFrame, radius: int = 2, shard_rows: int = 50_000, l
     """
     total = distinct.count()
     leaves = max(-(-total // shard_rows), min(least_shards, -(-total // 1000)))
-    sample = np.array([r["fp"] for r in sampled(distinct, "fp", total, min(1 << 20, max(4096, 64 * leaves)))], dtype=np.int64).view(np.uint64)
+    sample = np.array([r["fp"] for r in sampled(distinct, F.xxhash64("fp"), total, min(1 << 20, max(4096, 64 * leaves)))], dtype=np.int64).view(np.uint64)
     tree = distinct.sparkSession.sparkContext.broadcast(Tree(np.sort(sample), leaves, radius))  # some bytes for each shard
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
