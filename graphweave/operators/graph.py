@@ -73,11 +73,14 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("title").agg(F.count("*").alias("degree"))
 
 
-def centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(title, centrality) of nodes(title): degree by the largest degree among them, 0 for unknown ones."""
-    d = nodes.select("title").distinct().join(degrees(edges), "title", "left").select("title", F.coalesce("degree", F.lit(0)).alias("degree"))
-    most = d.agg(F.max("degree")).first()[0] or 0
-    return d.select("title", (F.col("degree") / F.lit(float(most)) if most else F.lit(0.0)).alias("centrality"))
+def centrality(edges: DataFrame | None, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(title, centrality) of nodes(title): degree by the largest degree among them, 0 for unknown ones.
+
+    known(title, degree) stands for the degrees of all edges where a table of them is kept.
+    """
+    d = nodes.select("title").distinct().join(degrees(edges) if known is None else known, "title", "left").select("title", F.coalesce("degree", F.lit(0)).alias("degree"))
+    most = d.agg(F.max("degree").alias("most"))  # one row
+    return d.join(F.broadcast(most), F.lit(True)).select("title", F.when(F.col("most") > 0, F.col("degree") / F.col("most")).otherwise(0.0).alias("centrality"))
 
 
 def density(edges: DataFrame, articles: DataFrame) -> float:
@@ -85,35 +88,64 @@ def density(edges: DataFrame, articles: DataFrame) -> float:
     return edges.count() / n if n else 0.0
 
 
-def rerank(found: DataFrame, edges: DataFrame, articles: DataFrame, vector_weight: float = 0.6, graph_weight: float = 0.4) -> DataFrame:
-    """found(title, score) with the weighted score and its rank; a sparse graph (under two links an article) adds nothing."""
+def rerank(found: DataFrame, edges: DataFrame | None, articles: DataFrame, vector_weight: float = 0.6, graph_weight: float = 0.4, known: DataFrame | None = None) -> DataFrame:
+    """found(title, score) with the weighted score; a sparse graph (under two links an article) adds nothing.
+
+    All in one plan: how dense the graph is, is a row of it. known(title, degree) as in centrality.
+    """
     if vector_weight < 0 or graph_weight < 0 or abs(vector_weight + graph_weight - 1) > 0.001:
         raise ValueError("weights must not be negative and must sum to 1")
-    if density(edges, articles) < 2.0:
-        c = found.select("title").distinct().withColumn("centrality", F.lit(0.0))
-    else:
-        c = centrality(edges, found)
+    n = edges.agg(F.count("*").alias("links")) if known is None else known.agg((F.coalesce(F.sum("degree"), F.lit(0)) / 2).alias("links"))
+    dense = n.join(articles.agg(F.count("*").alias("nodes")), F.lit(True)).select((F.col("links") >= 2.0 * F.col("nodes")).alias("dense"))  # one row each
+    c = centrality(edges, found, known).join(F.broadcast(dense), F.lit(True)).select("title", F.when(F.col("dense"), F.col("centrality")).otherwise(0.0).alias("centrality"))
     return found.join(c, "title").withColumn("score", F.col("score") * vector_weight + F.col("centrality") * graph_weight)
 
 
+def _walks(edges: DataFrame, roots: DataFrame, steps: int, limit: int) -> list[DataFrame]:
+    """For each number of steps, the `limit` first walks (root, at, path, relations) from each root to each node.
+
+    path leaves the root out. edges has at, to, relation; walks are in order of path, then relations.
+    """
+    none = F.array().cast("array<string>")
+    levels = [roots.select("root", F.col("root").alias("at"), none.alias("path"), none.alias("relations"))]
+    for _ in range(steps):
+        longer = levels[-1].join(edges, "at").select("root", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"))
+        levels.append(top(longer, ["root", "at"], [F.col("path"), F.col("relations")], limit, "row").drop("row"))
+    return levels
+
+
+def _walks_back(edges: DataFrame, roots: DataFrame, steps: int, limit: int) -> list[DataFrame]:
+    """The same towards each root: path and relations lead from a node, which is left out, to the root."""
+    none = F.array().cast("array<string>")
+    levels = [roots.select("root", F.col("root").alias("at"), none.alias("path"), none.alias("relations"))]
+    for _ in range(steps):
+        longer = levels[-1].join(edges.withColumnRenamed("at", "before").withColumnRenamed("to", "at"), "at")
+        longer = longer.select("root", F.col("before").alias("at"), F.concat(F.array("at"), F.col("path")).alias("path"), F.concat(F.array("relation"), F.col("relations")).alias("relations"))
+        levels.append(top(longer, ["root", "at"], [F.col("path"), F.col("relations")], limit, "row").drop("row"))
+    return levels
+
+
 def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 3, limit: int = 5) -> DataFrame:
-    """(source, target, path, relations, hops): walks from source to target of pairs, shortest first, `limit` a pair.
+    """(source, target, path, relations, hops, place): walks from source to target of pairs, shortest first, `limit` a pair.
 
-    edges has src, dst, relation; parallel edges give walks of their own. Walks grow from both pruned
-    ends only as far as the bound allows.
+    edges has src, dst, relation; parallel edges give walks of their own. Walks grow from both ends and
+    meet in the middle. Of the walks of so many steps between two nodes only the first `limit` are kept:
+    of a walk among a pair's first, every part is among the first between its ends, as walks of one
+    length that share the rest are in the order of their parts. So no step holds more than `limit` rows
+    for a root and a node, whatever the number of walks.
     """
     bounded("max_hops", max_hops, 1, 10)
+    bounded("limit", limit, 1, 1000)
     e = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), "relation")
-    now = pairs.select("source", "target", F.col("source").alias("at"), F.array("source").alias("path"), F.array().cast("array<string>").alias("relations"))
-    # how far each node is from each target, backwards: a walk that can't arrive in time isn't followed
-    back = shortest_hops(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("target").alias("seed")).distinct(), max_hops - 1, keep_seed=True)
-    far = back.select(F.col("seed").alias("target"), F.col("node").alias("at"), F.col("hops").alias("far"))
+    ahead = _walks(e, pairs.select(F.col("source").alias("root")).distinct(), -(-max_hops // 2), limit)
+    back = _walks_back(e, pairs.select(F.col("target").alias("root")).distinct(), max_hops // 2, limit)
     out = None
     for h in range(1, max_hops + 1):
-        now = now.join(e, "at").select("source", "target", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"))
-        now = now.join(far.where(F.col("far") <= max_hops - h).drop("far"), ["target", "at"], "left_semi")
-        done = now.where("at = target").withColumn("hops", F.lit(h))
-        out = done if out is None else out.unionByName(done)
+        first = ahead[-(-h // 2)].select(F.col("root").alias("source"), "at", "path", "relations")
+        rest = back[h // 2].select(F.col("root").alias("target"), "at", F.col("path").alias("path2"), F.col("relations").alias("relations2"))
+        met = pairs.select("source", "target").join(first, "source").join(rest, ["target", "at"])
+        whole = met.select("source", "target", F.concat(F.array("source"), F.col("path"), F.col("path2")).alias("path"), F.concat("relations", "relations2").alias("relations"), F.lit(h).alias("hops"))
+        out = whole if out is None else out.unionByName(whole)
     ranked = top(out, ["source", "target"], [F.col("hops"), F.col("path"), F.col("relations")], limit, "row")
     return ranked.select("source", "target", "path", "relations", "hops", F.col("row").alias("place"))
 
@@ -129,22 +161,78 @@ def expand_related(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_ar
     return near.orderBy("hops", "title").limit(max(0, max_articles - n))
 
 
-def cooccurrence(pairs: DataFrame, least: int = 2, hub: int | None = None) -> DataFrame:
+def cooccurrence(pairs: DataFrame, least: int = 2, hub: int | None = None, heavy: int = 1000, changed: DataFrame | None = None) -> DataFrame:
     """(src, dst, shared): articles with `least` entities or more in common, in both directions.
 
-    pairs(article, entity) is distinct. Entities of one article only can't link and are dropped
-    before the self-join, which halves the shuffle; counts are combined on the map side. `hub` leaves
-    out entities in more articles than that, where a caller wants it; none are left out by default.
+    pairs(article, entity) is distinct. Entities of one article only can't link and are dropped before
+    the self-join. `hub` leaves out entities in more articles than that, where a caller wants it; none
+    are left out by default. With changed(article) only pairs with one of these articles are given.
+
+    Entities of more than `heavy` articles never put their articles together one by one. Articles that
+    share another entity look up how many heavy ones they share besides; those that share heavy ones
+    alone meet in groups of two heavy entities (of one, if one is enough), where every pair counts,
+    and a large group is dealt over pairs of blocks of about `heavy` articles, so no key is large.
     """
-    n = pairs.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
+    bounded("least", least, 1, 1000)
+    if changed is None:
+        p = pairs.select("article", "entity", F.lit(True).alias("fresh"))
+    else:
+        mark = changed.select("article").distinct().withColumn("fresh", F.lit(True))
+        p = pairs.join(mark, "article", "left").select("article", "entity", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+        p = p.join(p.where("fresh").select("entity").distinct(), "entity", "left_semi")
+    n = p.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
     if hub is not None:
         n = n.where(F.col("n") <= hub)
-    p = pairs.join(n.select("entity"), "entity", "left_semi")
-    a, b = p.select("entity", F.col("article").alias("src")), p.select("entity", F.col("article").alias("dst"))
-    up = a.join(b, "entity").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    light = p.join(n.where(F.col("n") <= heavy).select("entity"), "entity", "left_semi")
+    up = _meeting(light, light, ["entity"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    many = n.where(F.col("n") > heavy).select("entity")
+    if not many.isEmpty():
+        up = _with_heavy(up, p.join(many, "entity", "left_semi"), least, heavy)
+    up = up.where(F.col("shared") >= least)
     return up.select("src", "dst", "shared").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared"))
 
 
+def _meeting(left: DataFrame, right: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """(src, dst) with src < dst, once for each key that both have, of a fresh article and any other."""
+    a = left.where("fresh").select(*keys, F.col("article").alias("a"), *(F.col(c).alias(f"a_{c}") for c in more))
+    b = right.select(*keys, F.col("article").alias("b"), "fresh", *(F.col(c).alias(f"b_{c}") for c in more))
+    both = a.join(b, keys).where("a <> b AND (NOT fresh OR a < b)")
+    return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), *keys, *(x for c in more for x in (f"a_{c}", f"b_{c}")))
+
+
+def _with_heavy(up: DataFrame, heavy_pairs: DataFrame, least: int, block: int) -> DataFrame:
+    """up(src, dst, shared) with the shared entities of heavy_pairs added, and the pairs that share only those."""
+    held = heavy_pairs.groupBy("article", "fresh").agg(F.array_sort(F.collect_set("entity")).alias("held"))
+    own = held.select("article", "held")
+    none = F.array_except("a_held", "a_held")
+    known = up.join(own.toDF("src", "a_held"), "src", "left").join(own.toDF("dst", "b_held"), "dst", "left")
+    both = F.array_intersect(F.coalesce("a_held", none), F.coalesce("b_held", none))
+    known = known.select("src", "dst", (F.col("shared") + F.coalesce(F.when(F.col("a_held").isNotNull() & F.col("b_held").isNotNull(), F.size(both)), F.lit(0))).alias("shared"))
+    # groups: two heavy entities of an article (one, if one is enough)
+    two = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.array(x, y))))
+    groups = held.withColumn("group", F.explode(F.transform("held", lambda x: F.array(x)) if least == 1 else two))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = groups.join(sizes, "group").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("article"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.select("article", "fresh", "held", "group", F.col("own").alias("x"), F.col("other").alias("y"))
+    right = dealt.select("article", "fresh", "held", "group", F.col("other").alias("x"), F.col("own").alias("y"))
+    met = _meeting(left, right, ["group", "x", "y"], "held").withColumn("both", F.array_intersect("a_held", "b_held"))
+    alone = met.where(F.col("group") == F.slice("both", 1, 1 if least == 1 else 2)).select("src", "dst", F.size("both").cast("long").alias("shared"))  # a pair's first group
+    return known.unionByName(alone).groupBy("src", "dst").agg(F.max("shared").alias("shared"))
+
+
+def cooccurrence_after(old: DataFrame, pairs: DataFrame, added: DataFrame, removed: DataFrame | None = None, least: int = 2, heavy: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(edges, pairs) after pairs(article, entity) are added and removed: only edges of articles among those are made anew."""
+    now = pairs.select("article", "entity")
+    changed = added.select("article")
+    if removed is not None:
+        now, changed = now.join(removed, ["article", "entity"], "left_anti"), changed.union(removed.select("article"))
+    now = now.unionByName(added.select("article", "entity")).distinct()
+    changed = changed.distinct()
+    kept = old.join(changed.withColumnRenamed("article", "src"), "src", "left_anti").join(changed.withColumnRenamed("article", "dst"), "dst", "left_anti")
+    return kept.select("src", "dst", "shared").unionByName(cooccurrence(now, least, heavy=heavy, changed=changed)), now
+
+
 def linked_by_entities(pairs: DataFrame, least: int = 2) -> DataFrame:
     """Co-occurrence as edges of the graph: (src, dst, link_type)."""
     return cooccurrence(pairs, least).select("src", "dst", F.lit("cooccurrence").alias("link_type"))

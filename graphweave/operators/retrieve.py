@@ -73,12 +73,12 @@ def reciprocal_rank(rankings: DataFrame, k: int = 60) -> DataFrame:
     return rankings.groupBy("seed", "title").agg(F.sum(F.col("weight") / (k + F.col("place"))).alias("score"))
 
 
-def fuse(found: DataFrame, edges: DataFrame, keep: int = 5) -> DataFrame:
+def fuse(found: DataFrame, edges: DataFrame | None, keep: int = 5, known: DataFrame | None = None) -> DataFrame:
     """(seed, title, place): the first ten of found(seed, title, rank) fused with their centrality; the old order
-    stays where fusing would move its first out of the first three."""
+    stays where fusing would move its first out of the first three. known(title, degree) stands for the
+    degrees of all edges where a table of them is kept."""
     first = found.where("rank <= 10").select("seed", "title", (F.col("rank") - 1).alias("old"))
-    degree = graph.degrees(edges)
-    d = first.join(degree, "title", "left").select("seed", "title", "old", F.coalesce("degree", F.lit(0)).alias("degree"))
+    d = first.join(graph.degrees(edges) if known is None else known, "title", "left").select("seed", "title", "old", F.coalesce("degree", F.lit(0)).alias("degree"))
     by_degree = d.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("degree"), "old")) - 1)
     ranks = d.select("seed", "title", F.lit(1.0).alias("weight"), F.col("old").alias("place")).unionByName(by_degree.select("seed", "title", F.lit(0.5).alias("weight"), "place"))
     scored = reciprocal_rank(ranks).join(first, ["seed", "title"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave import storage
 from graphweave.operators import graph, retrieve, stats
+from graphweave.operators.degree_table import LinkTable
 from graphweave.plans.catalog import query
 from graphweave.sources import views as v
 
@@ -60,6 +62,17 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     return graph.centrality(v.links(spark, d), v.articles(spark, d)).select("title", F.round("centrality", 6).alias("centrality"))
 
 
+@query(f"WITH {v.SQL}, deg AS (SELECT title, count(*) AS degree FROM (SELECT src AS title FROM lnk UNION ALL SELECT dst FROM lnk) GROUP BY title) SELECT art.title, round(coalesce(degree, 0)::DOUBLE / max(coalesce(degree, 0)) OVER (), 6) AS centrality FROM art LEFT JOIN deg USING (title)")
+def maintained_centrality(spark: SparkSession, d: str) -> DataFrame:
+    """The same from kept degrees: half of the links at first, then the others come and links that are not in the graph go."""
+    links = v.links(spark, d)
+    half = F.pmod(F.xxhash64("src", "dst"), F.lit(2)) == 0
+    false = links.where(half).select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(links, ["src", "dst"], "left_anti")
+    table = LinkTable.create(links.where(half).unionByName(false), storage.new_path(spark, "links"))
+    table.change(links.where(~half), false)
+    return table.centrality(v.articles(spark, d)).select("title", F.round("centrality", 6).alias("centrality"))
+
+
 @query(f"WITH {v.SQL} SELECT round((SELECT count(*) FROM lnk) / (SELECT count(*) FROM art), 6) AS density")
 def graph_density(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(graph.density(v.links(spark, d), v.articles(spark, d)), 6),)], "density double")
@@ -87,12 +100,25 @@ def relationship_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.paths(e, pairs).withColumns({c: F.array_join(c, ">") for c in ("path", "relations")})
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS article, l_partkey AS entity FROM lineitem), u AS (SELECT a.article AS src, b.article AS dst, count(*) AS shared FROM p a JOIN p b USING (entity) WHERE a.article < b.article GROUP BY ALL HAVING count(*) >= 2)
-  SELECT src, dst, shared FROM u UNION ALL SELECT dst, src, shared FROM u""")
+_TOGETHER = """WITH p AS (SELECT DISTINCT l_orderkey AS article, l_partkey AS entity FROM lineitem), u AS (SELECT a.article AS src, b.article AS dst, count(*) AS shared FROM p a JOIN p b USING (entity) WHERE a.article < b.article GROUP BY ALL HAVING count(*) >= 2)
+  SELECT src, dst, shared FROM u UNION ALL SELECT dst, src, shared FROM u"""
+
+
+@query(_TOGETHER)
 def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence(v.entity_pairs(spark, d))
 
 
+@query(_TOGETHER)
+def cooccurrence_increment(spark: SparkSession, d: str) -> DataFrame:
+    """The same in a step: every hundredth article comes later, and entities that none has go."""
+    p = v.entity_pairs(spark, d)
+    late = F.col("article") % 100 == 0
+    false = p.where(F.col("article") % 100 == 1).select("article", (F.col("entity") + 1).alias("entity")).join(p, ["article", "entity"], "left_anti").distinct()
+    before = p.where(~late).unionByName(false)
+    return graph.cooccurrence_after(graph.cooccurrence(before), before, p.where(late), false)[0]
+
+
 @query(f"WITH {v.SQL}, {SEED_SQL}, {BFS}, {_NEIGHBOURS} SELECT * FROM nb WHERE category IN ('cat_1', 'cat_2') AND depth <= 1")
 def shown_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.shown(graph_neighbors(spark, d).drop("links"), ["cat_1", "cat_2"], 1)
