@@ -7,11 +7,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweave import storage
+from graphweave.functions import table_functions
 from graphweave.functions import text as X
 from graphweave.functions import vocabulary as V
-from graphweave.operators import ingest, stats, work_queue
+from graphweave.operators import durable_queue, ingest, stats, work_queue
 from graphweave.plans.catalog import query
+from graphweave.schema import NODES
 from graphweave.sources import views as v
+from graphweave.sources.versions import Store
 
 QUESTION = "what is the relationship between anat and thing"
 STOPS = "[" + ", ".join(f"'{w}'" for w in V.STOP_WORDS) + "]"
@@ -72,23 +76,73 @@ def parsed_pages(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumns({"categories": F.array_join("categories", ","), "links": F.array_join("links", " ")})
 
 
-@query()
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+_BARE = _replaced("html", *((rf"(?is)<{x}[^>]*>.*?</{x}[^>]*>", "''") for x in ("script", "style", "nav", "footer", "header")), ("(?s)<!--.*?-->", "''"))
+_MARKED = _replaced(_BARE, ("(?i)<h1[^>]*>", "chr(10) || '# '"), ("(?i)</h1>|<br>|</p>", "chr(10)"), ("(?i)<p>", "chr(10) || chr(10)"), ("(?i)<li>", "chr(10) || '- '"), ("<[^>]*>", "''"))
+_PLAIN = f"replace(replace(replace(replace({_MARKED}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&')"
+_MARKDOWN = _replaced(_PLAIN, (r"\n{3,}", "chr(10) || chr(10)"), (r"[ \t]+", "' '"), (r"^\s+|\s+$", "''"))
+_SECTIONS = f"""WITH t AS (SELECT html, trim(regexp_split_to_array({_PLAIN_TITLE}, '\\s*[|–—]\\s*')[1]) AS cut,
+    regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) AS last FROM pages),
+  m AS (SELECT CASE WHEN cut <> '' THEN cut ELSE list_aggregate(list_transform(regexp_extract_all(translate(last, '-_', '  '), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '') END AS title,
+    regexp_replace({_MARKDOWN}, '(?m)^(#{{1,6}})\\s+(.+)$', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g') AS marked FROM t),
+  p AS (SELECT title, unnest(string_split(marked, chr(1))) AS part, generate_subscripts(string_split(marked, chr(1)), 1) AS i, row_number() OVER () AS r FROM m),
+  s AS (SELECT title, i, r, CASE WHEN i = 1 THEN 2 ELSE length(string_split(part, chr(2))[1]) END AS level, CASE WHEN i = 1 THEN 'Introduction' ELSE trim(string_split(string_split(part, chr(2))[2], chr(3))[1]) END AS heading,
+    regexp_replace(CASE WHEN i = 1 THEN part ELSE string_split(part, chr(3))[2] END, '^\\s+|\\s+$', '', 'g') AS content FROM p),
+  n AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS INT) AS section_index FROM s WHERE length(content) > 20)
+  SELECT title || '#' || section_index AS section_id, title, section_index, CAST(level AS INT) AS level, heading, content FROM n"""
+
+
+@query(_SECTIONS)
 def page_section_rows(spark: SparkSession, d: str) -> DataFrame:
     return ingest.page_sections(ingest.pages(v.base(spark, d, "pages"), 20))
 
 
+@query(_SECTIONS)
+def lateral_page_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table function, as SQL calls it."""
+    table_functions.register(spark)
+    web = v.base(spark, d, "pages").select("html", X.page_title(F.col("html"), F.col("url")).alias("title"))
+    return spark.sql("SELECT title || '#' || section_index AS section_id, title, s.* FROM {web}, LATERAL parse_sections(html) AS s", web=web)
+
+
 @query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a[^>]+href="(/[^"]*)"', 1)) AS href FROM pages)
   SELECT DISTINCT page_id, root || href AS link FROM h WHERE NOT starts_with(href, '//')""")
 def same_host_links(spark: SparkSession, d: str) -> DataFrame:
     return v.base(spark, d, "pages").select("page_id", F.explode(X.page_links(F.col("html"), F.col("url"))).alias("link"))
 
 
-@query()
+_CHUNKS = rf"""WITH RECURSIVE {v.SQL}, t AS MATERIALIZED (SELECT title, section_index, section_id, regexp_replace(content, '^\s+|\s+$', '', 'g') AS text FROM sec WHERE word_count > 0),
+  cut AS (SELECT section_id, unnest(regexp_extract_all(text, '(?s).*?[.?!][ \n]')) AS piece, generate_subscripts(regexp_extract_all(text, '(?s).*?[.?!][ \n]'), 1) AS i FROM t),
+  stops AS (SELECT section_id, list(pos) AS stops FROM (SELECT section_id, CAST(sum(length(piece)) OVER (PARTITION BY section_id ORDER BY i) - 1 AS BIGINT) AS pos FROM cut) GROUP BY section_id),
+  u AS MATERIALIZED (SELECT t.*, length(text) AS n, coalesce(stops, []) AS stops FROM t LEFT JOIN stops USING (section_id)),
+  w AS (SELECT section_id, 0 AS n_th, 0::BIGINT AS a, 0::BIGINT AS z FROM u WHERE false
+    UNION ALL SELECT section_id, 1, 0, CASE WHEN 2000 >= n THEN 2000 ELSE coalesce(nullif(greatest(coalesce(list_max(list_filter(stops, lambda x: x < least(2200, n) AND x > 1000)), 0), 0), 0), 2000) END FROM u
+    UNION ALL SELECT section_id, n_th + 1, z - 400, CASE WHEN z - 400 + 2000 >= n THEN z - 400 + 2000 ELSE coalesce(list_max(list_filter(stops, lambda x: x < least(z - 400 + 2200, n) AND x > z - 400 + 1000)), z - 400 + 2000) END
+      FROM w JOIN u USING (section_id) WHERE n > 2000 AND z - 400 < n),
+  c AS (SELECT title, section_index, n_th, length(regexp_replace(substring(text, a + 1, z - a), '^\s+|\s+$', '', 'g')) AS n_chars FROM w JOIN u USING (section_id)),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY title, section_index ORDER BY n_th) - 1 AS INT) AS chunk_index FROM c WHERE n_chars > 0)
+  SELECT title || '|s' || section_index || '|c' || chunk_index AS chunk_id, title, CAST(section_index AS INT) AS section_index, chunk_index, n_chars FROM k"""
+
+
+@query(_CHUNKS)
 def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     s = v.sections(spark, d).where("word_count > 0")
     return ingest.chunks(s.select("title", "section_index", "content")).select("chunk_id", "title", "section_index", "chunk_index", F.length("content").cast("long").alias("n_chars"))
 
 
+@query(_CHUNKS)
+def lateral_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a table function, as SQL calls it."""
+    table_functions.register(spark)
+    s = v.sections(spark, d).where("word_count > 0")
+    return spark.sql("SELECT concat(title, '|s', section_index, '|c', chunk_index) AS chunk_id, title, section_index, chunk_index, CAST(length(c.content) AS BIGINT) AS n_chars FROM {s} AS s, LATERAL chunk_text(s.content, 2000, 400) AS c", s=s)
+
+
 @query()
 def cleaned_documents(spark: SparkSession, d: str) -> DataFrame:
     return v.base(spark, d, "documents").select("doc_id", F.md5(X.clean(F.col("text"))).alias("cleaned_md5"))
@@ -159,6 +213,35 @@ def queue_stats(spark: SparkSession, d: str) -> DataFrame:
     return work_queue.queue_stats(v.articles(spark, d))
 
 
+def _durable(spark: SparkSession, d: str) -> Store:
+    rows = _queue(spark, d).select(*NODES["Article"].names)
+    links = v.links(spark, d).withColumn("link_type", F.lit("internal"))
+    return durable_queue.create(spark, storage.new_path(spark, "graph"), Article=rows, LINKS_TO=links)
+
+
+@query(f"""WITH {v.SQL}, o AS (SELECT title, row_number() OVER (ORDER BY expansion_depth, title) AS n FROM art WHERE expansion_state = 'discovered')
+  SELECT title, CASE WHEN n <= 10 THEN 'processed' WHEN n <= 20 THEN 'claimed' WHEN expansion_state = 'claimed' AND article_id % 10 > 5 THEN 'discovered' ELSE expansion_state END AS expansion_state FROM art LEFT JOIN o USING (title)""")
+def durable_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Two workers claim from versioned tables, one of them finishes, stale claims go back."""
+    store = _durable(spark, d)
+    mine = durable_queue.claim(store, 10, NOW)
+    durable_queue.claim(store, 10, NOW)
+    durable_queue.advance(store, mine, "processed", NOW)
+    durable_queue.reclaim(store, NOW)
+    return store.read("Article").select("title", "expansion_state")
+
+
+@query(f"""WITH {v.SQL}, {_FOUND}, n AS (SELECT DISTINCT src, dst FROM f WHERE depth < 2 AND src <> dst AND dst NOT IN (SELECT title FROM art WHERE expansion_state = 'failed')),
+  e AS (SELECT src, dst FROM lnk UNION SELECT src, dst FROM n) SELECT src, dst FROM e WHERE src NOT IN ('A1', 'A2') AND dst NOT IN ('A1', 'A2')""")
+def durable_discovery(spark: SparkSession, d: str) -> DataFrame:
+    """Links found are added to versioned tables, twice, as a worker that starts again does; then two articles go."""
+    store, found = _durable(spark, d), _found(spark, d)
+    durable_queue.discover(store, found)
+    durable_queue.discover(store, found)
+    durable_queue.remove(store, ["A1", "A2"])
+    return store.read("LINKS_TO").select("src", "dst")
+
+
 @query(f"WITH {v.SQL} SELECT title, CASE WHEN article_id % 3 = 0 THEN 'new' ELSE category END AS category, CASE WHEN article_id % 3 = 0 THEN 7 ELSE word_count END AS word_count, CASE WHEN article_id % 3 = 0 THEN 'loaded' ELSE expansion_state END AS expansion_state, expansion_depth, CAST(article_id % 4 AS INT) AS retry_count FROM art UNION ALL SELECT 'B' || k, 'new', 7, 'loaded', 0, 0 FROM range(5) t(k)")
 def upsert_articles(spark: SparkSession, d: str) -> DataFrame:
     a = _queue(spark, d)

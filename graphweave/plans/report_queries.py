@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweave.functions import text as X
 from graphweave.functions import vocabulary as V
-from graphweave.operators import evaluate, stats, work_queue
+from graphweave.operators import evaluate, snapshots, stats, work_queue
 from graphweave.plans.catalog import query
 from graphweave.sources import files
 from graphweave.sources import views as v
@@ -125,6 +127,47 @@ def pack_freshness(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.freshness(p.withColumn("changed", evaluate.changed())).withColumn("rate", F.round("rate", 6))
 
 
+# Two crawls of the pages, in expressions that both engines read: the second one misses some pages, fails on some and finds some changed.
+_KEYS = {"pack": "concat('p', page_id % 7)", "url": "concat(url, '?', page_id)"}
+_FIRST = _KEYS | {"status": "200", "error": "CAST(NULL AS STRING)", "etag": "CASE WHEN page_id % 2 = 0 THEN md5(url) END", "last_modified": "CASE WHEN page_id % 3 = 0 THEN 'Mon' END", "hash": "CASE WHEN page_id % 3 <> 1 THEN md5(html) END"}
+_SECOND = _FIRST | {"status": "CASE WHEN page_id % 11 = 0 THEN 500 ELSE 200 END", "error": "CASE WHEN page_id % 13 = 0 THEN 'timeout' END", "etag": "CASE WHEN page_id % 4 = 0 THEN md5(concat(url, 'x')) WHEN page_id % 4 = 2 THEN md5(url) END", "hash": "CASE WHEN page_id % 3 <> 0 THEN md5(concat(html, CASE WHEN page_id % 6 = 2 THEN 'y' ELSE '' END)) END"}
+_T1, _T2 = datetime(2024, 1, 1), datetime(2024, 1, 8)
+
+
+def _crawls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = v.base(spark, d, "pages")
+    shaped = lambda columns, kept: p.where(kept).select(*(F.expr(x).alias(c) for c, x in columns.items()))
+    return shaped(_FIRST, "page_id % 5 <> 0"), shaped(_SECOND, "page_id % 7 <> 3")
+
+
+_CRAWL_SQL = (
+    ", ".join(f"{name} AS (SELECT {', '.join(f'{x} AS {c}' for c, x in columns.items())} FROM pages WHERE {kept})" for name, columns, kept in (("c1", _FIRST, "page_id % 5 <> 0"), ("c2", _SECOND, "page_id % 7 <> 3")))
+    + """, j AS (SELECT coalesce(c1.pack, c2.pack) AS pack, coalesce(c1.url, c2.url) AS url, c1.etag AS e1, c1.last_modified AS m1, c1.hash AS h1, c2.etag AS e2, c2.last_modified AS m2, c2.hash AS h2, c1.url IS NOT NULL AS was, c2.url IS NOT NULL AS is_,
+    coalesce(c2.error IS NULL AND c2.status < 400, false) AS ok FROM c1 FULL JOIN c2 ON c1.pack = c2.pack AND c1.url = c2.url),
+  k AS (SELECT *, CASE WHEN NOT is_ THEN 'gone' WHEN NOT ok THEN 'error' WHEN NOT was THEN 'first' WHEN h1 IS NOT NULL AND h2 IS NOT NULL THEN CASE WHEN h1 <> h2 THEN 'changed' ELSE 'same' END
+    WHEN e1 IS NOT NULL AND e2 IS NOT NULL THEN CASE WHEN e1 <> e2 THEN 'changed' ELSE 'same' END WHEN m1 IS NOT NULL AND m2 IS NOT NULL AND m1 <> m2 THEN 'changed' ELSE 'same' END AS kind FROM j)"""
+)
+
+
+@query(f"WITH {_CRAWL_SQL} SELECT pack, url, ok, kind = 'changed' AS changed, kind FROM k")
+def url_changes(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.compared(*_crawls(spark, d)).select("pack", "url", "ok", "changed", "kind")
+
+
+@query(f"WITH {_CRAWL_SQL} SELECT pack, count(*) FILTER (ok) AS checked, count(*) FILTER (kind = 'changed') AS changed, round(count(*) FILTER (kind = 'changed') / greatest(count(*) FILTER (ok), 1), 6) AS rate, count(*) FILTER (kind = 'changed') / greatest(count(*) FILTER (ok), 1) >= 0.2 AS needs_rebuild FROM k WHERE is_ GROUP BY pack")
+def snapshot_freshness(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.freshness(*_crawls(spark, d)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"""WITH {_CRAWL_SQL} SELECT pack, url, CASE WHEN kind = 'same' THEN coalesce(e2, e1) ELSE e1 END AS etag, CASE WHEN kind = 'same' THEN coalesce(m2, m1) ELSE m1 END AS last_modified, CASE WHEN kind = 'same' THEN coalesce(h2, h1) ELSE h1 END AS hash,
+    TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN kind IN ('changed', 'gone') THEN TIMESTAMP '2024-01-08' END AS valid_to FROM k WHERE was
+  UNION ALL SELECT pack, url, e2, m2, h2, TIMESTAMP '2024-01-08', NULL FROM k WHERE kind IN ('first', 'changed')""")
+def url_history(spark: SparkSession, d: str) -> DataFrame:
+    first, second = _crawls(spark, d)
+    h = snapshots.after(spark.createDataFrame([], snapshots.HISTORY), first, _T1)
+    return snapshots.after(h, second, _T2)
+
+
 @query("""WITH q AS (SELECT 'Pack' || (conv_id % 3) AS pack, text AS question, conv_id * 1000 + turn AS ord FROM conversations), f AS (SELECT pack, arg_min(question, ord) AS question, min(ord) AS ord FROM q GROUP BY pack, lower(trim(question)))
   SELECT pack, lower(substring(pack, 1, 2)) || '_' || printf('%03d', row_number() OVER (PARTITION BY pack ORDER BY ord)) AS id, question FROM f""")
 def question_ids(spark: SparkSession, d: str) -> DataFrame:
