@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -112,7 +113,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         if start < batch.num_rows:
             yield batch.slice(start)
     batch = values = None
-    pa.default_memory_pool().release_unused()  # workers live on, and their memory counts
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task, as Python workers live on and their memory counts."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't that of Linux
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

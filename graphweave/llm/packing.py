@@ -98,7 +98,7 @@ class WordBPE:
     characters never are.
     """
 
-    def __init__(self, path: str, memo: int = 500_000, longest: int = 64) -> None:
+    def __init__(self, path: str, memo: int = 350_000, longest: int = 64) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
