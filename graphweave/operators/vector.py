@@ -116,7 +116,7 @@ def index_nearest(queries: DataFrame, sections: DataFrame, k: int, index: Vector
 
 def lead_vectors(sections: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, query_vector): the lead section's vector of each seed title; seeds without one are left out."""
-    lead = sections.where("section_index = 0").select(F.col("title").alias("seed"), F.col("embedding").alias("query_vector"))
+    lead = sections.where("section_index = 0 AND embedding IS NOT NULL").select(F.col("title").alias("seed"), F.col("embedding").alias("query_vector"))
     return lead.join(seeds, "seed", "left_semi")
 
 
@@ -151,7 +151,7 @@ def agent_search(sections: DataFrame, queries: DataFrame, top_k: int = 10) -> Da
 
 def query_vectors(sections: DataFrame, questions: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
     """(seed, query_vector) of questions(seed, question): the vector of the first section of an article of that title, else the model's."""
-    first = sections.groupBy("title").agg(F.min_by("embedding", "section_index").alias("query_vector"))
+    first = sections.where("embedding IS NOT NULL").groupBy("title").agg(F.min_by("embedding", "section_index").alias("query_vector"))
     known = questions.join(first, F.col("question") == F.col("title")).select("seed", "query_vector")
     rest = questions.join(known.select("seed"), "seed", "left_anti").select("seed", F.col("question").alias("text"))
     return known.unionByName(embed(rest, model))

@@ -22,8 +22,8 @@ DISTANCE = "1 - list_dot_product(list_transform(s.v, lambda x: x / sqrt(list_dot
 def _near(k: int, own: str = "s.title <> n.seed") -> str:
     """The k nearest sections of each seed, then the best of each article."""
     return f"""
-    q AS (SELECT seed, v FROM seeds JOIN sec ON sec.title = seed AND section_index = 0),
-    d AS (SELECT seed, s.title, s.section_id, s.content, {DISTANCE} AS distance FROM q, sec s),
+    q AS (SELECT seed, v FROM seeds JOIN sec ON sec.title = seed AND section_index = 0 AND v IS NOT NULL),
+    d AS (SELECT seed, s.title, s.section_id, s.content, {DISTANCE} AS distance FROM q, sec s WHERE s.v IS NOT NULL),
     n AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, section_id) AS k FROM d QUALIFY k <= {k}),
     best AS (SELECT seed, title, section_id, content, distance FROM n s {'WHERE s.title <> s.seed' if own else ''} QUALIFY row_number() OVER (PARTITION BY seed, title ORDER BY distance, section_id) = 1)"""
 
@@ -93,7 +93,7 @@ def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
     return vector.confidence_gate(semantic_search(spark, d), 0.4)
 
 
-@query(f"""WITH {v.SQL}, {SEED_SQL}, q AS (SELECT seed, v FROM seeds JOIN sec ON sec.title = seed AND section_index = 0)
+@query(f"""WITH {v.SQL}, {SEED_SQL}, q AS (SELECT seed, v FROM seeds JOIN sec ON sec.title = seed AND section_index = 0 AND v IS NOT NULL)
   SELECT seed, example, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY seed ORDER BY s DESC, example) AS INT) AS rank
   FROM (SELECT seed, vec_id AS example, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.v) AS s FROM embeddings e, q) QUALIFY rank <= 3""")
 def few_shot(spark: SparkSession, d: str) -> DataFrame:

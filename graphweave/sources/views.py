@@ -14,11 +14,11 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """article_id, title, section_id, section_index, embedding, content, label, word_count."""
+    """article_id, title, section_id, section_index, embedding, content, label, word_count: every document, with its vector if it has one."""
     e = base(spark, sf_dir, "embeddings")
     d = base(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     aid = F.floor(F.col("vec_id") / 5).cast("long")
-    return e.join(d, "vec_id", "left").select(
+    return d.join(e, "vec_id", "left").select(
         aid.alias("article_id"), F.concat(F.lit("A"), aid.cast("string")).alias("title"),
         F.concat(F.lit("A"), aid.cast("string"), F.lit("#"), (F.col("vec_id") % 5).cast("string")).alias("section_id"),
         (F.col("vec_id") % 5).cast("int").alias("section_index"), F.col("embedding").cast("array<double>").alias("embedding"),
@@ -45,7 +45,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def articles_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the number of articles (n)."""
-    return base(spark, sf_dir, "embeddings").agg(F.count_distinct(F.floor(F.col("vec_id") / 5)).alias("n"))
+    return base(spark, sf_dir, "documents").agg(F.count_distinct(F.floor(F.col("doc_id") / 5)).alias("n"))
 
 
 def customer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 #: Common table expressions of the same views.
 SQL = f"""
-sec AS (SELECT e.vec_id // 5 AS article_id, 'A' || (e.vec_id // 5) AS title, 'A' || (e.vec_id // 5) || '#' || (e.vec_id % 5) AS section_id, e.vec_id % 5 AS section_index,
+sec AS (SELECT d.doc_id // 5 AS article_id, 'A' || (d.doc_id // 5) AS title, 'A' || (d.doc_id // 5) || '#' || (d.doc_id % 5) AS section_id, d.doc_id % 5 AS section_index,
   CAST(e.embedding AS DOUBLE[]) AS v, coalesce(d.text, '') AS content, e.label, {WORDS.format("coalesce(d.text, '')")} AS word_count
-  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id),
+  FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 art AS (SELECT title, article_id, 'cat_' || max(CASE WHEN section_index = 0 THEN label END) AS category, CAST(sum(word_count) AS BIGINT) AS word_count,
   ['discovered', 'claimed', 'loaded', 'processed', 'failed'][CAST(article_id % 5 AS INT) + 1] AS expansion_state, CAST(article_id % 3 AS INT) AS expansion_depth FROM sec GROUP BY title, article_id),
 num AS (SELECT count(*) AS n FROM art),
