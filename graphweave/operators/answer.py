@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweave import storage
 from graphweave.operators import retrieve, vector
+from graphweave.operators.title_index import TitleIndex
+from graphweave.operators.vector_index import VectorIndex
 from graphweave.schema import bounded, top
 
 CONFIDENCE = 0.5
@@ -23,29 +26,27 @@ def merged(direct: DataFrame, found: DataFrame, hybrid: DataFrame) -> DataFrame:
 
 def sources(
     sections: DataFrame, articles: DataFrame, edges: DataFrame, questions: DataFrame, vectors: DataFrame, max_results: int = 5, confidence: float = CONFIDENCE, score: Callable[[Column, Column], Column] | None = None,
+    index: VectorIndex | None = None, titles: TitleIndex | None = None, degrees: DataFrame | None = None,
 ) -> DataFrame:
     """(seed, title, place) of questions(seed, question): what an answer is drawn from, best first, place from 0.
 
     vectors(seed, query_vector) holds a vector for each question. With a pair scorer twice as many
     candidates, 40 at most, are searched and the best kept. Vector hits that aren't sure enough are
     dropped, and all of a question's with them. Title matches come first, hybrid hits last; ten of
-    them are fused with their degrees, and linked articles are added.
+    them are fused with their degrees, and linked articles are added. Stored indexes of the sections
+    and titles and a kept table of degrees are used where they are given. The vector hits, a few rows
+    for each question, are written once, as three signals build on them.
     """
     bounded("max_results", max_results, 1, 1000)
-    found = vector.agent_search(sections, vectors, min(2 * max_results, 40) if score else max_results)
-    sure = vector.confidence_gate(found, confidence)
     if score:
-        best = retrieve.pair_rerank(sure, questions, max_results, score)
-        sure = best.select("seed", "title", "content", "similarity", F.col("new_rank").alias("rank"))
-    sure = _once(sure.select("seed", "title", "similarity", "rank"))
-    direct = retrieve.title_lookup(articles, questions.select("question").distinct()).join(questions, "question").select("seed", "title", "place")
-    hybrid = retrieve.hybrid_retrieve(sure, edges, articles, questions, max_results)
-    return retrieve.add_neighbours(_once(retrieve.fuse(_once(merged(direct, sure, hybrid)), edges)), edges)
-
-
-def _once(few: DataFrame) -> DataFrame:
-    """A few rows for each of few questions, on which several signals build: found once."""
-    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+        found = vector.confidence_gate(vector.agent_search(sections, vectors, min(2 * max_results, 40), index), confidence)
+        found = retrieve.pair_rerank(found, questions, max_results, score).select("seed", "title", "similarity", F.col("new_rank").alias("rank"))
+    else:
+        found = vector.confidence_gate(vector.agent_titles(sections, vectors, max_results, index), confidence)
+    sure = storage.written(found.select("seed", "title", "similarity", "rank").coalesce(1), "hits")
+    direct = retrieve.title_lookup(articles, questions.select("question").distinct(), index=titles).join(questions, "question").select("seed", "title", "place")
+    hybrid = retrieve.hybrid_retrieve(sure, edges, articles, questions, max_results, index=titles)
+    return retrieve.add_neighbours(retrieve.fuse(merged(direct, sure, hybrid), edges, known=degrees), edges)
 
 
 def context(sections: DataFrame, facts: DataFrame, questions: DataFrame, chosen: DataFrame, fact_chars: int = 500) -> DataFrame:

@@ -68,9 +68,14 @@ def hybrid_retrieve(found: DataFrame, edges: DataFrame, articles: DataFrame, que
     return top(total, ["seed"], [F.desc(F.round("score", 9)), F.col("title")], max_results).select("seed", "title", "score", "rank")
 
 
+def rank_score(place: Column, k: int = 60) -> Column:
+    """What a place from 0 counts in a fusion of ranks."""
+    return 1.0 / (k + place)
+
+
 def reciprocal_rank(rankings: DataFrame, k: int = 60) -> DataFrame:
     """(seed, title, score): sum of weight / (k + rank from 0) over rankings(seed, title, weight, place)."""
-    return rankings.groupBy("seed", "title").agg(F.sum(F.col("weight") / (k + F.col("place"))).alias("score"))
+    return rankings.groupBy("seed", "title").agg(F.sum(F.col("weight") * rank_score(F.col("place"), k)).alias("score"))
 
 
 def fuse(found: DataFrame, edges: DataFrame | None, keep: int = 5, known: DataFrame | None = None) -> DataFrame:
@@ -79,10 +84,9 @@ def fuse(found: DataFrame, edges: DataFrame | None, keep: int = 5, known: DataFr
     degrees of all edges where a table of them is kept."""
     first = found.where("rank <= 10").select("seed", "title", (F.col("rank") - 1).alias("old"))
     d = first.join(graph.degrees(edges) if known is None else known, "title", "left").select("seed", "title", "old", F.coalesce("degree", F.lit(0)).alias("degree"))
-    by_degree = d.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("degree"), "old")) - 1)
-    ranks = d.select("seed", "title", F.lit(1.0).alias("weight"), F.col("old").alias("place")).unionByName(by_degree.select("seed", "title", F.lit(0.5).alias("weight"), "place"))
-    scored = reciprocal_rank(ranks).join(first, ["seed", "title"])
-    w = Window.partitionBy("seed")
+    w = Window.partitionBy("seed")  # ten rows each
+    both = d.withColumn("linked", F.row_number().over(w.orderBy(F.desc("degree"), "old")) - 1)
+    scored = both.withColumn("score", rank_score(F.col("old")) + 0.5 * rank_score(F.col("linked")))
     placed = scored.withColumn("new", F.row_number().over(w.orderBy(F.desc(F.round("score", 12)), "old")) - 1)
     placed = placed.withColumn("safe", F.max((F.col("old") == 0) & (F.col("new") < 3)).over(w))
     out = placed.select("seed", "title", F.when(F.col("safe"), F.col("new")).otherwise(F.col("old")).alias("place"), "safe")

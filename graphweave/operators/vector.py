@@ -141,12 +141,18 @@ def semantic_search(sections: DataFrame, seeds: DataFrame, articles: DataFrame |
     return ranked.select("seed", "title", "section_id", similarity(F.col("distance")).alias("similarity"), "rank")
 
 
-def agent_search(sections: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
-    """(seed, title, content, similarity, rank) for queries(seed, query_vector): three times top_k sections, no article left out."""
+def agent_titles(sections: DataFrame, queries: DataFrame, top_k: int = 10, index: VectorIndex | None = None) -> DataFrame:
+    """(seed, title, section_id, similarity, rank) for queries(seed, query_vector): three times top_k sections, no article left out."""
     bounded("top_k", top_k, 1, 500)
-    best = best_section(index_nearest(queries, sections, 3 * top_k))
+    best = best_section(index_nearest(queries, sections, 3 * top_k, index))
     few = top(best, ["seed"], [F.col("distance"), F.col("title")], top_k)
-    return few.join(sections.select("section_id", "content"), "section_id").select("seed", "title", "content", similarity(F.col("distance")).alias("similarity"), "rank")
+    return few.select("seed", "title", "section_id", similarity(F.col("distance")).alias("similarity"), "rank")
+
+
+def agent_search(sections: DataFrame, queries: DataFrame, top_k: int = 10, index: VectorIndex | None = None) -> DataFrame:
+    """(seed, title, content, similarity, rank): the same with the text of the section."""
+    few = agent_titles(sections, queries, top_k, index)
+    return few.join(sections.select("section_id", "content"), "section_id").select("seed", "title", "content", "similarity", "rank")
 
 
 def query_vectors(sections: DataFrame, questions: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -173,8 +179,8 @@ def multi_query(found: DataFrame) -> DataFrame:
 
 def confidence_gate(found: DataFrame, least: float = 0.5) -> DataFrame:
     """found without the rows of seeds whose best similarity is under `least`."""
-    sure = found.groupBy("seed").agg(F.max("similarity").alias("best")).where(F.col("best") >= least)
-    return found.join(sure.select("seed"), "seed", "left_semi")
+    best = F.max("similarity").over(Window.partitionBy("seed"))  # of a few rows for each seed
+    return found.withColumn("best", best).where(F.col("best") >= least).drop("best")
 
 
 def few_shot(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:

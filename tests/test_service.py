@@ -73,6 +73,65 @@ def test_chat_asks_the_model_with_sources(graph):
     assert events == ["sources", "token", "done"]
 
 
+def test_answers_come_bit_by_bit(graph):
+    vector, asked = (lambda ts: [[1.0, 0.0, 0.0] for _ in ts]), []
+
+    def model(question, context):
+        asked.append(question)
+        yield "Go "
+        yield "has them."
+
+    events = service.chat_events(graph, "What is Go?", vector, model, 3)
+    assert next(events)[0] == "sources" and asked == []  # sources show before the model is asked
+    assert [(e, json.loads(x)) for e, x in events] == [("token", "Go "), ("token", "has them."), ("done", {})]
+    assert service.chat(graph, "What is Go?", vector, model, 3)["answer"] == "Go has them."
+
+    def breaks(question, context):
+        yield "a"
+        raise RuntimeError("password=abcdefgh12345")
+
+    last = list(service.chat_events(graph, "Go", vector, breaks, 3))
+    assert [e for e, _ in last] == ["sources", "token", "error"] and "abcdefgh12345" not in last[-1][1]
+
+
+def test_stored_indexes_give_the_same(spark, graph, tmp_path):
+    from dataclasses import replace
+
+    from graphweave.operators.degree_table import LinkTable
+    from graphweave.operators.title_index import TitleIndex
+    from graphweave.operators.vector_index import VectorIndex
+
+    vectors = VectorIndex.build(graph.sections.select("section_id", "title", "embedding"), f"file://{tmp_path}/v", "section_id", cells=1)
+    stored = replace(graph, vectors=vectors, titles=TitleIndex.build(graph.articles, f"file://{tmp_path}/t"), degrees=LinkTable.create(graph.edges, f"file://{tmp_path}/l").degrees())
+    same = lambda f: f(graph).collect() == f(stored).collect()
+    assert same(lambda g: service.search(g, "Go", limit=3).orderBy("rank")) and same(lambda g: service.autocomplete(g, "go"))
+    ask = lambda g: service.chat(g, "What is Go?", lambda ts: [[1.0, 0.0, 0.0] for _ in ts], lambda q, c: c, 3)
+    assert ask(graph) == ask(stored)
+
+
+def test_tools_by_name_of_pack(graph, tmp_path):
+    (tmp_path / "go/pack.db").mkdir(parents=True)
+    (tmp_path / "bare").mkdir()
+    for name in ("go", "bare"):
+        (tmp_path / name / "manifest.json").write_text(json.dumps({"name": name, "version": "1.0.0"}))
+    opened = []
+    tools = service.Tools(tmp_path, lambda place: opened.append(place) or graph, lambda ts: [[1.0, 0.0, 0.0] for _ in ts], lambda q, c: "yes").offered()
+    assert tools["query_knowledge_pack"]("go", "What is Go?")["answer"] == "yes" and opened == [tmp_path / "go"]
+    assert tools["pack_info"]("go")["db_exists"] and not tools["pack_info"]("bare")["db_exists"]
+    for name in ("bare", "../go", "none"):
+        assert tools["query_knowledge_pack"](name, "q").keys() == {"error", "pack"}
+    assert len(opened) == 1
+
+
+def test_statistics_are_kept_for_a_minute(graph):
+    now, asked = [0.0], []
+    kept = service.Kept(lambda: asked.append(1) or {"n": len(asked)}, 60, lambda: now[0])
+    assert (kept(), kept()) == ({"n": 1}, {"n": 1})
+    now[0] = 60
+    assert kept() == {"n": 2}
+    assert service.kept_statistics(graph)()["articles"] == 5
+
+
 def test_packs_by_name(tmp_path, capsys):
     home = tmp_path / "go"
     (home / "pack.db").mkdir(parents=True)
