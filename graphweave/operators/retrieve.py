@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweave import storage
 from graphweave.functions import text as X
 from graphweave.operators import graph, vector
 from graphweave.operators.title_index import TitleIndex, patterns
@@ -106,9 +107,9 @@ def source_text(sources: DataFrame, sections: DataFrame, questions: DataFrame, m
     """(seed, title, place, body): the good sections of a seed's first sources, cleaned, in order, cut at most_chars.
 
     Every section is cleaned once, however many seeds it serves. The sources, a few for each seed, are
-    kept as both joins need them; sections are dealt out before cleaning, which is the work here.
+    written once as both joins need them; sections are dealt out before cleaning, which is the work here.
     """
-    few = sources.where(F.col("place") < most_articles).join(questions, "seed").persist()
+    few = storage.written(sources.where(F.col("place") < most_articles).join(questions, "seed"), "sources")
     parts = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = sections.select("title", "section_index", "content").join(few.select("title").distinct(), "title", "left_semi").repartition(parts, "title", "section_index")
     cleaned = some.select("title", "section_index", F.transform(F.array(X.clean(F.col("content"))), lambda c: c)[0].alias("content"))

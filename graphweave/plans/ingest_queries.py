@@ -296,6 +296,6 @@ def resolved_titles(spark: SparkSession, d: str) -> DataFrame:
     return ingest.validate_titles(asked, normal, redirects, existing)
 
 
-@query(f"WITH {v.SQL} SELECT category, n FROM (SELECT category, count(*) AS n FROM art WHERE expansion_state IN ('loaded', 'processed') GROUP BY category ORDER BY n DESC, category LIMIT 5)")
+@query(f"WITH {v.SQL} SELECT coalesce(category, 'Uncategorized') AS category, n FROM (SELECT category, count(*) AS n FROM art WHERE expansion_state IN ('loaded', 'processed') GROUP BY category ORDER BY n DESC, category NULLS FIRST LIMIT 5)")
 def top_loaded_categories(spark: SparkSession, d: str) -> DataFrame:
     return stats.top_categories(v.articles(spark, d))
