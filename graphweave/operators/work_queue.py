@@ -27,7 +27,12 @@ def claim(articles: DataFrame, batch: int, now: datetime) -> tuple[DataFrame, Da
 
 def heartbeat(articles: DataFrame, titles: list[str], now: datetime) -> DataFrame:
     """Claimed articles among titles get a new claim time."""
-    return _where(articles, F.col("title").isin(titles) & (F.col("expansion_state") == "claimed"), claimed_at=F.lit(now))
+    return heartbeat_where(articles, F.col("title").isin(titles), now)
+
+
+def heartbeat_where(articles: DataFrame, alive: Column, now: datetime) -> DataFrame:
+    """The same for claimed articles that a condition holds for."""
+    return _where(articles, alive & (F.col("expansion_state") == "claimed"), claimed_at=F.lit(now))
 
 
 def stale(now: datetime, seconds: int) -> Column:

@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from graphweave.plans import graph_queries, ingest_queries, report_queries, search_queries  # noqa: E402, F401
+from graphweave.plans import graph_queries, ingest_queries, report_queries, search_queries, text_queries  # noqa: E402, F401

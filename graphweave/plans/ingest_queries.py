@@ -177,29 +177,29 @@ def discovered_edges(spark: SparkSession, d: str) -> DataFrame:
     return ingest.discover_links(_found(spark, d), v.articles(spark, d), v.links(spark, d))[1]
 
 
-def _queue(spark: SparkSession, d: str) -> DataFrame:
+def queue_rows(spark: SparkSession, d: str) -> DataFrame:
     minutes = F.make_interval(mins=F.col("article_id") % 10)
     return v.articles(spark, d).withColumns({"claimed_at": F.when(F.col("expansion_state") == "claimed", F.lit(NOW) - minutes), "processed_at": F.lit(None).cast("timestamp"), "retry_count": (F.col("article_id") % 4).cast("int")})
 
 
 @query(f"WITH {v.SQL} SELECT title FROM art WHERE expansion_state = 'discovered' ORDER BY expansion_depth, title LIMIT 10")
 def queue_claim(spark: SparkSession, d: str) -> DataFrame:
-    return work_queue.claim(_queue(spark, d), 10, NOW)[0]
+    return work_queue.claim(queue_rows(spark, d), 10, NOW)[0]
 
 
 @query(f"WITH {v.SQL} SELECT title, CASE WHEN expansion_state = 'claimed' AND article_id % 10 > 5 THEN 'discovered' ELSE expansion_state END AS expansion_state FROM art")
 def queue_reclaim(spark: SparkSession, d: str) -> DataFrame:
-    return work_queue.reclaim(_queue(spark, d), NOW).select("title", "expansion_state")
+    return work_queue.reclaim(queue_rows(spark, d), NOW).select("title", "expansion_state")
 
 
 @query(f"WITH {v.SQL} SELECT title, CASE WHEN title IN ('A1', 'A2', 'A3', 'A6') AND expansion_state IN ('loaded', 'claimed') THEN 'processed' ELSE expansion_state END AS expansion_state FROM art")
 def queue_advance(spark: SparkSession, d: str) -> DataFrame:
-    return work_queue.advance(_queue(spark, d), ["A1", "A2", "A3", "A6"], "processed", NOW).select("title", "expansion_state")
+    return work_queue.advance(queue_rows(spark, d), ["A1", "A2", "A3", "A6"], "processed", NOW).select("title", "expansion_state")
 
 
 @query(f"WITH {v.SQL} SELECT title, CASE WHEN article_id >= 8 THEN expansion_state WHEN article_id % 4 + 1 >= 3 THEN 'failed' ELSE 'discovered' END AS expansion_state, CAST(article_id % 4 + CASE WHEN article_id < 8 THEN 1 ELSE 0 END AS INT) AS retry_count FROM art")
 def queue_fail(spark: SparkSession, d: str) -> DataFrame:
-    return work_queue.fail(_queue(spark, d), [f"A{k}" for k in range(8)]).select("title", "expansion_state", "retry_count")
+    return work_queue.fail(queue_rows(spark, d), [f"A{k}" for k in range(8)]).select("title", "expansion_state", "retry_count")
 
 
 @query("SELECT user_id AS key, max_by(event_type, (ts, event_id)) AS state, max(ts) AS at FROM events GROUP BY user_id")
@@ -214,7 +214,7 @@ def queue_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _durable(spark: SparkSession, d: str) -> Store:
-    rows = _queue(spark, d).select(*NODES["Article"].names)
+    rows = queue_rows(spark, d).select(*NODES["Article"].names)
     links = v.links(spark, d).withColumn("link_type", F.lit("internal"))
     return durable_queue.create(spark, storage.new_path(spark, "graph"), Article=rows, LINKS_TO=links)
 
@@ -244,7 +244,7 @@ def durable_discovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {v.SQL} SELECT title, CASE WHEN article_id % 3 = 0 THEN 'new' ELSE category END AS category, CASE WHEN article_id % 3 = 0 THEN 7 ELSE word_count END AS word_count, CASE WHEN article_id % 3 = 0 THEN 'loaded' ELSE expansion_state END AS expansion_state, expansion_depth, CAST(article_id % 4 AS INT) AS retry_count FROM art UNION ALL SELECT 'B' || k, 'new', 7, 'loaded', 0, 0 FROM range(5) t(k)")
 def upsert_articles(spark: SparkSession, d: str) -> DataFrame:
-    a = _queue(spark, d)
+    a = queue_rows(spark, d)
     more = spark.range(5).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("title"))
     new = a.where("article_id % 3 = 0").select("title").unionByName(more).select("title", F.lit("new").alias("category"), F.lit(7).cast("long").alias("word_count"), F.lit(NOW).alias("processed_at"))
     return ingest.upsert_articles(a, new).drop("processed_at")
