@@ -158,7 +158,7 @@ def text_links(text: Column) -> Column:
 
 def wiki_links(wikitext: Column) -> Column:
     """Targets of double-bracket links, without those in other namespaces."""
-    found = F.transform(F.regexp_extract_all(wikitext, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(wikitext, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))  # trim itself would take the place as its second argument
     return F.filter(found, lambda x: ~F.lower(x).rlike("^(file|image|category|template|wikipedia):"))
 
 
