@@ -135,3 +135,14 @@ def test_embedding_is_injected(spark):
     df = spark.createDataFrame([("a", "xx"), ("b", None)], "seed string, text string")
     got = {r["seed"]: r["query_vector"] for r in vector.embed(df, lambda ts: [[len(t), 1] for t in ts], prefix="q:").collect()}
     assert got == {"a": [4.0, 1.0], "b": [2.0, 1.0]}
+
+
+def test_display_formats(spark):
+    df = spark.createDataFrame([(5, 10, 3661), (0, 0, 65), (30, 10, 5)], "done int, total int, seconds int")
+    got = [tuple(r) for r in df.select(X.progress_bar(F.col("done"), F.col("total"), 10), X.duration(F.col("seconds"))).collect()]
+    assert got == [("[#####-----]", "1h 1m"), ("[----------]", "1m 5s"), ("[##########]", "5s")]
+
+
+def test_wiki_links_are_trimmed_of_blanks_only(spark):
+    df = spark.createDataFrame([("[[1 A ]] [[ 0]] [[File:x.png]] [[b|c]]",)], "t string")
+    assert df.select(X.wiki_links(F.col("t"))).first()[0] == ["1 A", "0", "b"]
