@@ -100,8 +100,12 @@ def row_hash(*columns: str) -> Column:
     return F.xxhash64(*columns, F.monotonically_increasing_id())
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` text bytes, so that memory doesn't follow the row count."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20, trim: bool = True) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` text bytes, so that memory doesn't follow the row count.
+
+    At the end freed memory goes back to the system, that of Arrow alone without `trim`: for tasks that
+    follow each other so closely that they would take it again at once.
+    """
     for batch in batches:
         values = batch.column(column)
         start, held = 0, 0
@@ -113,12 +117,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         if start < batch.num_rows:
             yield batch.slice(start)
     batch = values = None
-    give_back()
+    give_back(trim)
 
 
-def give_back() -> None:
+def give_back(trim: bool) -> None:
     """Returns freed memory to the system at the end of a task, as Python workers live on and their memory counts."""
     pa.default_memory_pool().release_unused()
+    if not trim:
+        return
     with contextlib.suppress(OSError, AttributeError):  # where the C library isn't that of Linux
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

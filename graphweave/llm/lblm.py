@@ -51,7 +51,7 @@ def word_counts(texts: DataFrame, most: int = 600_000) -> DataFrame:
             for at in range(0, len(words), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000], pa.binary()), pa.array(counts[at : at + 100_000])], ["word", "c"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", trim=False):
             for text in batch.column("text").to_pylist():
                 seen.update(words_of(text))
             seen[END] += batch.num_rows
@@ -255,7 +255,7 @@ def trained(training: DataFrame, mass: np.ndarray, classes: int, parts: int) ->
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rng = LogBilinear(mass, classes), np.random.default_rng(SEED)
         seen = {k: np.zeros(len(v), dtype=np.int64) for k, v in model.p.items()}
-        for batch in slices(batches, "ranks", 4 << 20):
+        for batch in slices(batches, "ranks", 4 << 20, trim=False):
             if batch.num_rows:
                 ranks, ends = flat_ranks(batch.column("ranks"))
                 own = model.item[ranks]
@@ -320,7 +320,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, digest = shared.value, xxhash.xxh64_intdigest
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 4 << 20, trim=False):
             if not batch.num_rows:
                 continue
             words = [words_of(x) for x in batch.column("text").to_pylist()]
@@ -353,7 +353,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in slices(batches, "ranks", 4 << 20):
+        for batch in slices(batches, "ranks", 4 << 20, trim=False):
             if batch.num_rows:
                 ranks, ends = flat_ranks(batch.column("ranks"))
                 own = m.item[ranks]
