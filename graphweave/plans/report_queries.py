@@ -216,8 +216,12 @@ _PACKS = """m AS (SELECT n_name AS pack, count(DISTINCT c_custkey) AS articles,
 
 def _catalogue(spark: SparkSession, d: str) -> DataFrame:
     n, c, s = (v.base(spark, d, x) for x in ("nation", "customer", "supplier"))
-    packs = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("pack"))
-    packs = packs.agg(F.countDistinct("c_custkey").alias("articles"), F.countDistinct("s_suppkey").alias("entities"), F.max("n_nationkey").cast("long").alias("relationships"))
+    key, none = F.col("n_nationkey").cast("long").alias("relationships"), F.lit(None).cast("long")
+    # customers and suppliers side by side: together they would be a product within each nation
+    held = n.select(F.col("n_name").alias("pack"), key, none.alias("article"), none.alias("entity"))
+    held = held.unionByName(n.join(c, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("pack"), key, F.col("c_custkey").alias("article"), none.alias("entity")))
+    held = held.unionByName(n.join(s, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("pack"), key, none.alias("article"), F.col("s_suppkey").alias("entity")))
+    packs = held.groupBy("pack").agg(F.countDistinct("article").alias("articles"), F.countDistinct("entity").alias("entities"), F.max("relationships").alias("relationships"))
     o = v.base(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).where("n_name < 'M'")
     scores = o.select(F.col("n_name").alias("pack"), F.when(F.col("o_orderpriority") < "3", "training").otherwise("enhanced").alias("condition"), (F.col("o_orderkey") % 11).alias("score"))
     return evaluate.catalogue(packs, scores)
