@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweave import storage
 from graphweave.schema import bounded, top
 
 
@@ -161,17 +162,16 @@ def expand_related(edges: DataFrame, seeds: DataFrame, max_hops: int = 1, max_ar
     return near.orderBy("hops", "title").limit(max(0, max_articles - n))
 
 
-def cooccurrence(pairs: DataFrame, least: int = 2, hub: int | None = None, heavy: int = 1000, changed: DataFrame | None = None) -> DataFrame:
+def cooccurrence(pairs: DataFrame, least: int = 2, hub: int | None = None, heavy: int = 1000, changed: DataFrame | None = None, wide: int = 24) -> DataFrame:
     """(src, dst, shared): articles with `least` entities or more in common, in both directions.
 
-    pairs(article, entity) is distinct. Entities of one article only can't link and are dropped before
-    the self-join. `hub` leaves out entities in more articles than that, where a caller wants it; none
-    are left out by default. With changed(article) only pairs with one of these articles are given.
+    pairs(article, entity) is distinct. `hub` leaves out entities in more articles than that, where a
+    caller wants it; none are left out by default. With changed(article) only pairs with one of these
+    articles are given.
 
-    Entities of more than `heavy` articles never put their articles together one by one. Articles that
-    share another entity look up how many heavy ones they share besides; those that share heavy ones
-    alone meet in groups of two heavy entities (of one, if one is enough), where every pair counts,
-    and a large group is dealt over pairs of blocks of about `heavy` articles, so no key is large.
+    Articles that share two entities share a pair of them, and few others do: those of up to `wide`
+    entities meet by pair of entities, so what is joined grows with the articles, not with the square
+    of an entity's. Articles of more entities, and all if one shared entity is enough, meet by entity.
     """
     bounded("least", least, 1, 1000)
     if changed is None:
@@ -180,29 +180,69 @@ def cooccurrence(pairs: DataFrame, least: int = 2, hub: int | None = None, heavy
         mark = changed.select("article").distinct().withColumn("fresh", F.lit(True))
         p = pairs.join(mark, "article", "left").select("article", "entity", F.coalesce("fresh", F.lit(False)).alias("fresh"))
         p = p.join(p.where("fresh").select("entity").distinct(), "entity", "left_semi")
-    n = p.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
     if hub is not None:
-        n = n.where(F.col("n") <= hub)
-    light = p.join(n.where(F.col("n") <= heavy).select("entity"), "entity", "left_semi")
-    up = _meeting(light, light, ["entity"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
-    many = n.where(F.col("n") > heavy).select("entity")
-    if not many.isEmpty():
-        up = _with_heavy(up, p.join(many, "entity", "left_semi"), least, heavy)
+        p = p.join(p.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= hub), "entity", "left_semi")
+    if least == 1:
+        up = _by_entity(p.withColumn("lead", F.col("fresh")), least, heavy)
+    else:
+        p = p.where("entity IS NOT NULL")
+        place = F.row_number().over(Window.partitionBy("article").orderBy("entity"))
+        few = p.withColumn("place", place).where(F.col("place") <= wide + 1).groupBy("article", "fresh").agg(F.array_sort(F.collect_list("entity")).alias("held"))
+        few = storage.written(few.where(F.size("held") >= least), "entities")  # one more than `wide` tells an article of many
+        up = _by_two(few.where(F.size("held") <= wide), heavy)
+        many = few.where(F.size("held") > wide).select("article", F.lit(True).alias("lead"))
+        if not many.isEmpty():
+            p = p.join(p.join(many, "article").select("entity").distinct(), "entity", "left_semi").join(few.select("article"), "article", "left_semi")
+            p = p.join(many, "article", "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+            up = up.unionByName(_by_entity(storage.written(p, "pairs"), least, heavy))
     up = up.where(F.col("shared") >= least)
     return up.select("src", "dst", "shared").unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "shared"))
 
 
 def _meeting(left: DataFrame, right: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    """(src, dst) with src < dst, once for each key that both have, of a fresh article and any other."""
-    a = left.where("fresh").select(*keys, F.col("article").alias("a"), *(F.col(c).alias(f"a_{c}") for c in more))
-    b = right.select(*keys, F.col("article").alias("b"), "fresh", *(F.col(c).alias(f"b_{c}") for c in more))
-    both = a.join(b, keys).where("a <> b AND (NOT fresh OR a < b)")
+    """(src, dst) with src < dst, once for each key that both have, of a leading article and any other, one of them fresh."""
+    a = left.where("lead").select(*keys, F.col("article").alias("a"), F.col("fresh").alias("new"), *(F.col(c).alias(f"a_{c}") for c in more))
+    b = right.select(*keys, F.col("article").alias("b"), "lead", "fresh", *(F.col(c).alias(f"b_{c}") for c in more))
+    both = a.join(b, keys).where("a <> b AND (NOT lead OR a < b) AND (new OR fresh)")
     return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), *keys, *(x for c in more for x in (f"a_{c}", f"b_{c}")))
 
 
+def _dealt(groups: DataFrame, keys: list[str], block: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of groups' meeting by keys, x and y: large groups over pairs of blocks of about `block` articles, so no key is large."""
+    sizes = groups.groupBy(*keys).agg(F.count("*").alias("size"), F.max("lead").alias("led")).where("size > 1 AND led").drop("led")
+    kept = storage.written(groups.join(sizes, keys), "groups")  # few of them, and read twice
+    dealt = kept.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("article"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = dealt.select("article", "lead", "fresh", *more, *keys, F.col("own").alias("x"), F.col("other").alias("y"))
+    right = dealt.select("article", "lead", "fresh", *more, *keys, F.col("other").alias("x"), F.col("own").alias("y"))
+    return left, right
+
+
+def _by_two(held: DataFrame, block: int) -> DataFrame:
+    """(src, dst, shared) of articles that share two entities or more, of held(article, fresh, held) with few each: they meet once for every two they share."""
+    one = held.select("article", F.col("fresh").alias("lead"), "fresh", "held", F.posexplode("held").alias("at", "first"))
+    two = one.select("article", "lead", "fresh", "first", F.explode(F.expr("slice(held, at + 2, size(held))")).alias("second"))
+    met = _meeting(*_dealt(two, ["first", "second"], block), ["first", "second", "x", "y"]).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return met.select("src", "dst", F.round((1 + F.sqrt(1 + 8 * F.col("n"))) / 2).cast("long").alias("shared"))  # s entities make n = s(s - 1)/2 twos
+
+
+def _by_entity(p: DataFrame, least: int, heavy: int) -> DataFrame:
+    """(src, dst, shared) of leading articles and any others, by the entities in p(article, entity, lead, fresh).
+
+    Entities of more than `heavy` articles never put their articles together one by one. Articles that
+    share another entity look up how many heavy ones they share besides; those that share heavy ones
+    alone meet in groups of two heavy entities (of one, if one is enough), where every pair counts.
+    """
+    n = p.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
+    light = p.join(n.where(F.col("n") <= heavy).select("entity"), "entity", "left_semi")
+    up = _meeting(light, light, ["entity"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    many = n.where(F.col("n") > heavy).select("entity")
+    return up if many.isEmpty() else _with_heavy(up, p.join(many, "entity", "left_semi"), least, heavy)
+
+
 def _with_heavy(up: DataFrame, heavy_pairs: DataFrame, least: int, block: int) -> DataFrame:
     """up(src, dst, shared) with the shared entities of heavy_pairs added, and the pairs that share only those."""
-    held = heavy_pairs.groupBy("article", "fresh").agg(F.array_sort(F.collect_set("entity")).alias("held"))
+    held = heavy_pairs.groupBy("article", "lead", "fresh").agg(F.array_sort(F.collect_set("entity")).alias("held"))
     own = held.select("article", "held")
     none = F.array_except("a_held", "a_held")
     known = up.join(own.toDF("src", "a_held"), "src", "left").join(own.toDF("dst", "b_held"), "dst", "left")
@@ -211,17 +251,12 @@ def _with_heavy(up: DataFrame, heavy_pairs: DataFrame, least: int, block: int) -
     # groups: two heavy entities of an article (one, if one is enough)
     two = F.flatten(F.transform("held", lambda x, i: F.transform(F.slice("held", i + 2, F.size("held")), lambda y: F.array(x, y))))
     groups = held.withColumn("group", F.explode(F.transform("held", lambda x: F.array(x)) if least == 1 else two))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = groups.join(sizes, "group").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("article"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = dealt.select("article", "fresh", "held", "group", F.col("own").alias("x"), F.col("other").alias("y"))
-    right = dealt.select("article", "fresh", "held", "group", F.col("other").alias("x"), F.col("own").alias("y"))
-    met = _meeting(left, right, ["group", "x", "y"], "held").withColumn("both", F.array_intersect("a_held", "b_held"))
+    met = _meeting(*_dealt(groups, ["group"], block, "held"), ["group", "x", "y"], "held").withColumn("both", F.array_intersect("a_held", "b_held"))
     alone = met.where(F.col("group") == F.slice("both", 1, 1 if least == 1 else 2)).select("src", "dst", F.size("both").cast("long").alias("shared"))  # a pair's first group
     return known.unionByName(alone).groupBy("src", "dst").agg(F.max("shared").alias("shared"))
 
 
-def cooccurrence_after(old: DataFrame, pairs: DataFrame, added: DataFrame, removed: DataFrame | None = None, least: int = 2, heavy: int = 1000) -> tuple[DataFrame, DataFrame]:
+def cooccurrence_after(old: DataFrame, pairs: DataFrame, added: DataFrame, removed: DataFrame | None = None, least: int = 2, heavy: int = 1000, wide: int = 24) -> tuple[DataFrame, DataFrame]:
     """(edges, pairs) after pairs(article, entity) are added and removed: only edges of articles among those are made anew."""
     now = pairs.select("article", "entity")
     changed = added.select("article")
@@ -230,7 +265,7 @@ def cooccurrence_after(old: DataFrame, pairs: DataFrame, added: DataFrame, remov
     now = now.unionByName(added.select("article", "entity")).distinct()
     changed = changed.distinct()
     kept = old.join(changed.withColumnRenamed("article", "src"), "src", "left_anti").join(changed.withColumnRenamed("article", "dst"), "dst", "left_anti")
-    return kept.select("src", "dst", "shared").unionByName(cooccurrence(now, least, heavy=heavy, changed=changed)), now
+    return kept.select("src", "dst", "shared").unionByName(cooccurrence(now, least, heavy=heavy, changed=changed, wide=wide)), now
 
 
 def linked_by_entities(pairs: DataFrame, least: int = 2) -> DataFrame:

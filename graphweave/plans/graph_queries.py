@@ -112,7 +112,7 @@ def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(_TOGETHER)
 def cooccurrence_increment(spark: SparkSession, d: str) -> DataFrame:
     """The same in a step: every hundredth article comes later, and entities that none has go."""
-    p = v.entity_pairs(spark, d)
+    p = storage.written(v.entity_pairs(spark, d), "pairs")  # read by every step
     late = F.col("article") % 100 == 0
     false = p.where(F.col("article") % 100 == 1).select("article", (F.col("entity") + 1).alias("entity")).join(p, ["article", "entity"], "left_anti").distinct()
     before = p.where(~late).unionByName(false)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 from collections import Counter
 from itertools import combinations
 
@@ -95,6 +96,30 @@ def test_steps_equal_the_whole(spark, heavy):
     assert rows(edges) == plain(pairs, 2) and sorted(tuple(r) for r in now.collect()) == pairs
 
 
+@pytest.mark.parametrize("least", [2, 3])
+@pytest.mark.parametrize("wide", [2, 4, 5, 16])
+def test_articles_of_few_and_of_many_entities_meet(spark, least, wide):
+    """By pairs of entities up to `wide`, by entity beyond; in one go and in steps."""
+    pairs = articles(least, 40) + sorted({(a, f"e{e}") for a in (100, 101, 102) for e in range(a % 7, 40, 3)})
+    assert rows(graph.cooccurrence(frame(spark, pairs), least, heavy=5, wide=wide)) == plain(pairs, least)
+    first = [p for p in pairs if p[0] % 5]
+    before = frame(spark, first)
+    old = graph.cooccurrence(before, least, wide=wide)
+    edges, _ = graph.cooccurrence_after(old, before, frame(spark, [p for p in pairs if not p[0] % 5]), None, least, heavy=5, wide=wide)
+    assert rows(edges) == plain(pairs, least)
+
+
+def test_articles_with_one_entity_in_common_are_not_joined(spark):
+    """60,000 articles share one entity and two of them another: one pair, where 1.8 billion were joined to find it."""
+    p = spark.range(60_000).selectExpr("id AS article", "explode(IF(id < 2, array('all', 'two'), array('all', concat('own', id)))) AS entity")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert rows(graph.cooccurrence(p, heavy=100_000)) == [(0, 1, 2), (1, 0, 2)]
+    finally:
+        late.cancel()
+
+
 def test_kept_degrees_equal_counting_again(spark, tmp_path):
     rng = random.Random(3)
     edges = {(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(40)}
