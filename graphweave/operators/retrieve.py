@@ -127,10 +127,15 @@ def entity_articles(entities: DataFrame, has_entity: DataFrame, names: DataFrame
 
 def facts_of(names: DataFrame, facts: DataFrame, has_entity: DataFrame) -> DataFrame:
     """(name, content): facts of articles with that entity; of the article of that name where there are none."""
-    held = names.join(has_entity.select(F.col("dst").alias("name"), F.col("src").alias("title")), "name").join(facts.select("title", "content"), "title").select("name", "content").distinct()
-    rest = names.join(held.select("name").distinct(), "name", "left_anti")
-    own = rest.join(facts.select(F.col("title").alias("name"), "content"), "name").select("name", "content").distinct()
-    return held.unionByName(own)
+    # Texts go to many names: what is joined and told apart are their digests, dealt out before, so that no task holds its own rows' product.
+    keyed = facts.select("title", F.coalesce(F.unhex(F.sha2("content", 256)), F.lit(b"")).alias("key"), "content")
+    of = keyed.select("title", "key").distinct()
+    names = names.distinct()
+    linked = names.join(has_entity.select(F.col("dst").alias("name"), F.col("src").alias("title")), "name")
+    held = linked.join(of, "title").select("name", "key").repartition("name", "key").distinct()
+    rest = names.join(linked.join(of.select("title").distinct(), "title", "left_semi").select("name").distinct(), "name", "left_anti")
+    own = rest.join(of.withColumnRenamed("title", "name"), "name").select("name", "key")
+    return held.unionByName(own).join(keyed.select("key", "content").dropDuplicates(["key"]), "key").select("name", "content")
 
 
 def citations(sources: DataFrame) -> DataFrame:
