@@ -74,7 +74,9 @@ class _Memo(dict):
             if known and len(self) < self.most and len(word) <= self.longest:
                 self[word] = out
             return out
-        if word.isascii():
+        if word.isascii() and word.isalpha():  # one piece
+            ids = [t.id for t in tokenize(word)]
+        elif word.isascii():
             ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece)]
         else:
             ids = [t.id for piece in PIECES.findall(word) for t in tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARACTERS))]
@@ -147,9 +149,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         for batch in slices(batches, "text", 4 << 20):
             each = [x.tobytes() + end for x in words.encode([x or "" for x in batch.column("text").to_pylist()])]
             sizes = [len(x) // 2 for x in each]
-            once = np.sort(keyed_ids(each, sizes))
-            once = once[np.concatenate([[True], once[1:] != once[:-1]])[: len(once)]] & 0xFFFF  # each id of a document once
-            seen += np.bincount(once, minlength=words.size)
+            for x in each:
+                seen[np.frombuffer(x, dtype="<u2")] += 1  # an id that comes again in the document is added once
             kind = batch.column("doc_id").type
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each, pa.binary()), pa.array(sizes, pa.int64())], names)
         if kind is not None:
